@@ -7,9 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.bpe import op1_bpe
+from colloquy.llm.chat import OP6_SQL, op6_chat
+from colloquy.llm.decontam import OP8_SQL, op8_decontam
+from colloquy.llm.exact import OP3_SQL, op3_exact
+from colloquy.llm.urls import OP2_SQL, op2_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_urls": op2_urls,
+    "op3_exact": op3_exact,
+    "op6_chat": op6_chat,
+    "op8_decontam": op8_decontam,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_urls": OP2_SQL,
+    "op3_exact": OP3_SQL,
+    "op6_chat": OP6_SQL,
+    "op8_decontam": OP8_SQL,
+}
