@@ -6,8 +6,9 @@ it links with nothing.  Two documents link when 100 * intersection >= 75 * union
 1. Documents with the same set are one class, its smallest doc_id stands for it.
 2. Seeds: classes that share a minimum hash and are of like size are compared with the smallest id among them.  The
    components of the links found so far need no further comparison inside.
-3. Prefixes: in a fixed order of all shingles (frequent ones last), two sets that link share one of the first
-   ``n // 4 + 1`` shingles.  Classes of *different* components that share such a shingle form a block.
+3. Prefixes: in a fixed order of all shingles (those of rare words first, very frequent shingles last), two sets that
+   link share one of the first ``n // 4 + 1`` shingles.  Classes of *different* components that share such a shingle
+   form a block.
 4. Signature trees: in each block and class of sizes, documents ordered by size are the leaves of a tree whose nodes hold
    the OR of their token bitmaps and their range of sizes.  Two trees are walked together; a pair of nodes is dropped
    if the overlap that their bitmaps allow at most is less than their sizes need, or if all of both is one component.
@@ -40,21 +41,41 @@ PERCENT = 75
 CHUNK_WORDS = 1 << 20
 FREQUENT = 64
 FREQUENT_SHINGLES = 200_000
+#: Slots of hashed words whose counts, over all documents, say how common a shingle's words are.
+SLOTS = 1 << 14
+#: Place in the order of shingles (0 to 255) from which on the frequent ones stand.
+LAST = 192
 #: Documents of a block that one task takes, leaves and children of a tree's node.
 BLOCK = 20_000
 LEAVES, FAN = 8, 8
 _SEEDS = (0x0, 0x51ED270B9F4A7C15, 0x2545F4914F6CDD1D)
 
 
-def shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
-    """Lists of (doc_id, sorted distinct shingle hashes) of about a chunk."""
+def slot_of(words: np.ndarray) -> np.ndarray:
+    return (words >> U(50)).astype(np.int64)
+
+
+def shingles(batches: Iterator[pa.RecordBatch], k: int, counts: np.ndarray | None = None, weights: np.ndarray | None = None) -> Iterator[list[tuple]]:
+    """Lists of (doc_id, sorted distinct shingle hashes) of about a chunk; with ``weights`` of word slots also the sum of
+    each shingle's weights.  ``counts``: gets the words of each slot."""
     out, words = [], 0
     for whole in batches:
         for part in slices(whole, "text"):
             hashes, firsts = word_hashes(*buffers(part.column(1)))
             rolled = rolling(hashes, k)
+            if counts is not None:
+                counts += np.bincount(slot_of(hashes), minlength=SLOTS)
+            if weights is not None:
+                total = np.concatenate([[0], np.cumsum(weights[slot_of(hashes)])])
             for doc, first, last in zip(part.column(0).to_pylist(), firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
                 n = last - first
+                if weights is not None:
+                    if n >= k:
+                        own, at = np.unique(rolled[first : last - k + 1], return_index=True)
+                        out.append((doc, own, total[first + at + k] - total[first + at]))
+                    else:
+                        out.append((doc, rolling(hashes[first:last], n) if n else np.zeros(0, np.uint64), np.zeros(min(n, 1), np.int64)))
+                    continue
                 out.append((doc, np.unique(rolled[first : last - k + 1]) if n >= k else rolling(hashes[first:last], n) if n else np.zeros(0, np.uint64)))
             words += len(hashes)
             if words >= CHUNK_WORDS:
@@ -69,7 +90,8 @@ _PROFILE = "kind int, doc_id bigint, n bigint, d1 bigint, d2 bigint, m0 bigint,
 
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in shingles(batches, k):
+        counts = np.zeros(SLOTS, np.int64)
+        for chunk in shingles(batches, k, counts):
             rows = []
             for doc, s in chunk:
                 if len(s):
@@ -83,12 +105,20 @@ def _profile(k: int):
             count = np.diff(np.append(begin, len(every)))
             often = np.flatnonzero(count > FREQUENT)
             rows += [(1, None, c, h, None, None, None, None) for h, c in zip(every[begin[often]].view(np.int64).tolist(), count[often].tolist(), strict=True)]
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["kind", "doc_id", "n", "d1", "d2", "m0", "m1", "m2"])
+            yield _profiles(rows)
+        # slots with far more words than most; the others are as good as equal
+        common = np.flatnonzero(counts > 4 * counts.mean()).tolist()
+        if common:
+            yield _profiles([(2, None, int(counts[x]), x, None, None, None, None) for x in common])
 
     return run
 
 
+def _profiles(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["kind", "doc_id", "n", "d1", "d2", "m0", "m1", "m2"])
+
+
 def _arrays(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in shingles(batches, k):
@@ -102,7 +132,7 @@ def _arrays(k: int):
 def token_arrays(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """``id, n, tokens`` of the documents named in ``ids`` (doc_id), written to the shared folder."""
     chosen = keyed_semi(docs, ids.distinct(), "doc_id")
-    return written(chosen.mapInArrow(_arrays(k), "id bigint, n bigint, tokens binary").dropDuplicates(["id"]), "tokens")
+    return written(chosen.mapInArrow(_arrays(k), "id bigint, n bigint, tokens binary"), "tokens")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,35 +154,30 @@ def linked(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def _prefixes(k: int, buckets: int, shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rank = shipped.value  # sorted hashes of frequent shingles, and their place in the order
-        for chunk in shingles(batches, k):
+        keys, last, weights = shipped.value  # sorted hashes of frequent shingles, their place in the order; words' weights
+        for chunk in shingles(batches, k, weights=weights):
             known: dict[bytes, int] = {}
-            for doc, s in chunk:  # documents with the same set, as far as they meet here, are one
+            for doc, s, _ in chunk:  # documents with the same set, as far as they meet here, are one
                 if doc is not None and len(s):
                     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     known[key] = min(known.get(key, doc), doc)
             keep = {*known.values()}
             hs, ids, rare = [], [], []
-            for doc, s in chunk:
+            for doc, s, place in chunk:
                 if doc not in keep or not len(s):
                     continue
                 keep.discard(doc)
                 p = len(s) * (100 - PERCENT) // 100 + 1
+                common = np.zeros(len(s), bool)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     common = keys[at] == s
-                    first = s[~common]
-                    if len(first) < p:
-                        last = s[common][np.argsort(rank[at[common]], kind="stable")]
-                        first = np.concatenate([first, last])
-                        rare.append(np.arange(p) < len(s) - common.sum())
-                    else:
-                        rare.append(np.ones(p, bool))
-                    s = first
-                else:
-                    rare.append(np.ones(p, bool))
-                hs.append(s[:p])
+                    place = np.where(common, last[at], np.minimum(place, LAST - 1))
+                # the order of all shingles: place, then hash
+                first = np.argsort((place.astype(np.uint64) << U(56)) | (s >> U(8)), kind="stable")[:p]
+                hs.append(s[first])
                 ids.append(np.full(p, doc, np.int64))
+                rare.append(~common[first])
             if not hs:
                 continue
             h, doc, seldom = np.concatenate(hs), np.concatenate(ids), np.concatenate(rare)
@@ -249,12 +274,11 @@ def walk(p: Tree, q: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]
         stack.append((i - down_p, a, j - down_q, b))
 
 
-def bitmaps(tokens: list[bytes], width: int) -> np.ndarray:
-    """One row of ``width`` bits per set (64-bit words), with the bit of each token's hash modulo the width."""
-    out = np.zeros((len(tokens), width), np.uint8)
-    for k, t in enumerate(tokens):
-        out[k, (np.frombuffer(t, np.uint64) & U(width - 1)).astype(np.int64)] = 1
-    return np.packbits(out, axis=1).view(np.uint64)
+def bitmap(tokens: np.ndarray, width: int) -> bytes:
+    """``width`` bits, with the bit of each token's hash modulo the width."""
+    out = np.zeros(width, np.uint8)
+    out[(tokens & U(width - 1)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
 
 
 def _walk_block(table: pa.Table) -> pa.Table:
@@ -286,13 +310,28 @@ def _walk_block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for i, t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            out += [(i, c, home, bitmaps([t], width_of(c if home else c - 1)).tobytes()) for home in (True, False)]
-        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield record(id=pa.array(columns[0], pa.int64()), size_class=pa.array(columns[1], pa.int64()), home=pa.array(columns[2], pa.bool_()), bits=pa.array(columns[3], pa.binary()))
+def _bits(k: int):
+    """Each set's bitmap among its own class of sizes and among the guests of the class below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in shingles(batches, k):
+            for low in range(0, len(chunk), 1024):
+                rows = []
+                for doc, s in chunk[low : low + 1024]:
+                    c = class_of(len(s))
+                    rows += [(doc, len(s), x, x == c, bitmap(s, width_of(x))) for x in (c, c - 1)]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "n", "cls", "home", "bits"])
+
+    return run
+
+
+def class_of(n: int) -> int:
+    """Sets that link are of the same class of sizes or of neighbouring ones."""
+    c = 0
+    while n * PERCENT**c >= 100**c:
+        c += 1
+    return c - 1
 
 
 def width_of(size_class: int) -> int:
@@ -300,28 +339,26 @@ def width_of(size_class: int) -> int:
     return min(1 << 16, max(256, 1 << (int(2 * (100 / PERCENT) ** (size_class + 1))).bit_length()))
 
 
-def _block_pairs(shared: DataFrame, classes: DataFrame, tokens_of) -> DataFrame | None:
-    """Pairs of classes of different components that share a prefix shingle and that the trees let pass."""
+def _block_pairs(docs: DataFrame, shared: DataFrame, classes: DataFrame, k: int) -> DataFrame | None:
+    """Links between classes of different components that share a prefix shingle and that the trees let pass."""
     rows = shared.join(classes, "doc_id").select("hash", "id", "comp").distinct()
-    ends = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hash")
-    blocks = written(rows.join(ends, "hash"), "blocks")
+    ends = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("block")).where("lo < hi").select("hash", "block")
+    # the shingles of one passage have nearly the same documents: those with the same smallest one make one block
+    blocks = written(rows.join(ends, "hash").select("block", "id", "comp").distinct(), "blocks")
     if blocks.isEmpty():
         return None
-    tokens = tokens_of(blocks.select(F.col("id").alias("doc_id")))
-    size_class = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / PERCENT))).cast("bigint")
-    sized = tokens.withColumn("size_class", size_class)
-    # documents of a class meet each other and those of the next class: other sizes cannot link
-    bits = sized.select("id", "tokens", "size_class").mapInArrow(_bits, "id bigint, size_class bigint, home boolean, bits binary")
-    bits = written(bits.join(tokens.select("id", "n"), "id"), "bits")
-    members = blocks.join(bits.select("id", "n", "home", (F.col("size_class") - F.when(F.col("home"), 0).otherwise(1)).alias("cls")), "id")
-    counts = members.groupBy("hash", "cls").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("own")).where("lo < hi AND own")
-    counts = counts.select("hash", "cls", F.ceil(F.col("m") / BLOCK).cast("bigint").alias("parts"))
-    members = members.join(counts, ["hash", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    chosen = keyed_semi(docs, blocks.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+    # documents of a class of sizes meet each other and those of the next class: other sizes cannot link
+    bits = written(chosen.mapInArrow(_bits(k), "id bigint, n bigint, cls bigint, home boolean, bits binary"), "bits")
+    members = blocks.join(bits.select("id", "n", "cls", "home"), "id")
+    counts = members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("own")).where("lo < hi AND own")
+    counts = counts.select("block", "cls", F.ceil(F.col("m") / BLOCK).cast("bigint").alias("parts"))
+    members = members.join(counts, ["block", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    members = members.select("hash", "cls", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "comp", "n", "home")
+    members = members.select("block", "cls", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "comp", "n", "home")
     members = members.join(bits.select("id", "home", "bits"), ["id", "home"])
-    pairs = members.groupBy("hash", "cls", "lo", "hi").applyInArrow(_walk_block, "a bigint, b bigint").distinct()
-    return linked(written(pairs, "pairs"), tokens)
+    pairs = written(members.groupBy("block", "cls", "lo", "hi").applyInArrow(_walk_block, "a bigint, b bigint").distinct(), "pairs")
+    return linked(pairs, token_arrays(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), k))
 
 
 def join(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
@@ -350,7 +387,11 @@ def join(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
     often = profile.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "d1").limit(FREQUENT_SHINGLES).collect()
     hashes = np.array([r[0] for r in often], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    shipped = spark.sparkContext.broadcast((hashes[order], np.arange(len(often), 0, -1)[order]))
+    last = LAST + np.minimum(np.log2(np.array([r[1] for r in often], np.float64)).astype(np.int64), 255 - LAST)
+    weights = np.zeros(SLOTS, np.int64)
+    for slot, n in profile.where("kind = 2").groupBy("d1").agg(F.sum("n")).collect():  # a row for each of SLOTS at most
+        weights[slot] = min(int(n).bit_length(), (LAST - 1) // k)
+    shipped = spark.sparkContext.broadcast((hashes[order], last[order], weights))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.mapInArrow(_prefixes(k, buckets, shipped), "bucket int, kind int, hashes binary, docs binary, sizes binary")
     shared = written(packed.groupBy("bucket").applyInArrow(_shared_prefixes, "hash bigint, doc_id bigint"), "shared")
@@ -358,7 +399,7 @@ def join(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
     found = F.broadcast(found) if few else found
     labels = classed.where("id IS NOT NULL").join(found, "id", "left").select("doc_id", "id", F.coalesce("component", "id").alias("comp")).distinct()
     # 4. signature trees in blocks of different components
-    more = _block_pairs(shared, labels, lambda ids: token_arrays(docs, ids, k))
+    more = _block_pairs(docs, shared, labels, k)
     if more is not None and not more.isEmpty():
         found = components(first.unionByName(more))
         found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
