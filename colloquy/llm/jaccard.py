@@ -48,6 +48,8 @@ LAST = 192
 #: Documents of a block that one task takes, leaves and children of a tree's node.
 BLOCK = 20_000
 LEAVES, FAN = 8, 8
+#: 64-bit words of bitmaps that a step of a walk compares.
+WALK_WORDS = 1 << 20
 _SEEDS = (0x0, 0x51ED270B9F4A7C15, 0x2545F4914F6CDD1D)
 
 
@@ -240,9 +242,10 @@ class Tree:
 def walk(p: Tree, q: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of leaves whose bitmaps allow a link and whose components differ; ``same``: the trees are one."""
     stack = [(len(p.levels) - 1, np.zeros(1, np.int64), len(q.levels) - 1, np.zeros(1, np.int64))]
+    most_pairs = max(64, min(16_384, WALK_WORDS // p.levels[0][0].shape[1]))
     while stack:
         i, a, j, b = stack.pop()
-        if len(a) > 65_536:
+        if len(a) > most_pairs:
             half = len(a) // 2
             stack += [(i, a[:half], j, b[:half]), (i, a[half:], j, b[half:])]
             continue
