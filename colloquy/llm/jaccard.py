@@ -46,7 +46,7 @@ SLOTS = 1 << 14
 #: Place in the order of shingles (0 to 255) from which on the frequent ones stand.
 LAST = 192
 #: Documents of a block that one task takes, leaves and children of a tree's node.
-BLOCK = 20_000
+BLOCK = 1_000
 LEAVES, FAN = 8, 8
 #: 64-bit words of bitmaps that a step of a walk compares.
 WALK_WORDS = 1 << 20
