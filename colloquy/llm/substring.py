@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.llm.packing import batch as record, binaries, bucket_of, planes, runs, unplanes
 from colloquy.llm.shared import BROADCAST_ROWS, keyed_semi, written
-from colloquy.llm.words import buffers, rolling, slices, word_hashes
+from colloquy.llm.words import buffers, mix, rolling, slices, word_hashes
 
 WIDTH = 13
 #: Words of a chunk, whose windows are packed together; occurrences in a chunk that make a window frequent.
@@ -36,7 +36,8 @@ FREQUENT = 256
 #: Frequent windows that one more pass handles.
 FREQUENT_BLOCK = 500_000
 NULL_ID = 2**63 - 1
-_FOUND = "kind int, doc_id bigint, hash bigint, least bigint, positions binary"
+_PACKED = "bucket int, kind int, hashes binary, docs binary, sizes binary, steps binary"
+_STARTS = "doc_id bigint, positions binary"
 
 
 def windows(batches: Iterator[pa.RecordBatch], width: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -89,7 +90,7 @@ def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[s[0]]), s
 
 
-def _row(bucket: int, kind: int, h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _row(bucket: int, kind: int, h: np.ndarray | None, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     begin = runs(doc)
     size = np.diff(np.append(begin, len(doc)))
     # the first position in a document stands as it is, the next ones as distances
@@ -99,51 +100,78 @@ def _row(bucket: int, kind: int, h: np.ndarray, doc: np.ndarray, at: np.ndarray)
     return record(
         bucket=pa.array([bucket], pa.int32()),
         kind=pa.array([kind], pa.int32()),
-        hashes=pa.array([h.astype("<u8").tobytes()], pa.binary()),
+        hashes=pa.array([None if h is None else h.astype("<u8").tobytes()], pa.binary()),
         docs=pa.array([planes(doc[begin])], pa.binary()),
         sizes=pa.array([planes(np.cumsum(size), 4)], pa.binary()),
         steps=pa.array([low], pa.binary()),
     )
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    kinds = table.column("kind").to_pylist()
-    hs, docs, ats, kind = [], [], [], []
-    for k, h, d, n, s in zip(kinds, *(binaries(table.column(c)) for c in ("hashes", "docs", "sizes", "steps")), strict=True):
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, doc_id, position, kind) of packed rows; no hashes where the rows have none."""
+    hs, docs, ats, kinds = [], [], [], []
+    for k, h, d, n, s in zip(table.column("kind").to_pylist(), *(binaries(table.column(c)) for c in ("hashes", "docs", "sizes", "steps")), strict=True):
         size = np.diff(unplanes(n, 4), prepend=0)
         step = np.frombuffer(s, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
         total = np.cumsum(step)
         first = np.cumsum(size) - size
-        at = total - np.repeat(total[first] - step[first], size)
         hs.append(np.frombuffer(h, "<u8"))
         docs.append(np.repeat(unplanes(d), size))
-        ats.append(at)
-        kind.append(np.full(len(at), k, np.int8))
-    h, doc, at, k = (np.concatenate(x) for x in (hs, docs, ats, kind))
-    order = np.argsort(h, kind="stable")
-    sorted_h = h[order]
-    again = np.zeros(len(h), bool)
-    same = sorted_h[1:] == sorted_h[:-1]
-    again[1:] |= same
-    again[:-1] |= same
-    order = order[again | (k[order] == 1)]
-    h, doc, at, k = h[order], doc[order], at[order], k[order]
-    begin = runs(h)
-    if not len(begin):
-        return _found([], [], [], [], [])
-    least = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.append(begin, len(h))))
-    often = np.flatnonzero(k == 1)
-    _, one = np.unique(h[often], return_index=True)
-    often = often[one]
-    gone = np.flatnonzero((k == 0) & (doc > least))
-    gone = gone[np.lexsort((at[gone], doc[gone]))]
-    first = runs(doc[gone])
-    lists = [x.astype("<i4").tobytes() for x in np.split(at[gone], first[1:])] if len(gone) else []
-    return _found([0] * len(lists) + [1] * len(often), [*doc[gone][first].tolist(), *[None] * len(often)], [*[None] * len(lists), *h[often].view(np.int64).tolist()], [*[None] * len(lists), *least[often].tolist()], lists + [None] * len(often))
-
-
-def _found(kind, doc, h, least, positions) -> pa.Table:
-    return pa.table({"kind": pa.array(kind, pa.int32()), "doc_id": pa.array(doc, pa.int64()), "hash": pa.array(h, pa.int64()), "least": pa.array(least, pa.int64()), "positions": pa.array(positions, pa.binary())})
+        ats.append(total - np.repeat(total[first] - step[first], size))
+        kinds.append(np.full(len(step), k, np.int8))
+    return tuple(np.concatenate(x) for x in (hs, docs, ats, kinds))
+
+
+def _resolve(groups: int):
+    """The owner of a range of hashes: what is due for removal, packed for ``groups`` groups of documents (kind 0), and
+    frequent windows with their smallest document (kind 1)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, doc, at, k = _unpacked(table)
+        order = np.argsort(h, kind="stable")
+        sorted_h = h[order]
+        again = np.zeros(len(h), bool)
+        same = sorted_h[1:] == sorted_h[:-1]
+        again[1:] |= same
+        again[:-1] |= same
+        order = order[again | (k[order] == 1)]
+        h, doc, at, k = h[order], doc[order], at[order], k[order]
+        begin = runs(h)
+        out = []
+        if len(begin):
+            least = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.append(begin, len(h))))
+            often = np.flatnonzero(k == 1)
+            if len(often):
+                _, one = np.unique(h[often], return_index=True)
+                often = often[one]
+                out.append(_row(0, 1, h[often], least[often], np.zeros(len(often), np.int64)))
+            gone = np.flatnonzero((k == 0) & (doc > least))
+            group = bucket_of(mix(doc[gone].view(np.uint64)), groups)
+            gone = gone[np.lexsort((at[gone], doc[gone], group))]
+            group = np.sort(group)
+            out += [_row(int(group[s[0]]), 0, None, doc[gone[s]], at[gone[s]]) for s in np.split(np.arange(len(gone)), runs(group)[1:]) if len(s)]
+        return pa.Table.from_batches(out) if out else table.slice(0, 0).select(["bucket", "kind", "hashes", "docs", "sizes", "steps"])
+
+    return run
+
+
+def _starts(doc: np.ndarray, at: np.ndarray) -> pa.Table:
+    """One row per document; ``doc`` in runs."""
+    first = runs(doc)
+    lists = [x.astype("<i4").tobytes() for x in np.split(at, first[1:])] if len(doc) else []
+    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "positions": pa.array(lists, pa.binary())})
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    _, doc, at, _ = _unpacked(table)
+    order = np.lexsort((at, doc))
+    return _starts(doc[order], at[order])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        h, least, _, _ = _unpacked(pa.Table.from_batches([b]))
+        yield record(hash=pa.array(h.view(np.int64)), least=pa.array(least))
 
 
 def _frequent(docs: DataFrame, heavy: list[tuple[int, int]], width: int, chunk: int) -> DataFrame:
@@ -157,29 +185,24 @@ def _frequent(docs: DataFrame, heavy: list[tuple[int, int]], width: int, chunk:
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             gone = np.flatnonzero((keys[k] == h) & (doc > least[k]))
             if len(gone):
-                first = runs(doc[gone])
-                lists = [x.astype("<i4").tobytes() for x in np.split(at[gone], first[1:])]
-                yield from _found([0] * len(lists), doc[gone][first].tolist(), [None] * len(lists), [None] * len(lists), lists).to_batches()
+                yield from _starts(doc[gone], at[gone]).to_batches()
 
-    return docs.mapInArrow(run, _FOUND)
+    return docs.mapInArrow(run, _STARTS)
 
 
 def repeated(docs: DataFrame, *, width: int = WIDTH, chunk: int = CHUNK_WORDS, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, positions`` (list of binary, 32-bit word numbers): starts of the windows to remove, for the documents
     that have any.  ``docs``: doc_id without nulls, text."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.mapInArrow(_pack(width, chunk, frequent, buckets), "bucket int, kind int, hashes binary, docs binary, sizes binary, steps binary")
-    found = written(packed.groupBy("bucket").applyInArrow(_resolve, _FOUND), "repeated")
-    parts = [found.where("kind = 0").select("doc_id", "positions")]
-    heavy = found.where("kind = 1").select("hash", "least")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.mapInArrow(_pack(width, chunk, frequent, 2 * partitions), _PACKED)
+    found = written(packed.groupBy("bucket").applyInArrow(_resolve(partitions), _PACKED), "repeated")
+    starts = found.where("kind = 0").groupBy("bucket").applyInArrow(_gather, _STARTS)
+    heavy = found.where("kind = 1").mapInArrow(_spread, "hash bigint, least bigint")
     blocks = -(-heavy.count() // FREQUENT_BLOCK)
     for b in range(blocks):  # each block is bounded; there are several only if very many windows are frequent
         own = heavy.where(F.pmod("hash", F.lit(blocks)) == b) if blocks > 1 else heavy
-        parts.append(_frequent(docs, [(r[0], r[1]) for r in own.collect()], width, chunk).select("doc_id", "positions"))
-    all_parts = parts[0]
-    for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    return all_parts.groupBy("doc_id").agg(F.collect_list("positions").alias("positions"))
+        starts = starts.unionByName(_frequent(docs, [(r[0], r[1]) for r in own.collect()], width, chunk))
+    return starts.groupBy("doc_id").agg(F.collect_list("positions").alias("positions"))
 
 
 _KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<struct<start:int,end:int>>"
