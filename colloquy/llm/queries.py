@@ -11,6 +11,7 @@ from colloquy.llm.chat import OP6_SQL, op6_chat
 from colloquy.llm.decontam import OP8_SQL, op8_decontam
 from colloquy.llm.exact import OP3_SQL, op3_exact
 from colloquy.llm.jaccard import OP10_SQL, op10_jaccard
+from colloquy.llm.lm import op9_lm
 from colloquy.llm.substring import OP5_SQL, op5_substring
 from colloquy.llm.urls import OP2_SQL, op2_urls
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring": op5_substring,
     "op6_chat": op6_chat,
     "op8_decontam": op8_decontam,
+    "op9_lm": op9_lm,
     "op10_jaccard": op10_jaccard,
 }
 

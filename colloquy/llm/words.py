@@ -100,9 +100,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, index of each text's first word, one more at the end)."""
-    starts, ends, firsts = word_spans(data, offsets, separators)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each span of bytes; spans are in order and do not overlap."""
     hashes = np.empty(len(starts), dtype=np.uint64)
     table = _BYTE[_LOWER] if lower else _BYTE
     k = 0
@@ -117,7 +116,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
             s, e = starts[k:last] - low, ends[k:last] - low
             hashes[k:last] = mix((total[e] - total[s]) * powers(_INVERSE, high - low + 1)[s] + (e - s).astype(np.uint64))
         k = last
-    return hashes, firsts
+    return hashes
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, index of each text's first word, one more at the end)."""
+    starts, ends, firsts = word_spans(data, offsets, separators)
+    return span_hashes(data, starts, ends, lower), firsts
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -135,9 +140,3 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
             m = len(part) - width + 1
             out[low : low + m] = mix((total[width:] - total[:m]) * powers(_INVERSE, m) + U(width))
     return out
-
-
-def digits(data: bytes) -> str:
-    import hashlib
-
-    return hashlib.sha256(data).hexdigest()
