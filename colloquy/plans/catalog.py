@@ -1,10 +1,602 @@
-"""All queries of the package outside the training-data operations, with their SQL where SQL can say the same."""
+"""All queries of the package outside the training-data operations, with their SQL where SQL can say the same.
+
+Each query applies an operator to whole tables: conversations are transcripts, their turns utterances, their roles tiers;
+events are timed items of one document per user.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from colloquy.functions import text as T
+from colloquy.operators import alignment, cache, metrics, sequence
+from colloquy.schema import ENDING_PUNCT, FILLED_PAUSES
+from colloquy.sources import chat, tables, textgrid
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+_FORMS = r"""
+u AS (SELECT conv_id AS doc_id, turn AS line_no, role AS tier, text, regexp_extract_all(text, '[\p{L}\p{N}'']+|[.,!?]') AS toks FROM conversations),
+f AS (SELECT doc_id, line_no, tier, unnest(range(0, len(toks))) AS form_no, unnest(toks) AS text,
+      CASE WHEN unnest(toks) IN ('.', '?', '!', ',') THEN 5 ELSE 0 END AS type FROM u)
+"""
+_TIMED = """
+t AS (SELECT user_id AS doc_id, event_id AS item_no, event_type AS tier, epoch_us(ts) // 1000 - 1704067200000 AS start_ms,
+      epoch_us(ts) // 1000 - 1704067200000 + CAST(floor(value * 60000) AS BIGINT) AS end_ms FROM events)
+"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.replace("$FORMS", _FORMS.strip()).replace("$TIMED", _TIMED.strip())
+        return f
+
+    return add
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    return tables.forms(tables.utterances(spark, d))
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return _forms(spark, d).where("type = 0")
+
+
+def _joined(order: str, value: str, sep: str = " "):
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), sep)
+
+
+# --- projections, lines, tiers -------------------------------------------------------------------------------------
+
+
+@query("WITH $FORMS SELECT doc_id, line_no, string_agg(text, ' ' ORDER BY form_no) AS stripped FROM f WHERE type IN (0, 5) GROUP BY doc_id, line_no")
+def utt_strip_text(spark, d):
+    return _forms(spark, d).where("type IN (0, 5)").groupBy("doc_id", "line_no").agg(_joined("form_no", "text").alias("stripped"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS line_no, role || ': ' || text AS line FROM conversations WHERE text IS NOT NULL")
+def transcript_lines(spark, d):
+    return tables.utterances(spark, d).where("text IS NOT NULL").select("doc_id", "line_no", F.concat("tier", F.lit(": "), "text").alias("line"))
+
+
+@query("WITH $FORMS SELECT tier, type, count(*) AS n, count(DISTINCT lower(text)) AS n_types FROM f GROUP BY tier, type")
+def token_type_counts(spark, d):
+    return _forms(spark, d).groupBy("tier", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.lower("text")).alias("n_types"))
+
+
+@query("SELECT conv_id AS doc_id, role AS tier, min(turn) AS first_line, count(*) AS n_lines FROM conversations GROUP BY conv_id, role")
+def doc_tiers(spark, d):
+    return tables.utterances(spark, d).groupBy("doc_id", "tier").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("WITH $FORMS SELECT doc_id, line_no, toks[1] AS first, toks[-1] AS last, CAST(len(toks) AS INTEGER) AS n FROM u")
+def positional_access(spark, d):
+    t = tables.tokens(F.col("text"))
+    return tables.utterances(spark, d).select("doc_id", "line_no", F.try_element_at(t, F.lit(1)).alias("first"), F.try_element_at(t, F.lit(-1)).alias("last"), F.size(t).alias("n"))
+
+
+@query("WITH $FORMS SELECT doc_id, line_no, CASE WHEN toks[-1] IN ('.', '?', '!') THEN toks[-1] ELSE '.' END AS delim FROM u")
+def utt_delimiter(spark, d):
+    last = F.try_element_at(tables.tokens(F.col("text")), F.lit(-1))
+    return tables.utterances(spark, d).select("doc_id", "line_no", F.when(last.isin(ENDING_PUNCT), last).otherwise(".").alias("delim"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS line_no, regexp_extract(x, '^\\[- (\\w+)\\]', 1) AS lang FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN '[- fra] ' ELSE '' END || text AS x FROM conversations) WHERE regexp_extract(x, '^\\[- (\\w+)\\]', 1) <> ''")
+def override_lang(spark, d):
+    u = tables.utterances(spark, d).withColumn("x", F.concat(F.when(F.col("line_no") % 3 == 0, "[- fra] ").otherwise(""), "text"))
+    return u.select("doc_id", "line_no", T.language_override(F.col("x")).alias("lang")).where("lang IS NOT NULL")
+
+
+@query("WITH $FORMS SELECT doc_id, line_no, form_no, CASE WHEN x LIKE '0_%' THEN substr(x, 2) ELSE x END AS text, CASE WHEN x LIKE '0_%' THEN 6 ELSE 0 END AS type FROM (SELECT *, CASE WHEN form_no % 7 = 0 THEN '0' ELSE '' END || text AS x FROM f WHERE type = 0)")
+def zero_forms(spark, d):
+    x = F.concat(F.when(F.col("form_no") % 7 == 0, "0").otherwise(""), "text")
+    zero = F.col("x").startswith("0") & (F.length("x") > 1)
+    f = _words(spark, d).withColumn("x", x)
+    return f.select("doc_id", "line_no", "form_no", F.when(zero, F.expr("substr(x, 2)")).otherwise(F.col("x")).alias("text"), F.when(zero, 6).otherwise(0).alias("type"))
+
+
+@query("WITH $FORMS SELECT doc_id, line_no, form_no, replace(text, '-', '') AS text FROM f WHERE text NOT IN ('.', '?', '!', ',')")
+def punct_filter(spark, d):
+    return _forms(spark, d).where("type <> 5").select("doc_id", "line_no", "form_no", F.replace("text", F.lit("-"), F.lit("")).alias("text"))
+
+
+# --- lexicons and cleaning -----------------------------------------------------------------------------------------
+
+_LEX = [("the", "&-the", "the"), ("is", "&-is", "be"), ("der", "&-der", "der"), ("la", "&-la", "la"), *FILLED_PAUSES]
+
+
+@query(f"""WITH $FORMS, lex(original, main, lemma) AS (VALUES {", ".join(str(x) for x in _LEX)})
+SELECT doc_id, line_no, form_no, coalesce(lemma, f.text) AS text, CASE WHEN lemma IS NULL THEN type ELSE 3 END AS type FROM f LEFT JOIN lex ON lower(f.text) = original""")
+def lexicon_replace(spark, d):
+    lex = spark.createDataFrame(_LEX, "original string, main string, lemma string")
+    f = _forms(spark, d).join(F.broadcast(lex), F.lower("text") == F.col("original"), "left")
+    return f.select("doc_id", "line_no", "form_no", F.coalesce("lemma", "text").alias("text"), F.when(F.col("lemma").isNull(), F.col("type")).otherwise(3).alias("type"))
+
+
+_DIRT = "'<' || text || '> [/] +\"' || '„x‡' || '@b@z &~ab (.) 12//3' || chr(21) || '1_2' || chr(21)"
+
+
+@query(rf"""SELECT conv_id AS doc_id, turn AS line_no, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(replace({_DIRT}, '[/]', ''), '\x15\d+_\d+\x15', '', 'g'), '&~[\p{{L}}\p{{N}}_]+', '', 'g'),
+'{T._re(T.ANNOTATION_CHARS)}', '', 'g'), '//', ''), '@[^abcefpoqsw]', '', 'g') AS cleaned FROM conversations""")
+def annotation_clean(spark, d):
+    dirt = F.concat(F.lit("<"), "text", F.lit("> [/] +\"„x‡@b@z &~ab (.) 12//3\x151_2\x15"))
+    return tables.utterances(spark, d).select("doc_id", "line_no", T.annotation_clean(dirt).alias("cleaned"))
+
+
+@query(r"WITH $TIMED, x AS (SELECT doc_id, item_no, 'w . ' || chr(21) || start_ms || '_' || end_ms || chr(21) AS s FROM t) SELECT doc_id, item_no, CAST(regexp_extract(s, '\x15(\d+)_(\d+)\x15', 1) AS BIGINT) AS start_ms, CAST(regexp_extract(s, '\x15(\d+)_(\d+)\x15', 2) AS BIGINT) AS end_ms FROM x")
+def bullet_extract(spark, d):
+    s = F.concat(F.lit("w . \x15"), F.col("start_ms").cast("string"), F.lit("_"), F.col("end_ms").cast("string"), F.lit("\x15"))
+    start, end = T.bullet(F.col("s"))
+    return tables.timed(spark, d).select("doc_id", "item_no", s.alias("s")).select("doc_id", "item_no", start.alias("start_ms"), end.alias("end_ms"))
+
+
+@query(r"""WITH $TIMED SELECT doc_id, item_no, CASE WHEN end_ms > start_ms + 60000 THEN regexp_replace('w . ' || chr(21) || '1_2' || chr(21), '\x15\d+_\d+\x15', chr(21) || start_ms || '_' || end_ms || chr(21)) ELSE 'w .' END AS text FROM t""")
+def bullet_rewrite(spark, d):
+    t = tables.timed(spark, d).withColumn("text", F.lit("w . \x151_2\x15"))
+    new = F.concat(F.lit("\x15"), F.col("start_ms").cast("string"), F.lit("_"), F.col("end_ms").cast("string"), F.lit("\x15"))
+    keep = F.col("end_ms") > F.col("start_ms") + 60000
+    return t.select("doc_id", "item_no", F.when(keep, F.regexp_replace("text", F.lit("\x15\\d+_\\d+\x15"), new)).otherwise(F.trim(F.regexp_replace("text", "\x15\\d+_\\d+\x15", ""))).alias("text"))
+
+
+@query("""WITH $FORMS, m AS (SELECT doc_id, line_no, unnest(string_split(mor, ' ')) AS item, unnest(range(0, len(string_split(mor, ' ')))) AS k FROM (SELECT doc_id, line_no, string_agg('noun|' || lower(text) || '-Plur-Acc', ' ' ORDER BY form_no) AS mor FROM f WHERE type = 0 GROUP BY doc_id, line_no))
+SELECT doc_id, line_no, CAST(k AS INTEGER) AS k, split_part(item, '|', 1) AS pos, split_part(split_part(item, '|', 2), '-', 1) AS lemma, 'Plur-Acc' AS feats FROM m""")
+def mor_parse(spark, d):
+    mor = _words(spark, d).select("doc_id", "line_no", "form_no", F.concat(F.lit("noun|"), F.lower("text"), F.lit("-Plur-Acc")).alias("m")).groupBy("doc_id", "line_no").agg(_joined("form_no", "m").alias("mor"))
+    return mor.select("doc_id", "line_no", F.posexplode(chat.mor_items(F.col("mor"))).alias("k", "x")).select("doc_id", "line_no", "k", "x.*")
+
+
+@query("""WITH $FORMS SELECT doc_id, line_no, form_no, lower(text) AS text, CASE form_no % 5 WHEN 0 THEN 'extra_main' WHEN 1 THEN 'extra_gold' ELSE 'match' END AS status FROM f WHERE type = 0""")
+def comparison_parse(spark, d):
+    mark = F.when(F.col("form_no") % 5 == 0, "+").when(F.col("form_no") % 5 == 1, "-").otherwise("")
+    x = _words(spark, d).withColumn("x", F.concat(mark, F.lower("text")))
+    status = F.when(F.col("x").startswith("+"), "extra_main").when(F.col("x").startswith("-"), "extra_gold").otherwise("match")
+    return x.select("doc_id", "line_no", "form_no", F.regexp_replace("x", "^[+-]", "").alias("text"), status.alias("status"))
+
+
+@query("""WITH $FORMS, s AS (SELECT doc_id, line_no, tier, string_agg(text, ' ' ORDER BY form_no) AS body FROM f GROUP BY doc_id, line_no, tier)
+SELECT doc_id, line_no, '*' || tier || ':' || chr(9) || body || ' ' || chr(21) || line_no * 1000 || '_' || (line_no * 1000 + 900) || chr(21) AS line FROM s""")
+def chat_main_line(spark, d):
+    s = _forms(spark, d).groupBy("doc_id", "line_no", "tier").agg(_joined("form_no", "text").alias("body"))
+    return s.select("doc_id", "line_no", chat.main_line(F.col("tier"), F.col("body"), F.col("line_no") * 1000, F.col("line_no") * 1000 + 900).alias("line"))
+
+
+@query()
+def chat_round_trip(spark, d):
+    """Conversations written as whole CHAT files and parsed back: headers aside, line by line."""
+    u = _forms(spark, d).groupBy("doc_id", "line_no", "tier").agg(_joined("form_no", "text").alias("text"))
+    files = chat.documents(u.withColumns({"start_ms": F.col("line_no") * 1000, "end_ms": F.col("line_no") * 1000 + 900}))
+    back = chat.utterances(chat.lines(files))
+    return back.select("doc_id", "line_no", "tier", "text", "start_ms", "end_ms", F.size("forms").alias("n_forms"), "error")
+
+
+@query("WITH $TIMED SELECT doc_id, tier, start_ms, end_ms, 'item ' || item_no AS text FROM t")
+def textgrid_round_trip(spark, d):
+    t = tables.timed(spark, d).select("doc_id", "tier", "start_ms", "end_ms", F.concat(F.lit("item "), F.col("item_no").cast("string")).alias("text"))
+    return textgrid.intervals(textgrid.documents(t)).select("doc_id", "tier", "start_ms", "end_ms", "text")
+
+
+# --- ordered rows --------------------------------------------------------------------------------------------------
+
+_RETRACE = """
+l AS (SELECT *, lower(text) AS w FROM f),
+s AS (SELECT doc_id, line_no, form_no, n, lead(w, n) OVER (PARTITION BY doc_id, line_no, n ORDER BY form_no) = w AS same FROM l, (SELECT unnest(range(1, $N + 1)) AS n)),
+r AS (SELECT doc_id, line_no, form_no, n, form_no - row_number() OVER (PARTITION BY doc_id, line_no, n ORDER BY form_no) AS run FROM s WHERE same),
+m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line_no, n, run) AS k FROM r)
+SELECT DISTINCT doc_id, line_no, CAST(form_no AS INTEGER) AS form_no FROM m WHERE k >= n
+"""
+
+
+@query("WITH $FORMS," + _RETRACE.replace("$N", "1"))
+def retrace_unigram(spark, d):
+    return sequence.retraces(_forms(spark, d), 1)
+
+
+@query("WITH $FORMS," + _RETRACE.replace("$N", "10"))
+def retrace_ngram(spark, d):
+    return sequence.retraces(_forms(spark, d), 10)
+
+
+@query("""WITH $TIMED, p AS (SELECT *, greatest(start_ms, coalesce(lag(end_ms) OVER (PARTITION BY doc_id ORDER BY start_ms, item_no), 0)) AS new_start FROM t)
+SELECT doc_id, item_no, new_start, end_ms > new_start AS ok FROM p""")
+def timing_repair(spark, d):
+    return sequence.repaired_times(tables.timed(spark, d)).select("doc_id", "item_no", "new_start", "ok")
+
+
+@query("""WITH $TIMED, p AS (SELECT *, least(coalesce(lead(start_ms) OVER (PARTITION BY doc_id ORDER BY start_ms, item_no), start_ms + 500), end_ms) AS e FROM t)
+SELECT doc_id, item_no, CASE WHEN e > start_ms THEN e END AS new_end FROM p""")
+def word_end_repair(spark, d):
+    return sequence.word_ends(tables.timed(spark, d)).select("doc_id", "item_no", "new_end")
+
+
+@query("""WITH RECURSIVE $TIMED, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_ms, item_no) AS k FROM t),
+g(doc_id, k, item_no, b, grp) AS (SELECT doc_id, k, item_no, CASE WHEN end_ms > 86400000 THEN start_ms ELSE 0 END, CASE WHEN end_ms > 86400000 THEN 1 ELSE 0 END FROM o WHERE k = 1
+ UNION ALL SELECT o.doc_id, o.k, o.item_no, CASE WHEN o.end_ms - g.b > 86400000 THEN o.start_ms ELSE g.b END, g.grp + CASE WHEN o.end_ms - g.b > 86400000 THEN 1 ELSE 0 END FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1)
+SELECT doc_id, item_no, CAST(grp AS INTEGER) AS "group" FROM g""")
+def max_span_groups(spark, d):
+    return sequence.max_span_groups(tables.timed(spark, d), 86_400_000)
+
+
+@query("WITH $FORMS SELECT doc_id, line_no, CAST(form_no // 300 AS BIGINT) AS chunk, count(*) AS n FROM f GROUP BY doc_id, line_no, form_no // 300")
+def chunk300(spark, d):
+    return _forms(spark, d).groupBy("doc_id", "line_no", F.floor(F.col("form_no") / 300).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH $FORMS, p AS (SELECT *, coalesce(sum(CASE WHEN text IN ('.', '?', '!') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY form_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS utt FROM f)
+SELECT doc_id, line_no, CAST(utt AS BIGINT) AS utt, string_agg(text, ' ' ORDER BY form_no) AS text FROM p GROUP BY doc_id, line_no, utt""")
+def punct_split_utts(spark, d):
+    return sequence.punct_split(_forms(spark, d)).groupBy("doc_id", "line_no", "utt").agg(_joined("form_no", "text").alias("text"))
+
+
+@query("""WITH $FORMS, p AS (SELECT *, coalesce(sum(CASE WHEN text IN ('.', '?', '!') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY form_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece FROM f),
+q AS (SELECT doc_id, line_no, piece, count(*) AS n FROM p GROUP BY doc_id, line_no, piece)
+SELECT doc_id, line_no, CAST(piece AS BIGINT) AS piece, CAST(coalesce(min(CASE WHEN n >= 5 THEN piece END) OVER (PARTITION BY doc_id, line_no ORDER BY piece ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+ max(CASE WHEN n >= 5 THEN piece END) OVER (PARTITION BY doc_id, line_no ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS BIGINT) AS target FROM q""")
+def carry_short(spark, d):
+    pieces = sequence.punct_split(_forms(spark, d)).groupBy("doc_id", "line_no", F.col("utt").alias("piece")).agg(F.count(F.lit(1)).alias("n"))
+    return sequence.carried_short(pieces, 5).select("doc_id", "line_no", "piece", "target")
+
+
+@query("""WITH $TIMED, e AS (SELECT doc_id, item_no, start_ms, end_ms, unnest(range(0, 3)) AS k FROM t) SELECT doc_id, item_no, CAST(k AS INTEGER) AS k, start_ms + k * ((end_ms - start_ms) // 3) AS start_ms, start_ms + (k + 1) * ((end_ms - start_ms) // 3) AS end_ms, (['a', 'b', 'c'])[k + 1] AS word FROM e""")
+def interp_multiword(spark, d):
+    t = tables.timed(spark, d).withColumn("value", F.split(F.lit("a b c"), " "))
+    step = F.floor((F.col("end_ms") - F.col("start_ms")) / F.size("value"))
+    e = t.select("doc_id", "item_no", F.col("start_ms").alias("b"), step.alias("step"), F.posexplode("value").alias("k", "word"))
+    return e.select("doc_id", "item_no", "k", (F.col("b") + F.col("k") * F.col("step")).alias("start_ms"), (F.col("b") + (F.col("k") + 1) * F.col("step")).alias("end_ms"), "word")
+
+
+_PAIRS = [("of", "the"), ("in", "the"), ("the", "the"), ("de", "la"), ("der", "die")]
+
+
+@query(f"""WITH $FORMS, lex(a, b) AS (VALUES {", ".join(str(x) for x in _PAIRS)}),
+n AS (SELECT doc_id, line_no, form_no, text, lead(text) OVER w AS nxt FROM f WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY form_no)),
+h AS (SELECT n.*, lex.a IS NOT NULL AS pair FROM n LEFT JOIN lex ON lower(text) = a AND lower(nxt) = b),
+g AS (SELECT *, sum(CASE WHEN pair THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_no ORDER BY form_no) AS run FROM h),
+k AS (SELECT *, pair AND row_number() OVER (PARTITION BY doc_id, line_no, run, pair ORDER BY form_no) % 2 = 1 AS takes FROM g),
+e AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY doc_id, line_no ORDER BY form_no), false) AS eaten FROM k)
+SELECT doc_id, line_no, CAST(form_no AS INTEGER) AS form_no, CASE WHEN takes THEN text || nxt ELSE text END AS text FROM e WHERE NOT eaten""")
+def compound_merge(spark, d):
+    return sequence.merged_compounds(_forms(spark, d), spark.createDataFrame(_PAIRS, "left string, right string"))
+
+
+@query("""WITH $TIMED, c AS (SELECT *, CASE WHEN lag(tier) OVER w <> tier THEN 1 ELSE 0 END AS ch FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY start_ms, item_no)),
+i AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY start_ms, item_no) AS island FROM c) SELECT doc_id, CAST(island AS BIGINT) AS island, min(tier) AS tier, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM i GROUP BY doc_id, island""")
+def speaker_islands(spark, d):
+    i = sequence.islands(tables.timed(spark, d), "tier", "start_ms", "item_no")
+    return i.groupBy("doc_id", "island").agg(F.min("tier").alias("tier"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH $TIMED, h AS (SELECT doc_id, item_no, CASE WHEN item_no % 4 <> 0 THEN start_ms END AS s, CASE WHEN item_no % 4 <> 0 THEN end_ms END AS e FROM t)
+SELECT doc_id, item_no, coalesce(s, last_value(e IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS start_filled,
+coalesce(e, first_value(s IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY item_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS end_filled FROM h""")
+def time_interpolate(spark, d):
+    timed = F.col("item_no") % 4 != 0
+    t = tables.timed(spark, d).select("doc_id", "item_no", F.when(timed, F.col("start_ms")).alias("start_ms"), F.when(timed, F.col("end_ms")).alias("end_ms"))
+    return sequence.interpolated(t).select("doc_id", "item_no", "start_filled", "end_filled")
+
+
+@query("""WITH $FORMS, s AS (SELECT *, length(text) = 1 AND coalesce(length(lag(text) OVER w) = 1, false) AS c FROM f WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY form_no)),
+g AS (SELECT *, sum(CASE WHEN c THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_no ORDER BY form_no) AS g FROM s)
+SELECT doc_id, line_no, CAST(min(form_no) AS INTEGER) AS first, string_agg(text, '' ORDER BY form_no) AS text FROM g GROUP BY doc_id, line_no, g""")
+def single_letter_glue(spark, d):
+    return sequence.glued_letters(_forms(spark, d))
+
+
+@query("""WITH $TIMED, a AS (SELECT u.doc_id, u.item_no, u.tier, s.tier AS sp, row_number() OVER (PARTITION BY u.doc_id, u.item_no ORDER BY s.end_ms DESC NULLS LAST, s.item_no DESC) AS k
+ FROM t u LEFT JOIN t s ON s.doc_id = u.doc_id AND s.end_ms <= u.end_ms AND s.item_no % 3 = 0 WHERE u.item_no % 3 <> 0) SELECT doc_id, item_no, coalesce(sp, tier) AS speaker FROM a WHERE k = 1""")
+def diarize_assign(spark, d):
+    t = tables.timed(spark, d)
+    return sequence.nearest_segment(t.where("item_no % 3 <> 0"), t.where("item_no % 3 = 0").withColumnRenamed("tier", "speaker"))
+
+
+@query("""WITH $TIMED SELECT doc_id, bool_and(end_ms >= start_ms AND start_ms >= coalesce(p, 0)) AS ordered FROM (SELECT *, lag(end_ms) OVER (PARTITION BY doc_id ORDER BY item_no) AS p FROM t) GROUP BY doc_id""")
+def utt_ordered(spark, d):
+    t = tables.timed(spark, d).withColumn("p", F.lag("end_ms").over(Window.partitionBy("doc_id").orderBy("item_no")))
+    return t.groupBy("doc_id").agg(F.bool_and((F.col("end_ms") >= F.col("start_ms")) & (F.col("start_ms") >= F.coalesce("p", F.lit(0)))).alias("ordered"))
+
+
+@query("""WITH $TIMED SELECT doc_id, arg_min(start_ms, item_no) AS start_ms, arg_max(end_ms, item_no) AS end_ms FROM t WHERE item_no % 4 <> 0 GROUP BY doc_id""")
+def utterance_alignment(spark, d):
+    return tables.timed(spark, d).where("item_no % 4 <> 0").groupBy("doc_id").agg(F.min_by("start_ms", "item_no").alias("start_ms"), F.max_by("end_ms", "item_no").alias("end_ms"))
+
+
+@query(r"""SELECT conv_id AS doc_id, turn AS line_no, unnest(range(0, len(s))) AS k, unnest(s) AS sentence FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?]+[.!?]|[^.!?]+$') AS s FROM conversations)""")
+def sentence_split(spark, d):
+    parts = F.regexp_extract_all("text", F.lit("([^.!?]+[.!?]|[^.!?]+$)"), F.lit(1))
+    return tables.utterances(spark, d).select("doc_id", "line_no", F.posexplode(parts).alias("k", "sentence")).withColumn("k", F.col("k").cast("bigint"))
+
+
+# --- alignment and metrics -----------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE $FORMS, w AS (SELECT doc_id, line_no, list(lower(text) ORDER BY form_no)[1:40] AS p FROM f WHERE type = 0 GROUP BY doc_id, line_no),
+a AS (SELECT doc_id, line_no, p, lag(p) OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM w),
+e(doc_id, line_no, p, r, i, row) AS (SELECT doc_id, line_no, p, r, 0, range(0, len(p) + 1) FROM a WHERE r IS NOT NULL
+ UNION ALL SELECT doc_id, line_no, p, r, i + 1, list_reduce(range(1, len(p) + 1), lambda acc, j: list_append(acc, least(row[j + 1] + 1, acc[len(acc)] + 1, row[j] + CASE WHEN p[j] = r[i + 1] THEN 0 ELSE 2 END)), [row[1] + 1]) FROM e WHERE i < len(r))
+SELECT doc_id, line_no, CAST(row[len(row)] AS INTEGER) AS distance FROM e WHERE i = len(r)""".replace("list_reduce(range(1, len(p) + 1), lambda acc, j: ", "list_reduce(list_transform(range(1, len(p) + 1), lambda x: [x]), lambda acc, jj: ").replace("row[j + 1]", "row[jj[1] + 1]").replace("row[j]", "row[jj[1]]").replace("p[j]", "p[jj[1]]"))
+def edit_distance(spark, d):
+    pairs = alignment.adjacent_turns(_forms(spark, d), 40)
+    return pairs.select("doc_id", "line_no", alignment.distance(F.col("payload"), F.col("reference")).alias("distance"))
+
+
+@query()
+def align_path(spark, d):
+    """Alignment of each turn with the one before, over all their words."""
+    pairs = alignment.adjacent_turns(_forms(spark, d), 2**31 - 1)
+    return pairs.select("doc_id", "line_no", F.posexplode(alignment.aligned(F.col("payload"), F.col("reference"))).alias("k", "x")).select("doc_id", "line_no", "k", "x.*")
+
+
+@query()
+def wer(spark, d):
+    """Word errors of each turn against the one before: matches, extras on either side, and the rate."""
+    n = align_path(spark, d).groupBy("doc_id", "line_no").agg(*[F.count_if(F.col("op") == o).alias(o) for o in ("match", "payload", "reference")])
+    return n.withColumn("rate", (F.col("payload") + F.col("reference")) / (F.col("match") + F.col("reference")))
+
+
+@query("""WITH $FORMS, c AS (SELECT doc_id, line_no, lower(text) AS w, count(*) AS n FROM f WHERE type = 0 GROUP BY doc_id, line_no, lower(text))
+SELECT a.doc_id, a.line_no, CAST(sum(least(a.n, b.n)) AS BIGINT) AS overlap FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.line_no = b.line_no + 1 AND a.w = b.w GROUP BY a.doc_id, a.line_no""")
+def multiset_overlap(spark, d):
+    w = _words(spark, d).select("doc_id", "line_no", F.lower("text").alias("w"))
+    return metrics.overlap(w, w.withColumn("line_no", F.col("line_no") + 1), ["doc_id", "line_no"], "w")
+
+
+@query("""WITH $FORMS, c AS (SELECT doc_id, tier, count(*) AS n FROM f WHERE type = 0 GROUP BY doc_id, tier),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, tier) AS k FROM c) SELECT doc_id, tier, n AS votes FROM r WHERE k = 1""")
+def majority_speaker(spark, d):
+    return metrics.majority(_words(spark, d), ["doc_id"], "tier")
+
+
+@query("""WITH $FORMS, c AS (SELECT doc_id, line_no, count(*) AS n, count(DISTINCT lower(text)) AS u FROM f GROUP BY doc_id, line_no),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY u DESC, n, line_no DESC) AS k FROM c) SELECT doc_id, line_no, u, n FROM r WHERE k = 1""")
+def best_window(spark, d):
+    c = _forms(spark, d).groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.lower("text")).alias("u"))
+    return metrics.best(c, ["doc_id"], F.desc("u"), F.col("n"), F.desc("line_no")).select("doc_id", "line_no", "u", "n")
+
+
+_COMPARED = """
+k AS (SELECT doc_id, line_no, CASE WHEN type = 5 THEN 'PUNCT' WHEN length(text) < 4 THEN 'DET' ELSE 'NOUN' END AS pos, CASE form_no % 5 WHEN 0 THEN 'extra_main' WHEN 1 THEN 'extra_gold' ELSE 'match' END AS status FROM f)
+"""
+
+
+def _compared(spark, d):
+    status = F.when(F.col("form_no") % 5 == 0, "extra_main").when(F.col("form_no") % 5 == 1, "extra_gold").otherwise("match")
+    pos = F.when(F.col("type") == 5, "PUNCT").when(F.length("text") < 4, "DET").otherwise("NOUN")
+    return _forms(spark, d).select("doc_id", "line_no", pos.alias("pos"), status.alias("status"))
+
+
+_RATES = """count(*) FILTER (status = 'match') AS matches, count(*) FILTER (status = 'extra_main') AS insertions, count(*) FILTER (status = 'extra_gold') AS deletions FROM k WHERE pos <> 'PUNCT'"""
+_RATED = "matches, insertions, deletions, matches + deletions AS total, CASE WHEN matches + deletions > 0 THEN CAST(insertions + deletions AS DOUBLE) / (matches + deletions) ELSE 0.0 END AS wer, 1 - CASE WHEN matches + deletions > 0 THEN CAST(insertions + deletions AS DOUBLE) / (matches + deletions) ELSE CAST(0 AS DOUBLE) END AS accuracy"
+
+
+@query(f"WITH $FORMS, {_COMPARED}, c AS (SELECT doc_id, {_RATES} GROUP BY doc_id) SELECT doc_id, {_RATED} FROM c")
+def compare_metrics(spark, d):
+    return metrics.compare(_compared(spark, d), "doc_id")
+
+
+@query(f"WITH $FORMS, {_COMPARED}, c AS (SELECT pos, {_RATES} GROUP BY pos) SELECT pos, {_RATED} FROM c")
+def compare_by_pos(spark, d):
+    return metrics.compare(_compared(spark, d), "pos")
+
+
+@query(f"""WITH $FORMS, {_COMPARED} SELECT doc_id, CASE WHEN count(*) FILTER (pos = 'DET' AND status = 'match') = 0 THEN '' ELSE CAST(count(*) FILTER (pos = 'DET' AND status = 'match') AS VARCHAR) END AS det_match,
+CASE WHEN count(*) FILTER (pos = 'NOUN' AND status = 'match') = 0 THEN '' ELSE CAST(count(*) FILTER (pos = 'NOUN' AND status = 'match') AS VARCHAR) END AS noun_match FROM k GROUP BY doc_id""")
+def compare_pivot(spark, d):
+    c = _compared(spark, d)
+    p = c.groupBy("doc_id").pivot("pos", ["DET", "NOUN"]).agg(F.count(F.when(F.col("status") == "match", 1)))
+    text = lambda x: F.when(F.coalesce(x, F.lit(0)) == 0, "").otherwise(x.cast("string"))
+    return p.select("doc_id", text(F.col("DET")).alias("det_match"), text(F.col("NOUN")).alias("noun_match"))
+
+
+@query("""WITH l AS (SELECT quality = 1 AS g, toxic = 0 AS p FROM labels), c AS (SELECT count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM l)
+SELECT tp, fp, fn, tn, CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn) AS acc, CAST(tp AS DOUBLE) / (tp + fp) AS prec, CAST(tp AS DOUBLE) / (tp + fn) AS rec, CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) AS f1 FROM c""")
+def seg_f1(spark, d):
+    return metrics.segmentation(tables.table(spark, d, "labels").select((F.col("quality") == 1).alias("g"), (F.col("toxic") == 0).alias("p")), "g", "p")
+
+
+@query("""WITH $TIMED, r AS (SELECT tier, end_ms - start_ms AS v, row_number() OVER (PARTITION BY tier ORDER BY end_ms - start_ms) AS k, count(*) OVER (PARTITION BY tier) AS n FROM t) SELECT tier, v AS median, n FROM r WHERE k = n // 2 + 1""")
+def median_peak(spark, d):
+    return metrics.upper_median(tables.timed(spark, d).withColumn("v", F.col("end_ms") - F.col("start_ms")), ["tier"], "v")
+
+
+@query("""WITH $TIMED, l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY item_no DESC) AS k FROM t) SELECT doc_id, max(end_ms - start_ms) AS peak, min(end_ms - start_ms) AS least, count(*) AS n FROM l WHERE k <= 100 GROUP BY doc_id""")
+def last_samples(spark, d):
+    t = tables.timed(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("item_no")))).where("k <= 100")
+    v = F.col("end_ms") - F.col("start_ms")
+    return t.groupBy("doc_id").agg(F.max(v).alias("peak"), F.min(v).alias("least"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100")
+def largest_first(spark, d):
+    """The hundred largest documents in scheduling order: a top-k report."""
+    top = tables.table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(100)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("bigint"))
+
+
+# --- cache -----------------------------------------------------------------------------------------------------------
+
+_KEYED = "kx AS (SELECT doc_id, sha256(text || '|' || lang || '|0|') AS key, lang, source FROM documents)"
+_CACHE = "cx AS (SELECT DISTINCT ON (key) key, CASE WHEN doc_id % 2 = 0 THEN 'morphosyntax' ELSE 'utterance' END AS task, CASE WHEN doc_id % 3 = 0 THEN '1.0' ELSE '1.1' END AS engine_version, doc_id FROM (SELECT * FROM kx WHERE doc_id % 4 <> 1) ORDER BY key, doc_id)"
+
+
+def _keyed(spark, d):
+    return tables.table(spark, d, "documents").select("doc_id", cache.tag_key(F.col("text"), F.col("lang"), F.lit(False), F.lit("")).alias("key"), "lang", "source")
+
+
+def _cache(spark, d):
+    first = _keyed(spark, d).where("doc_id % 4 <> 1").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    return first.select("key", F.when(F.col("doc_id") % 2 == 0, "morphosyntax").otherwise("utterance").alias("task"), F.when(F.col("doc_id") % 3 == 0, "1.0").otherwise("1.1").alias("engine_version"), F.lit("2026-01-01").alias("created_at"), F.col("doc_id").cast("string").alias("data"))
+
+
+@query("SELECT doc_id, sha256(text || '|' || lang || '|0|') AS key FROM documents")
+def cache_key(spark, d):
+    return _keyed(spark, d).select("doc_id", "key")
+
+
+@query(f"WITH {_KEYED}, {_CACHE} SELECT kx.doc_id, CAST(cx.doc_id AS VARCHAR) AS data FROM kx JOIN cx USING (key) WHERE task = 'morphosyntax' AND engine_version = '1.1'")
+def cache_hits(spark, d):
+    return cache.hits(_keyed(spark, d), _cache(spark, d), "morphosyntax", "1.1").select("doc_id", "data")
+
+
+@query(f"WITH {_KEYED}, {_CACHE} SELECT doc_id FROM kx WHERE key NOT IN (SELECT key FROM cx WHERE task = 'morphosyntax' AND engine_version = '1.1')")
+def cache_misses(spark, d):
+    return cache.misses(_keyed(spark, d), _cache(spark, d), "morphosyntax", "1.1").select("doc_id")
+
+
+@query(f"WITH {_KEYED} SELECT key, count(*) AS n FROM kx GROUP BY key")
+def cache_resolve(spark, d):
+    """Hit, compute and write back: every row has data afterwards."""
+    rows, _ = cache.resolve(_keyed(spark, d), _cache(spark, d), "morphosyntax", "1.1", "2026-02-02", lambda x: x.withColumn("data", F.concat(F.lit("new "), "key")))
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH r AS (SELECT sha256(text) AS key, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id DESC) AS k FROM documents) SELECT key, doc_id FROM r WHERE k = 1")
+def cache_upsert(spark, d):
+    e = tables.table(spark, d, "documents").select(F.sha2("text", 256).alias("key"), F.lit("t").alias("task"), F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("created_at"), F.lit("").alias("data"), "doc_id")
+    return cache.latest(e).select("key", "doc_id")
+
+
+@query(f"WITH {_KEYED}, {_CACHE} SELECT task, engine_version, count(*) AS n FROM cx GROUP BY GROUPING SETS ((task, engine_version), (task), ())")
+def cache_stats(spark, d):
+    return cache.stats(_cache(spark, d))
+
+
+@query(f"WITH {_KEYED}, {_CACHE} SELECT count(*) FILTER (cx.key IS NOT NULL) AS hits, count(*) AS asked, avg(CASE WHEN cx.key IS NOT NULL THEN 1.0 ELSE 0.0 END) AS rate FROM kx LEFT JOIN cx ON kx.key = cx.key AND task = 'utterance'")
+def cache_hit_rate(spark, d):
+    k = _keyed(spark, d).join(_cache(spark, d).where("task = 'utterance'").select("key", F.lit(1).alias("hit")), "key", "left")
+    return k.agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("asked"), F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("rate"))
+
+
+@query("""WITH g AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 5 = 0), tpl AS (SELECT lang, min(doc_id) AS gold FROM documents WHERE doc_id % 5 = 1 AND lang <> 'es' GROUP BY lang)
+SELECT m.doc_id, coalesce(g.doc_id, tpl.gold) AS gold, CASE WHEN g.doc_id IS NULL AND tpl.gold IS NULL THEN 'no gold transcript' END AS error FROM (SELECT * FROM documents WHERE doc_id % 5 > 1) m LEFT JOIN g ON g.doc_id = m.doc_id - 2 LEFT JOIN tpl ON tpl.lang = m.lang""")
+def gold_pairing(spark, d):
+    docs = tables.table(spark, d, "documents").select("doc_id", "lang")
+    own = docs.where("doc_id % 5 = 0").select((F.col("doc_id") + 2).alias("doc_id"), F.col("doc_id").alias("own"))
+    template = docs.where("doc_id % 5 = 1 AND lang <> 'es'").groupBy("lang").agg(F.min("doc_id").alias("template"))
+    m = docs.where("doc_id % 5 > 1").join(own, "doc_id", "left").join(template, "lang", "left")
+    gold = F.coalesce("own", "template")
+    return m.select("doc_id", gold.alias("gold"), F.when(gold.isNull(), "no gold transcript").alias("error"))
+
+
+# --- words and scalars ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH $FORMS, c AS (SELECT doc_id, line_no, form_no, CASE WHEN lower(text) IN ('the') THEN ['name'] WHEN contains(text, '''') AND lower(text) LIKE '%''s%' THEN [split_part(text, '''', 1), 'is']
+WHEN lower(text) IN ('um', 'uhm', 'em', 'mhm', 'uhhm', 'eh', 'uh', 'hm') THEN ['um'] WHEN lower(text) = 'ed' THEN ['education'] WHEN lower(text) = 'ai' THEN ['a', 'i'] WHEN lower(text) = 'til' THEN ['until'] ELSE [lower(text)] END AS w FROM f WHERE type = 0)
+SELECT doc_id, line_no, CAST(form_no AS INTEGER) AS form_no, unnest(w) AS word, CAST(unnest(range(0, len(w))) AS INTEGER) AS part FROM c""")
+def conform_tokens(spark, d):
+    w = T.conform(F.col("text"), names=["the"])
+    return _words(spark, d).select("doc_id", "line_no", "form_no", F.posexplode(w).alias("part", "word"))
+
+
+_NUMBERS = [("1", "one"), ("2", "two"), ("3", "three"), ("10", "ten"), ("20", "twenty"), ("100", "hundred")]
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(replace(text, '100', 'hundred'), '20', 'twenty'), '10', 'ten'), '3', 'three'), '2', 'two'), '1', 'one') AS text FROM documents")
+def num_table(spark, d):
+    return tables.table(spark, d, "documents").select("doc_id", T.number_words(F.col("text"), _NUMBERS).alias("text"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS line_no, 'Sing' AS num, role AS kind, NULL AS absent FROM conversations".replace("NULL", "CAST(NULL AS VARCHAR)"))
+def ud_feats(spark, d):
+    m = T.features(F.concat(F.lit("Number=Sing|Kind="), "tier"))
+    return tables.utterances(spark, d).select("doc_id", "line_no", F.try_element_at(m, F.lit("Number")).alias("num"), F.try_element_at(m, F.lit("Kind")).alias("kind"), F.try_element_at(m, F.lit("Case")).alias("absent"))
+
+
+@query(r"""WITH w AS (SELECT conv_id AS doc_id, turn AS line_no, string_split(text, ' ') AS w FROM conversations), e AS (SELECT doc_id, line_no, unnest(w) AS x FROM w)
+SELECT CASE WHEN x LIKE '%.' THEN 2 WHEN x LIKE '%?' THEN 3 WHEN x LIKE '%!' THEN 4 WHEN x LIKE '%,' THEN 5 WHEN regexp_matches(x, '^\p{Lu}') THEN 1 ELSE 0 END AS label, count(*) AS n FROM e GROUP BY 1""")
+def boundary_labels(spark, d):
+    e = tables.utterances(spark, d).select(F.explode(F.split("text", " ")).alias("x"))
+    return e.groupBy(T.boundary_label(F.col("x")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH $FORMS, l AS (SELECT *, form_no % 6 AS label, lead(form_no % 6) OVER (PARTITION BY doc_id, line_no ORDER BY form_no) AS nxt FROM f WHERE type = 0)
+SELECT doc_id, line_no, string_agg(lower(text) || CASE WHEN coalesce(nxt, 0) > 1 OR label < 2 THEN '' ELSE (['.', '?', '!', ','])[label - 1] END, ' ' ORDER BY form_no) AS text FROM l GROUP BY doc_id, line_no""")
+def apply_labels(spark, d):
+    w = Window.partitionBy("doc_id", "line_no").orderBy("form_no")
+    l = _words(spark, d).withColumn("label", F.col("form_no") % 6).withColumn("next", F.lead(F.col("form_no") % 6).over(w))
+    sign = F.when((F.coalesce("next", F.lit(0)) > 1) | (F.col("label") < 2), "").otherwise(F.element_at(F.array(*map(F.lit, ".?!,")), F.greatest(F.col("label") - 1, F.lit(1))))
+    return l.select("doc_id", "line_no", "form_no", F.concat(F.lower("text"), sign).alias("x")).groupBy("doc_id", "line_no").agg(_joined("form_no", "x").alias("text"))
+
+
+@query("""SELECT vec_id, 2.8902::DOUBLE * (4.152::DOUBLE - 0.177::DOUBLE * embedding[1] - 0.006::DOUBLE * embedding[2] - 0.037::DOUBLE * embedding[3] + 0.941::DOUBLE * embedding[4] + 0.01::DOUBLE * embedding[5] + 0.093::DOUBLE * embedding[6]) > 12 AS hoarse FROM embeddings""")
+def avqi_score(spark, d):
+    e = tables.table(spark, d, "embeddings")
+    return e.select("vec_id", (T.avqi(*[F.col("embedding")[k].cast("double") for k in range(6)]) > 12).alias("hoarse"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN (n_chars * 10 // 1048576) // 10 || '.' || (n_chars * 10 // 1048576) % 10 || ' MB' WHEN n_chars >= 1024 THEN (n_chars * 10 // 1024) // 10 || '.' || (n_chars * 10 // 1024) % 10 || ' KB' ELSE n_chars || ' B' END AS size FROM documents""")
+def format_bytes(spark, d):
+    return tables.table(spark, d, "documents").select("doc_id", T.human_bytes(F.col("n_chars")).alias("size"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE 'und' END AS lang FROM documents")
+def lang_codes(spark, d):
+    codes = F.create_map(*[F.lit(x) for kv in {"en": "eng", "fr": "fra", "de": "deu", "es": "spa"}.items() for x in kv])
+    return tables.table(spark, d, "documents").select("doc_id", F.coalesce(codes[F.col("lang")], F.lit("und")).alias("lang"))
+
+
+@query("""WITH $TIMED SELECT doc_id, item_no, CAST(round_even(start_ms / 1000.0::DOUBLE * 10, 0) AS BIGINT) AS deci FROM t WHERE tier <> 'view' AND trim(tier) <> ''""")
+def asr_word_filter(spark, d):
+    return tables.timed(spark, d).where("tier <> 'view' AND trim(tier) <> ''").select("doc_id", "item_no", F.bround(F.col("start_ms") / 1000 * 10, 0).cast("bigint").alias("deci"))
+
+
+@query("""SELECT conv_id AS doc_id, turn AS line_no, sha256(regexp_replace(text || ' part|go verb|be-Ger-S', 'verb\\|(\\w+)-Ger-S', 'aux|\\1-Part-Pres-S')) AS digest FROM conversations""")
+def mor_postfix(spark, d):
+    x = F.regexp_replace(F.concat("text", F.lit(" part|go verb|be-Ger-S")), r"verb\|(\w+)-Ger-S", "aux|$1-Part-Pres-S")
+    return tables.utterances(spark, d).select("doc_id", "line_no", F.sha2(x, 256).alias("digest"))
+
+
+# --- morphology, transfer, comparison -------------------------------------------------------------------------------
+
+
+@query(r"""WITH $FORMS SELECT doc_id, line_no, CAST(form_no AS INTEGER) AS form_no, CASE form_no % 4 WHEN 0 THEN 'noun|' || lower(text) || '-Fem-Plur' WHEN 1 THEN 'verb|' || lower(text) || '-Fin-Past-S3' WHEN 2 THEN 'adj|' || lower(text) || '-S1' ELSE 'adv|' || lower(text) END AS mor FROM f WHERE type = 0""")
+def ud_mor(spark, d):
+    from colloquy.functions.morphology import mor
+
+    k = F.col("form_no") % 4
+    pos = F.when(k == 0, "NOUN").when(k == 1, "VERB").when(k == 2, "ADJ").otherwise("ADV")
+    feats = F.when(k == 0, "Number=Plur|Gender=Fem").when(k == 1, "Tense=Past|VerbForm=Fin|Person=3|Number=Sing").when(k == 2, "Degree=Pos").otherwise("_=_")
+    return _words(spark, d).select("doc_id", "line_no", "form_no", mor(pos, F.lower("text"), feats).alias("mor"))
+
+
+@query()
+def chinese_numbers(spark, d):
+    """Digits in documents as Chinese numerals."""
+    from colloquy.functions.numbers import chinese_numbers as spelled
+
+    return tables.table(spark, d, "documents").select("doc_id", F.sha2(spelled(F.col("text")), 256).alias("digest"))
+
+
+@query("""WITH $TIMED SELECT doc_id, item_no AS turn_no, 'PAR1' AS tier, item_no AS elem_no, CAST(k AS INTEGER) AS part, (['x', tier])[k + 1] AS word, start_ms + k * ((end_ms - start_ms) // 2) AS start_ms, start_ms + (k + 1) * ((end_ms - start_ms) // 2) AS end_ms
+FROM (SELECT *, unnest(range(0, 2)) AS k FROM t WHERE item_no % 5 <> 0)""")
+def asr_assembly(spark, d):
+    from colloquy.operators.transfer import assembled
+
+    t = tables.timed(spark, d)
+    value = F.when(F.col("item_no") % 5 == 0, "<pause>").otherwise(F.concat(F.lit("x "), "tier"))
+    return assembled(t.select("doc_id", F.col("item_no").alias("turn_no"), F.col("item_no").alias("elem_no"), F.lit(1).alias("speaker"), value.alias("value"), (F.col("start_ms") / 1000).alias("ts"), (F.col("end_ms") / 1000).alias("end_ts")))
+
+
+@query()
+def timing_transfer(spark, d):
+    """Times of every other word, as a recogniser would give them, carried over to all forms of each conversation."""
+    from colloquy.operators.transfer import timing_transfer as transfer
+
+    f = _words(spark, d)
+    no = F.col("line_no") * 10_000 + F.col("form_no")
+    heard = f.where("form_no % 2 = 0").select("doc_id", no.alias("word_no"), F.col("text").alias("word"), (no / 10).cast("double").alias("ts"), (no / 10 + 0.05).cast("double").alias("end_ts"))
+    return transfer(f, heard)
+
+
+@query()
+def transcript_compare(spark, d):
+    """Each conversation against a copy that lacks every seventh word."""
+    from colloquy.operators.comparison import compare
+
+    gold = _words(spark, d).select("doc_id", "line_no", "form_no", F.lower("text").alias("text"), F.lit("X").alias("pos"))
+    return compare(gold.where("form_no % 7 <> 3"), gold)
