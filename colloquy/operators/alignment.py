@@ -23,6 +23,11 @@ def _row(payload: list, reference: list, same: Callable) -> list[int]:
     return row
 
 
+def matches(payload: list, reference: list, same: Callable = lambda x, y: x == y) -> int:
+    """How many items of a best alignment match."""
+    return (len(payload) + len(reference) - _row(payload, reference, same)[-1]) // 2
+
+
 def _table(payload: list, reference: list, p0: int, r0: int, same: Callable) -> list[Item]:
     n, m = len(reference), len(payload)
     cost = [[i + j if not (i and j) else 0 for j in range(m + 1)] for i in range(n + 1)]
