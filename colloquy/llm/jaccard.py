@@ -12,7 +12,9 @@ it links with nothing.  Two documents link when 100 * intersection >= 75 * union
 4. Signature trees: in each block and class of sizes, documents ordered by size are the leaves of a tree whose nodes hold
    the OR of their token bitmaps and their range of sizes.  Two trees are walked together; a pair of nodes is dropped
    if the overlap that their bitmaps allow at most is less than their sizes need, or if all of both is one component.
-   Pairs of leaves that are left over are compared exactly.
+   Pairs of leaves that are left over are compared exactly, those with the largest possible overlap first: a first
+   round takes a few for each document, further rounds go on, with wider bitmaps, in the blocks where pairs were put
+   off and whose documents are still in different components.  The last round puts nothing off.
 
 Blocks larger than a bound are dealt to several tasks as pairs of parts.  Shingles are told apart by 64-bit hashes.
 A doc_id identifies a text (equal rows may repeat); a row without doc_id is counted but links with nothing.  Null counts
@@ -48,6 +50,8 @@ LAST = 192
 #: Documents of a block that one task takes, leaves and children of a tree's node.
 BLOCK = 1_000
 LEAVES, FAN = 8, 8
+#: Rounds in blocks: pairs for each document of the smaller component (None: all), bits of a bitmap per token.
+ROUNDS = ((4, 2), (64, 16), (None, 16))
 #: 64-bit words of bitmaps that a step of a walk compares.
 WALK_WORDS = 1 << 20
 _SEEDS = (0x0, 0x51ED270B9F4A7C15, 0x2545F4914F6CDD1D)
@@ -239,8 +243,9 @@ class Tree:
         return LEAVES if level == 1 else FAN
 
 
-def walk(p: Tree, q: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of leaves whose bitmaps allow a link and whose components differ; ``same``: the trees are one."""
+def walk(p: Tree, q: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of leaves whose bitmaps allow a link and whose components differ, and the overlap that they allow; ``same``:
+    the trees are one."""
     stack = [(len(p.levels) - 1, np.zeros(1, np.int64), len(q.levels) - 1, np.zeros(1, np.int64))]
     most_pairs = max(64, min(16_384, WALK_WORDS // p.levels[0][0].shape[1]))
     while stack:
@@ -260,11 +265,11 @@ def walk(p: Tree, q: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]
             continue
         most = np.bitwise_count(pb[a] & qb[b]).sum(axis=1) + np.minimum(px[a], qx[b])
         ok = (100 + PERCENT) * most >= PERCENT * (pl[a] + ql[b])
-        a, b = a[ok], b[ok]
+        a, b, most = a[ok], b[ok], most[ok]
         if not len(a):
             continue
         if not i and not j:
-            yield a, b
+            yield a, b, most
             continue
         down_p, down_q = i >= j and i > 0, j >= i and j > 0
         for tree, level, down, side in ((p, i, down_p, 0), (q, j, down_q, 1)):
@@ -284,36 +289,48 @@ def bitmap(tokens: np.ndarray, width: int) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def _walk_block(table: pa.Table) -> pa.Table:
-    ids, n, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "comp"))
-    home, part = table.column("home").to_numpy(zero_copy_only=False), table.column("part").to_numpy()
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-    crossed = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
-    sides = [np.flatnonzero(home & (part == x)) for x in np.unique(part)], [np.flatnonzero(~home & (part == x)) for x in np.unique(part)]
-    trees = [[(o := s[np.lexsort((comp[s], n[s]))], Tree(bits[o], n[o], comp[o])) for s in side if len(s)] for side in sides]
-    left, right = [], []
-
-    def meet(x, y, same) -> None:
-        for a, b in walk(x[1], y[1], same):
-            p, q = ids[x[0][a]], ids[y[0][b]]
-            left.append(np.minimum(p, q))
-            right.append(np.maximum(p, q))
-
-    def whose(t):
-        return part[t[0][0]]
-
-    for i, x in enumerate(trees[0]):
-        for j, y in enumerate(trees[0][i:], i):
-            if crossed != (i == j):
-                meet(x, y, i == j)
-        for y in trees[1]:
-            if crossed == (whose(x) != whose(y)):
-                meet(x, y, False)
-    a, b = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
-    return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-
-def _bits(k: int):
+def _walk_block(limit: int | None):
+    """The pairs of one part of a block; ``more``: whether some were put off."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, n, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "comp"))
+        home, part = table.column("home").to_numpy(zero_copy_only=False), table.column("part").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+        crossed = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        sides = [np.flatnonzero(home & (part == x)) for x in np.unique(part)], [np.flatnonzero(~home & (part == x)) for x in np.unique(part)]
+        trees = [[(o := s[np.lexsort((comp[s], n[s]))], Tree(bits[o], n[o], comp[o])) for s in side if len(s)] for side in sides]
+        found = [(np.zeros(0, np.int64),) * 3]
+
+        def meet(x, y, same) -> None:
+            found.extend((x[0][a], y[0][b], most) for a, b, most in walk(x[1], y[1], same))
+
+        for i, x in enumerate(trees[0]):
+            for j, y in enumerate(trees[0][i:], i):
+                if crossed != (i == j):
+                    meet(x, y, i == j)
+            for y in trees[1]:
+                if crossed == (part[x[0][0]] != part[y[0][0]]):
+                    meet(x, y, False)
+        a, b, most = (np.concatenate(x) for x in zip(*found, strict=True))
+        more = False
+        if limit is not None and len(a):
+            # a pair counts for its document in the component that has fewer documents here
+            _, index, count = np.unique(comp, return_inverse=True, return_counts=True)
+            size = count[index]
+            whose = np.where((size[a] < size[b]) | ((size[a] == size[b]) & (ids[a] < ids[b])), a, b)
+            order = np.lexsort((-most, whose))
+            first = runs(whose[order])
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            keep = order[place < limit]
+            more = len(keep) < len(a)
+            a, b = a[keep], b[keep]
+        one = lambda c: pa.array(np.full(len(a), table.column(c)[0].as_py(), np.int64))
+        return pa.table({"block": one("block"), "a": pa.array(np.minimum(ids[a], ids[b])), "b": pa.array(np.maximum(ids[a], ids[b])), "more": pa.array(np.full(len(a), more))})
+
+    return run
+
+
+def _bits(k: int, factor: int):
     """Each set's bitmap among its own class of sizes and among the guests of the class below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +339,7 @@ def _bits(k: int):
                 rows = []
                 for doc, s in chunk[low : low + 1024]:
                     c = class_of(len(s))
-                    rows += [(doc, len(s), x, x == c, bitmap(s, width_of(x))) for x in (c, c - 1)]
+                    rows += [(doc, len(s), x, x == c, bitmap(s, width_of(x, factor))) for x in (c, c - 1)]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "n", "cls", "home", "bits"])
 
@@ -337,31 +354,46 @@ def class_of(n: int) -> int:
     return c - 1
 
 
-def width_of(size_class: int) -> int:
-    """Bits of a bitmap: twice the largest set of the class, as a power of two; 256 to 65,536."""
-    return min(1 << 16, max(256, 1 << (int(2 * (100 / PERCENT) ** (size_class + 1))).bit_length()))
+def width_of(size_class: int, factor: int) -> int:
+    """Bits of a bitmap: ``factor`` times the largest set of the class, as a power of two; 256 to 65,536."""
+    return min(1 << 16, max(256, 1 << (int(factor * (100 / PERCENT) ** (size_class + 1))).bit_length()))
 
 
-def _block_pairs(docs: DataFrame, shared: DataFrame, classes: DataFrame, k: int) -> DataFrame | None:
-    """Links between classes of different components that share a prefix shingle and that the trees let pass."""
-    rows = shared.join(classes, "doc_id").select("hash", "id", "comp").distinct()
-    ends = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("block")).where("lo < hi").select("hash", "block")
-    # the shingles of one passage have nearly the same documents: those with the same smallest one make one block
-    blocks = written(rows.join(ends, "hash").select("block", "id", "comp").distinct(), "blocks")
-    if blocks.isEmpty():
-        return None
+def _walked(docs: DataFrame, blocks: DataFrame, k: int, limit: int | None, factor: int) -> DataFrame:
+    """``block, a, b, more`` of all blocks (block, id, comp)."""
     chosen = keyed_semi(docs, blocks.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
     # documents of a class of sizes meet each other and those of the next class: other sizes cannot link
-    bits = written(chosen.mapInArrow(_bits(k), "id bigint, n bigint, cls bigint, home boolean, bits binary"), "bits")
+    bits = written(chosen.mapInArrow(_bits(k, factor), "id bigint, n bigint, cls bigint, home boolean, bits binary"), "bits")
     members = blocks.join(bits.select("id", "n", "cls", "home"), "id")
     counts = members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("own")).where("lo < hi AND own")
-    counts = counts.select("block", "cls", F.ceil(F.col("m") / BLOCK).cast("bigint").alias("parts"))
+    counts = written(counts.select("block", "cls", F.ceil(F.col("m") / BLOCK).cast("bigint").alias("parts")), "parts")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
     members = members.join(counts, ["block", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     members = members.select("block", "cls", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "comp", "n", "home")
     members = members.join(bits.select("id", "home", "bits"), ["id", "home"])
-    pairs = written(members.groupBy("block", "cls", "lo", "hi").applyInArrow(_walk_block, "a bigint, b bigint").distinct(), "pairs")
-    return linked(pairs, token_arrays(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), k))
+    return written(members.groupBy("block", "cls", "lo", "hi").applyInArrow(_walk_block(limit), "block bigint, a bigint, b bigint, more boolean"), "pairs")
+
+
+def _block_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """``links``, and those between classes of different components that share a prefix shingle."""
+    rows = shared.join(classes, "doc_id").select("hash", "id", "comp").distinct()
+    ends = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("block")).where("lo < hi").select("hash", "block")
+    # the shingles of one passage have nearly the same documents: those with the same smallest one make one block
+    blocks = written(rows.join(ends, "hash").select("block", "id", "comp").distinct(), "blocks")
+    for limit, factor in ROUNDS:
+        if blocks.isEmpty():
+            break
+        walked = _walked(docs, blocks, k, limit, factor)
+        pairs = written(walked.select("a", "b").distinct(), "compared")
+        links = links.unionByName(linked(pairs, token_arrays(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), k)))
+        again = walked.where("more").select("block").distinct()
+        if again.isEmpty():
+            break
+        found = components(links)
+        found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+        blocks = written(keyed_semi(blocks, again, "block").drop("comp").join(found, "id", "left").select("block", "id", F.coalesce("component", "id").alias("comp")), "blocks")
+    return links
 
 
 def join(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
@@ -402,10 +434,8 @@ def join(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
     found = F.broadcast(found) if few else found
     labels = classed.where("id IS NOT NULL").join(found, "id", "left").select("doc_id", "id", F.coalesce("component", "id").alias("comp")).distinct()
     # 4. signature trees in blocks of different components
-    more = _block_pairs(docs, shared, labels, k)
-    if more is not None and not more.isEmpty():
-        found = components(first.unionByName(more))
-        found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    found = components(_block_links(docs, shared, labels, first, k))
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     return classed.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
 
 
