@@ -55,7 +55,7 @@ def conform(word: Column, names: list[str] = (), compounds: dict[str, str] | Non
     head = F.substring_index(word, "'", 1)
     for mark, full in CLITICS:
         rules = rules.when(low.contains(mark), F.array(head, F.lit(full)))
-    rules = rules.when(low.isin(FILLERS), F.array(F.lit("um"))).when(low.contains("-"), F.transform(F.split(low, "-"), F.trim))
+    rules = rules.when(low.isin(FILLERS), F.array(F.lit("um"))).when(low.contains("-"), F.transform(F.split(low, "-"), lambda x: F.trim(x)))
     if names:
         rules = rules.when(low.isin(list(names)), F.array(F.lit("name")))
     rules = rules.when(low.isin(list(CONTRACTIONS)), F.split(F.create_map(*[F.lit(x) for kv in CONTRACTIONS.items() for x in kv])[low], " "))

@@ -20,7 +20,11 @@ def timing_transfer(forms: DataFrame, recognised: DataFrame) -> DataFrame:
     """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame(columns=["doc_id", "line_no", "form_no", "text", "start_ms", "end_ms"])
         left = left.sort_values(["line_no", "form_no"], kind="stable").reset_index(drop=True)
+        if right.empty:
+            return left[["doc_id", "line_no", "form_no", "text"]].assign(start_ms=pd.array([None] * len(left), "Int64"), end_ms=pd.array([None] * len(left), "Int64"))
         right = right.dropna(subset=["ts"]).sort_values(["ts", "word_no"], kind="stable").reset_index(drop=True)
         start: list[Any] = [None] * len(left)
         end: list[Any] = [None] * len(left)

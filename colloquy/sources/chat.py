@@ -121,7 +121,7 @@ def headers(rows: DataFrame) -> DataFrame:
     """``doc_id, langs, media, participants`` from the header lines."""
     h = rows.where("kind = 'header'")
     pick = lambda name: F.first(F.when(F.col("id") == name, F.col("content")), ignorenulls=True)
-    langs = F.transform(F.split(pick("Languages"), ","), F.trim)
+    langs = F.transform(F.split(pick("Languages"), ","), lambda x: F.trim(x))
     return h.groupBy("doc_id").agg(langs.alias("langs"), pick("Media").alias("media"), F.sort_array(F.collect_list(F.when(F.col("id") == "ID", F.col("content")))).alias("participants"))
 
 
