@@ -34,6 +34,7 @@ def timing_transfer(forms: DataFrame, recognised: DataFrame) -> DataFrame:
                 end[r] = None if pd.isna(right["end_ts"][p]) else round(right["end_ts"][p] * 1000)
         return left[["doc_id", "line_no", "form_no", "text"]].assign(start_ms=pd.array(start, "Int64"), end_ms=pd.array(end, "Int64"))
 
+    recognised = recognised.select(*[F.col(c).alias(c) for c in recognised.columns])  # both sides may come from one DataFrame
     return forms.groupBy("doc_id").cogroup(recognised.groupBy("doc_id")).applyInPandas(run, _TIMES)
 
 

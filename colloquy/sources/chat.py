@@ -104,8 +104,8 @@ def lexed(line: pd.Series) -> pd.DataFrame:
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, line_no, kind, id, content`` of all ``.cha`` files below ``path``; continuation lines are joined."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.cha").text(path)
-    return lines(files.select(F.input_file_name().alias("doc_id"), F.col("value").alias("text")))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.cha").text(path, wholetext=True)
+    return lines(files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")))
 
 
 def lines(files: DataFrame) -> DataFrame:

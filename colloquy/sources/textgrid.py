@@ -9,8 +9,8 @@ _INTERVAL = r'xmin = ([\d.]+)\s+xmax = ([\d.]+)\s+text = "((?:[^"]|"")*)"'
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.TextGrid").text(path)
-    return intervals(files.select(F.input_file_name().alias("doc_id"), F.col("value").alias("text")))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.TextGrid").text(path, wholetext=True)
+    return intervals(files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")))
 
 
 def intervals(files: DataFrame) -> DataFrame:
