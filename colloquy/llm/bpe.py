@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.llm.shared import bounded
 from colloquy.llm.words import slices
 
 #: Longest word, in bytes, for the rank array.
@@ -219,6 +220,7 @@ def encode_decode(docs: DataFrame, path: str, *, keep_ids: bool = True, id_colum
 
     A map over the documents without any shuffle; a task holds one Arrow batch and handles a megabyte of text at a time.
     """
+    bounded(docs)
     schema = f"doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string{', ids array<int>, decoded string' if keep_ids else ''}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from colloquy.llm.shared import bounded
 from colloquy.llm.words import _LOWER, NOT_ALNUM, buffers, rolling, slices, word_hashes, word_spans
 
 WIDTH = 10
@@ -127,6 +128,7 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFr
 def find_items(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``doc_id, n_words, n_hit, spans, items`` per document: hit words, their merged spans (word numbers from 0, the end
     exclusive) and the sorted ids of the items that have an occurring window."""
+    bounded(docs)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes))

@@ -4,8 +4,9 @@ A document's set: its distinct 5-word shingles; with fewer words the whole seque
 it links with nothing.  Two documents link when 100 * intersection >= 75 * union.  No link is lost:
 
 1. Documents with the same set are one class, its smallest doc_id stands for it.
-2. Seeds: classes that share a minimum hash and are of like size are compared with the smallest id among them.  The
-   components of the links found so far need no further comparison inside.
+2. Seeds: classes that share a minimum hash and are of like size are compared with the smallest id among them, if two of
+   three minimum hashes agree (others wait for step 3).  The components of the links found so far need no further
+   comparison inside.
 3. Prefixes: in a fixed order of all shingles (those of rare words first, very frequent shingles last), two sets that
    link share one of the first ``n // 4 + 1`` shingles.  Classes of *different* components that share such a shingle
    form a block.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.llm.graph import components
 from colloquy.llm.packing import batch as record, binaries, bucket_of, planes, runs, unplanes
-from colloquy.llm.shared import BROADCAST_ROWS, keyed_semi, written
+from colloquy.llm.shared import BROADCAST_ROWS, bounded, keyed_semi, written
 from colloquy.llm.words import U, buffers, mix, rolling, slices, word_hashes
 
 SHINGLE = 5
@@ -51,7 +52,7 @@ LAST = 192
 BLOCK = 1_000
 LEAVES, FAN = 8, 8
 #: Rounds in blocks: pairs for each document of the smaller component (None: all), bits of a bitmap per token.
-ROUNDS = ((4, 2), (64, 16), (None, 16))
+ROUNDS = ((4, 2), (64, 8), (None, 8))
 #: 64-bit words of bitmaps that a step of a walk compares.
 WALK_WORDS = 1 << 20
 _SEEDS = (0x0, 0x51ED270B9F4A7C15, 0x2545F4914F6CDD1D)
@@ -325,7 +326,7 @@ def _walk_block(limit: int | None):
             more = len(keep) < len(a)
             a, b = a[keep], b[keep]
         one = lambda c: pa.array(np.full(len(a), table.column(c)[0].as_py(), np.int64))
-        return pa.table({"block": one("block"), "a": pa.array(np.minimum(ids[a], ids[b])), "b": pa.array(np.maximum(ids[a], ids[b])), "more": pa.array(np.full(len(a), more))})
+        return pa.table({"block": one("block"), "cls": one("cls"), "a": pa.array(np.minimum(ids[a], ids[b])), "b": pa.array(np.maximum(ids[a], ids[b])), "more": pa.array(np.full(len(a), more))})
 
     return run
 
@@ -359,12 +360,8 @@ def width_of(size_class: int, factor: int) -> int:
     return min(1 << 16, max(256, 1 << (int(factor * (100 / PERCENT) ** (size_class + 1))).bit_length()))
 
 
-def _walked(docs: DataFrame, blocks: DataFrame, k: int, limit: int | None, factor: int) -> DataFrame:
-    """``block, a, b, more`` of all blocks (block, id, comp)."""
-    chosen = keyed_semi(docs, blocks.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
-    # documents of a class of sizes meet each other and those of the next class: other sizes cannot link
-    bits = written(chosen.mapInArrow(_bits(k, factor), "id bigint, n bigint, cls bigint, home boolean, bits binary"), "bits")
-    members = blocks.join(bits.select("id", "n", "cls", "home"), "id")
+def _walked(members: DataFrame, bits: DataFrame, limit: int | None) -> DataFrame:
+    """``block, cls, a, b, more`` of all members (block, id, comp, n, cls, home)."""
     counts = members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("own")).where("lo < hi AND own")
     counts = written(counts.select("block", "cls", F.ceil(F.col("m") / BLOCK).cast("bigint").alias("parts")), "parts")
     counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
@@ -372,33 +369,44 @@ def _walked(docs: DataFrame, blocks: DataFrame, k: int, limit: int | None, facto
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     members = members.select("block", "cls", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "comp", "n", "home")
     members = members.join(bits.select("id", "home", "bits"), ["id", "home"])
-    return written(members.groupBy("block", "cls", "lo", "hi").applyInArrow(_walk_block(limit), "block bigint, a bigint, b bigint, more boolean"), "pairs")
+    return written(members.groupBy("block", "cls", "lo", "hi").applyInArrow(_walk_block(limit), "block bigint, cls bigint, a bigint, b bigint, more boolean"), "pairs")
 
 
 def _block_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, links: DataFrame, k: int) -> DataFrame:
     """``links``, and those between classes of different components that share a prefix shingle."""
-    rows = shared.join(classes, "doc_id").select("hash", "id", "comp").distinct()
+    rows = shared.join(classes, "doc_id").select("hash", "id", "comp")
     ends = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("block")).where("lo < hi").select("hash", "block")
     # the shingles of one passage have nearly the same documents: those with the same smallest one make one block
     blocks = written(rows.join(ends, "hash").select("block", "id", "comp").distinct(), "blocks")
+    if blocks.isEmpty():
+        return links
+
+    def bitmaps(of: DataFrame, factor: int) -> DataFrame:
+        chosen = keyed_semi(docs, of.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+        return written(chosen.mapInArrow(_bits(k, factor), "id bigint, n bigint, cls bigint, home boolean, bits binary"), "bits")
+
+    members = None
     for limit, factor in ROUNDS:
-        if blocks.isEmpty():
-            break
-        walked = _walked(docs, blocks, k, limit, factor)
+        bits = bitmaps(blocks if members is None else members, factor)
+        # documents of a class of sizes meet each other and those of the next class: other sizes cannot link
+        members = blocks.join(bits.select("id", "n", "cls", "home"), "id") if members is None else members
+        walked = _walked(members, bits, limit)
         pairs = written(walked.select("a", "b").distinct(), "compared")
         links = links.unionByName(linked(pairs, token_arrays(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), k)))
-        again = walked.where("more").select("block").distinct()
+        again = written(walked.where("more").select("block", "cls").distinct(), "again")
         if again.isEmpty():
             break
         found = components(links)
         found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-        blocks = written(keyed_semi(blocks, again, "block").drop("comp").join(found, "id", "left").select("block", "id", F.coalesce("component", "id").alias("comp")), "blocks")
+        again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+        left = members.join(again, ["block", "cls"], "left_semi").drop("comp").join(found, "id", "left")
+        members = written(left.select("block", "id", F.coalesce("component", "id").alias("comp"), "n", "cls", "home"), "members")
     return links
 
 
 def join(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+    spark = bounded(docs)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     profile = written(docs.mapInArrow(_profile(k), _PROFILE), "profile")
     rows = profile.where("kind = 0")
@@ -411,9 +419,10 @@ def join(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
     # 2. seeds
     scale = F.log(F.col("n")) / F.log(F.lit(100.0 / PERCENT))
     keys = F.array(*[F.struct(F.lit(j).alias("j"), F.floor(scale + j / 3).alias("c"), F.col(f"m{j}").alias("m")) for j in range(3)])
-    seeds = own.select("id", "n", F.explode(keys).alias("key"))
-    centres = seeds.groupBy("key").agg(F.min(F.struct("id", "n")).alias("centre"), F.max("id").alias("last")).where("centre.id < last").drop("last")
-    stars = seeds.join(centres, "key").where(F.col("id") != F.col("centre.id")).where((100 * F.least("n", "centre.n") >= PERCENT * F.greatest("n", "centre.n"))).select(F.col("id").alias("a"), F.col("centre.id").alias("b")).distinct()
+    seeds = own.select("id", "n", "m0", "m1", "m2", F.explode(keys).alias("key"))
+    centres = seeds.groupBy("key").agg(F.min(F.struct("id", "n", "m0", "m1", "m2")).alias("centre"), F.max("id").alias("last")).where("centre.id < last").drop("last")
+    agree = sum((F.col(f"m{j}") == F.col(f"centre.m{j}")).cast("int") for j in range(3)) >= 2
+    stars = seeds.join(centres, "key").where(F.col("id") != F.col("centre.id")).where(agree).where((100 * F.least("n", "centre.n") >= PERCENT * F.greatest("n", "centre.n"))).select(F.col("id").alias("a"), F.col("centre.id").alias("b")).distinct()
     stars = written(stars, "stars")
     tokens = token_arrays(docs, stars.select(F.explode(F.array("a", "b")).alias("doc_id")), k)
     first = linked(stars, tokens)

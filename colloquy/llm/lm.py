@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colloquy.llm.packing import batch as record, binaries, bucket_of, planes, runs, unplanes
-from colloquy.llm.shared import written
+from colloquy.llm.shared import bounded, written
 from colloquy.llm.words import U, buffers, slices, word_hashes
 
 FOLDS, HELD = 7, 2
@@ -290,7 +290,7 @@ def encode_corpus(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> Data
 def score_texts(docs: DataFrame, *, folds: int = FOLDS, held: int = HELD, iterations: int = ITERATIONS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs`` (doc_id, text);
     trained on the rows outside the held-out fold."""
-    spark = docs.sparkSession
+    spark = bounded(docs)
     blocks = encode_corpus(docs, folds, held)
     n = blocks.agg(F.sum("n_train")).first()[0] or 0
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

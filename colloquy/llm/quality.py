@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from colloquy.llm.packing import batch as record
-from colloquy.llm.shared import written
+from colloquy.llm.shared import bounded, written
 from colloquy.llm.words import U, buffers, slices, span_hashes
 
 FOLDS, HELD = 5, 0
@@ -212,6 +212,7 @@ def _scores(shipped):
 
 def classify(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The columns of ``docs`` (doc_id, text and any others; one named score is replaced) and ``score``, 0 to 1."""
+    bounded(docs)
     vectors, network = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), train_rows=train_rows)
     docs = docs.drop("score")
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows that may be broadcast after counting them: keys of 8 to 40 bytes, so 40 MB at most.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded(df: DataFrame) -> SparkSession:
+    """The session, in which Arrow batches are from now on BATCH_ROWS rows at most: a batch of texts fits in memory."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the lineage ends there.
 

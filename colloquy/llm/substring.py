@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.llm.packing import batch as record, binaries, bucket_of, planes, runs, unplanes
-from colloquy.llm.shared import BROADCAST_ROWS, keyed_semi, written
+from colloquy.llm.shared import BROADCAST_ROWS, bounded, keyed_semi, written
 from colloquy.llm.words import buffers, mix, rolling, slices, word_hashes
 
 WIDTH = 13
@@ -237,6 +237,7 @@ def _remove(width: int, keep_text: bool):
 
 def dedup_substrings(docs: DataFrame, *, width: int = WIDTH, keep_text: bool = True, chunk: int = CHUNK_WORDS, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` and, with ``keep_text``, ``kept`` and the removed ``spans`` of words."""
+    bounded(docs)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text")
     hits = written(repeated(docs, width=width, chunk=chunk, frequent=frequent), "removed")
     # only documents that lose something are shuffled to their positions

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.bpe import load, vocabulary
 from colloquy.llm.packing import batch as record
+from colloquy.llm.shared import bounded
 from colloquy.llm.words import slices
 
 RULES = ("first", "share")
@@ -65,6 +66,7 @@ def count_tokens(docs: DataFrame, path: str, *, rule: str = "first", sections: s
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    bounded(docs)
     schema = "doc_id bigint, section int, start int, `end` int, tokens double, crossing bigint, doc_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
