@@ -3,14 +3,14 @@
 Method: an extendible-hash index on shared files.  A text's key is a 64-bit hash of its normalised bytes (A-Z in lower
 case, nothing else changed).  The keys, counted, are written to the shared folder.  A directory of hash prefixes starts
 with one bucket; as long as a bucket holds more keys than its capacity it splits by the next bit, and the directory
-doubles when a bucket needs more bits than it has.  The directory says which task owns which range of keys: the rows
-of a bucket go to one owner.  A bucket that is overfull at the largest depth keeps its keys in a chain: it is dealt by
-key to several owners.  Under one key, texts that differ in their bytes are chained as entries of their own, so a
-collision of hashes never joins two texts.
+doubles when a bucket needs more bits than it has.  The directory says which task owns a key: all entries of a bucket go
+to one owner.  A bucket that is overfull at the largest depth becomes a chain of links, each with an owner of its own, and
+its keys are dealt to the links by their low bits.  The owner compares the bytes: under one key, texts that differ are
+chained as entries of their own, so a collision of hashes never joins two texts.
 
 Only texts whose key occurs twice or more can have an equal; all others are entries of their own as they are.  Of those
-candidates, equal texts of one task become one row before any shuffle, so a group of copies, however large, reaches its
-owner as one row for each task.
+candidates, equal texts of one task become one row before any shuffle.  A key with more than ``SPREAD`` rows is merged in
+several tasks first, so a group of copies, however large, reaches its owner as one row for each ``SPREAD`` copies at most.
 
 Null counts as empty, and empty texts are equal to each other.  Of equal texts the row with the largest doc_id stays (of
 several rows with that doc_id and text, all say so: they are one document).  Every input row gives one row.
@@ -24,8 +24,10 @@ from colloquy.llm.shared import BROADCAST_ROWS, written
 from colloquy.llm.urls import LOWER, UPPER
 
 #: Keys that a bucket holds before it splits, and the deepest directory (2**DEPTH prefixes).
-CAPACITY = 100_000
+CAPACITY = 500
 DEPTH = 16
+#: Rows of one key that are merged in one task before they go to their owner.
+SPREAD = 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -50,26 +52,29 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) ->
     return levels.join(F.broadcast(split.unionByName(root)), ["depth", "prefix"]).where((F.col("n") <= capacity) | (F.col("depth") == depth))
 
 
-def index(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def index(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, depth: int = DEPTH, spread: int = SPREAD) -> tuple[DataFrame, DataFrame]:
     """(rows, entries): ``rows`` has ``doc_id, key, text_sha256`` per input row; ``entries`` has ``key, text_sha256,
-    keep_id, group_size, bucket`` per different text that occurs twice or more."""
+    keep_id, group_size, bucket, link`` per different text that occurs twice or more, or whose key does."""
     norm = normalised(F.col(text_column))
     texts = docs.select(F.col(id_column).alias("doc_id"), norm.alias("norm")).withColumn("key", F.xxhash64("norm"))
     rows = written(texts.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "rows")
     keys = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
     buckets = written(directory(keys, capacity, depth), "directory")
-    again = keys.where("n > 1").select("key")
+    again = keys.where("n > 1")
     few = again.count() <= BROADCAST_ROWS
-    found = texts.join(F.broadcast(again) if few else again, "key", "left_semi")
+    found = texts.join(F.broadcast(again) if few else again, "key")
+    # equal texts of one task become one row here, before they go to their bucket's owner
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / spread)).alias("part")
+    found = found.groupBy("key", "norm", part).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # the directory's slots: every prefix of the largest depth in use points to its bucket (2**DEPTH of them at most)
     used = buckets.agg(F.max("depth")).first()[0] or 0
-    slots = buckets.select(F.explode(F.expr(f"sequence(shiftleft(prefix, {used} - depth), shiftleft(prefix + 1, {used} - depth) - 1)")).alias("slot"), "depth", F.concat_ws("/", "depth", "prefix").alias("bucket"), (F.col("n") > capacity).alias("chained"))
-    # equal texts of one task become one row here, before they go to their bucket's owner
+    slots = buckets.select(F.explode(F.expr(f"sequence(shiftleft(prefix, {used} - depth), shiftleft(prefix + 1, {used} - depth) - 1)")).alias("slot"), F.concat_ws("/", "depth", "prefix").alias("bucket"), F.ceil(F.col("n") / capacity).alias("links"))
     slot = prefix(F.col("key"), used) if used else F.lit(0).cast("bigint")
-    found = found.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    found = found.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size", slot.alias("slot"))
-    entries = found.join(F.broadcast(slots), "slot", "left").select("key", "text_sha256", "keep_id", "group_size", "bucket")
-    return rows, written(entries, "entries")
+    placed = found.withColumn("slot", slot).join(F.broadcast(slots), "slot").withColumn("link", F.pmod("key", "links"))
+    # one exchange: the owner of a bucket's link gets all of its rows, and merges those with equal bytes
+    owned = placed.repartition("bucket", "link").groupBy("bucket", "link", "key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    entries = owned.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size", "bucket", "link")
+    return rows, written(entries.sortWithinPartitions("bucket", "link", "key"), "entries")
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:

@@ -76,19 +76,28 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0), spark.createDataFrame([], "rule string, verdict string")).count() == 0
 
 
-@pytest.mark.parametrize("capacity", [100_000, 3])
-def test_exact(spark, corpus, capacity):
+@pytest.mark.parametrize(("capacity", "spread"), [(100_000, 10_000), (3, 10_000), (3, 1)])
+def test_exact(spark, corpus, capacity, spread):
     rows = corpus + [(500, "ÉTÉ"), (501, "été"), (502, "ÉtÉ"), (500, "ÉTÉ")]
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     groups: dict = {}
     for i, t in rows:
         groups.setdefault(low(t), []).append(i)
-    got = exact.dedup(docs_of(spark, rows), capacity=capacity, depth=6).collect()
+    got = exact.dedup(docs_of(spark, rows), capacity=capacity, depth=6, spread=spread).collect()
     want = [(i, max(groups[low(t)]), len(groups[low(t)]), i == max(groups[low(t)]), hashlib.sha256(low(t).encode()).hexdigest()) for i, t in rows]
     assert sorted(map(tuple, got)) == sorted(want)
     assert exact.dedup(docs_of(spark, EMPTY)).count() == 0
 
 
+def test_exact_owners(spark, corpus):
+    rows, entries = exact.index(docs_of(spark, corpus * 3), capacity=3, depth=4, spread=2)
+    owners: dict = {}
+    for r in entries.withColumn("file", F.input_file_name()).collect():
+        owners.setdefault((r.bucket, r.link), set()).add(r.file)
+    assert len(owners) > 16 and all(len(files) == 1 for files in owners.values())
+    assert any(link for _, link in owners)  # overfull at the largest depth
+
+
 def test_directory(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
     d = exact.directory(keys, 100, 12).collect()
