@@ -103,3 +103,60 @@ def features(feats: Column) -> Column:
 def avqi(cpps: Column, hnr: Column, shim: Column, shdb: Column, slope: Column, tilt: Column) -> Column:
     """Acoustic voice quality index; the coefficients are fixed values."""
     return 2.8902 * (4.152 - 0.177 * cpps - 0.006 * hnr - 0.037 * shim + 0.941 * shdb + 0.01 * slope + 0.093 * tilt)
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def tagging_parts(text: Column) -> tuple[Column, Column, Column]:
+    """A line made ready for a tagger: (line, end mark, special forms).
+
+    The last piece is the end mark if it holds no letter, digit or underscore; a line without one ends in a full stop.
+    Linkers go, special forms (``word@code``) become one placeholder each and come back as a list, commas stand apart.
+    """
+    last = F.element_at(F.split(text, " "), -1)
+    marked = ~last.rlike(r"[\p{L}\p{N}_]")
+    cut = _stripped(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(last)))
+    alone = marked & (cut == "")
+    line = F.when(marked & ~alone, cut).otherwise(text)
+    line = F.regexp_replace(line, r'\+,|\+\+|\+"', "")
+    special = F.regexp_extract_all(line, F.lit(r"([\p{L}\p{N}_]+@[\p{L}\p{N}_:]+)"), F.lit(1))
+    line = F.regexp_replace(line, r"[\p{L}\p{N}_]+@[\p{L}\p{N}_:]+", "xbxxx")
+    line = F.regexp_replace(F.when(line == "", ".").otherwise(line), "'$", "")
+    for old, new in ((",", " ,"), ("+ ,", "+,"), ("  ", " ")):
+        line = F.replace(line, F.lit(old), F.lit(new))
+    return line, F.when(marked & ~alone, last).otherwise("."), special
+
+
+def written_line(text: Column, abbreviations: list[str] = ()) -> Column:
+    """A main line as it is written: trailing-off signs, commas apart, single spaces; spelled-out abbreviations merged."""
+    for old, new in ((". . .", "+..."), (" ' ", "'"), ("¿", ""), ("¡", "")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = _stripped(F.regexp_replace(_stripped(text), r"^\+\.\.\.", ""))
+    text = F.replace(_stripped(F.regexp_replace(F.replace(text, F.lit(","), F.lit(" , ")), " +", " ")), F.lit("+ ,"), F.lit("+,"))
+    for a in abbreviations:
+        apart = f" {' '.join(a)} "
+        for old in (apart, apart.lower()):
+            text = F.replace(text, F.lit(old), F.lit(f" {a} "))
+    return text
+
+
+def keyword_chunks(text: Column, marks: list[str]) -> Column:
+    """Pieces that each end behind the earliest mark (of marks at one place the first in the list); the rest is the last
+    piece.  An empty text has no pieces."""
+    any_mark = "|".join(f"\\Q{m}\\E" for m in marks)
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.*?(?:{any_mark})|.+$)"), F.lit(1))
+
+
+def translation_input(text: Column, lang: Column) -> Column:
+    """What a translator gets: Chinese without spaces and with its own full stop."""
+    chinese = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("."), F.lit("。"))
+    return F.when(lang.isin("yue", "zho"), chinese).otherwise(text)
+
+
+def translation_output(text: Column, marks: list[str]) -> Column:
+    """A translation as a tier: plain signs, and a space in front of each punctuation mark, mark after mark."""
+    for old, new in (("。", "."), ("’", "'"), ("\t", " "), ("​", "")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return reduce(lambda c, m: F.replace(c, F.lit(m), F.lit(" " + m)), marks, text)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy.operators.alignment import align
 
-_TIMES = "doc_id bigint, line_no bigint, form_no int, text string, start_ms bigint, end_ms bigint"
+_TIMES = "doc_id bigint, line_no bigint, form_no bigint, text string, start_ms bigint, end_ms bigint"
 
 
 def timing_transfer(forms: DataFrame, recognised: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ l AS (SELECT *, lower(text) AS w FROM f),
 s AS (SELECT doc_id, line_no, form_no, n, lead(w, n) OVER (PARTITION BY doc_id, line_no, n ORDER BY form_no) = w AS same FROM l, (SELECT unnest(range(1, $N + 1)) AS n)),
 r AS (SELECT doc_id, line_no, form_no, n, form_no - row_number() OVER (PARTITION BY doc_id, line_no, n ORDER BY form_no) AS run FROM s WHERE same),
 m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line_no, n, run) AS k FROM r)
-SELECT DISTINCT doc_id, line_no, CAST(form_no AS INTEGER) AS form_no FROM m WHERE k >= n
+SELECT DISTINCT doc_id, line_no, form_no FROM m WHERE k >= n
 """
 
 
@@ -259,7 +259,7 @@ h AS (SELECT n.*, lex.a IS NOT NULL AS pair FROM n LEFT JOIN lex ON lower(text)
 g AS (SELECT *, sum(CASE WHEN pair THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_no ORDER BY form_no) AS run FROM h),
 k AS (SELECT *, pair AND row_number() OVER (PARTITION BY doc_id, line_no, run, pair ORDER BY form_no) % 2 = 1 AS takes FROM g),
 e AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY doc_id, line_no ORDER BY form_no), false) AS eaten FROM k)
-SELECT doc_id, line_no, CAST(form_no AS INTEGER) AS form_no, CASE WHEN takes THEN text || nxt ELSE text END AS text FROM e WHERE NOT eaten""")
+SELECT doc_id, line_no, form_no, CASE WHEN takes THEN text || nxt ELSE text END AS text FROM e WHERE NOT eaten""")
 def compound_merge(spark, d):
     return sequence.merged_compounds(_forms(spark, d), spark.createDataFrame(_PAIRS, "left string, right string"))
 
@@ -282,7 +282,7 @@ def time_interpolate(spark, d):
 
 @query("""WITH $FORMS, s AS (SELECT *, length(text) = 1 AND coalesce(length(lag(text) OVER w) = 1, false) AS c FROM f WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY form_no)),
 g AS (SELECT *, sum(CASE WHEN c THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_no ORDER BY form_no) AS g FROM s)
-SELECT doc_id, line_no, CAST(min(form_no) AS INTEGER) AS first, string_agg(text, '' ORDER BY form_no) AS text FROM g GROUP BY doc_id, line_no, g""")
+SELECT doc_id, line_no, min(form_no) AS first, string_agg(text, '' ORDER BY form_no) AS text FROM g GROUP BY doc_id, line_no, g""")
 def single_letter_glue(spark, d):
     return sequence.glued_letters(_forms(spark, d))
 
@@ -487,7 +487,7 @@ def gold_pairing(spark, d):
 
 @query("""WITH $FORMS, c AS (SELECT doc_id, line_no, form_no, CASE WHEN lower(text) IN ('the') THEN ['name'] WHEN contains(text, '''') AND lower(text) LIKE '%''s%' THEN [split_part(text, '''', 1), 'is']
 WHEN lower(text) IN ('um', 'uhm', 'em', 'mhm', 'uhhm', 'eh', 'uh', 'hm') THEN ['um'] WHEN lower(text) = 'ed' THEN ['education'] WHEN lower(text) = 'ai' THEN ['a', 'i'] WHEN lower(text) = 'til' THEN ['until'] ELSE [lower(text)] END AS w FROM f WHERE type = 0)
-SELECT doc_id, line_no, CAST(form_no AS INTEGER) AS form_no, unnest(w) AS word, CAST(unnest(range(0, len(w))) AS INTEGER) AS part FROM c""")
+SELECT doc_id, line_no, form_no, unnest(w) AS word, CAST(unnest(range(0, len(w))) AS INTEGER) AS part FROM c""")
 def conform_tokens(spark, d):
     w = T.conform(F.col("text"), names=["the"])
     return _words(spark, d).select("doc_id", "line_no", "form_no", F.posexplode(w).alias("part", "word"))
@@ -519,7 +519,7 @@ SELECT doc_id, line_no, string_agg(lower(text) || CASE WHEN coalesce(nxt, 0) > 1
 def apply_labels(spark, d):
     w = Window.partitionBy("doc_id", "line_no").orderBy("form_no")
     l = _words(spark, d).withColumn("label", F.col("form_no") % 6).withColumn("next", F.lead(F.col("form_no") % 6).over(w))
-    sign = F.when((F.coalesce("next", F.lit(0)) > 1) | (F.col("label") < 2), "").otherwise(F.element_at(F.array(*map(F.lit, ".?!,")), F.greatest(F.col("label") - 1, F.lit(1))))
+    sign = F.when((F.coalesce("next", F.lit(0)) > 1) | (F.col("label") < 2), "").otherwise(F.element_at(F.array(*map(F.lit, ".?!,")), F.greatest(F.col("label") - 1, F.lit(1)).cast("int")))
     return l.select("doc_id", "line_no", "form_no", F.concat(F.lower("text"), sign).alias("x")).groupBy("doc_id", "line_no").agg(_joined("form_no", "x").alias("text"))
 
 
@@ -554,7 +554,7 @@ def mor_postfix(spark, d):
 # --- morphology, transfer, comparison -------------------------------------------------------------------------------
 
 
-@query(r"""WITH $FORMS SELECT doc_id, line_no, CAST(form_no AS INTEGER) AS form_no, CASE form_no % 4 WHEN 0 THEN 'noun|' || lower(text) || '-Fem-Plur' WHEN 1 THEN 'verb|' || lower(text) || '-Fin-Past-S3' WHEN 2 THEN 'adj|' || lower(text) || '-S1' ELSE 'adv|' || lower(text) END AS mor FROM f WHERE type = 0""")
+@query(r"""WITH $FORMS SELECT doc_id, line_no, form_no, CASE form_no % 4 WHEN 0 THEN 'noun|' || lower(text) || '-Fem-Plur' WHEN 1 THEN 'verb|' || lower(text) || '-Fin-Past-S3' WHEN 2 THEN 'adj|' || lower(text) || '-S1' ELSE 'adv|' || lower(text) END AS mor FROM f WHERE type = 0""")
 def ud_mor(spark, d):
     from colloquy.functions.morphology import mor
 

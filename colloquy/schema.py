@@ -17,4 +17,4 @@ FILLED_PAUSES = [("um", "&-um", "um"), ("ur", "&-ur", "ur"), ("uh", "&-uh", "uh"
 REPLACEMENTS = [("mm-hmm", "mhm", "mhm"), ("mm-hum", "mhm", "mhm"), ("'em", "(th)em", "them"), ("cuz", "(be)cause", "because"), ("'cause", "(be)cause", "because")]
 
 LINE = "doc_id bigint, line_no bigint, tier string, text string"
-FORM = "doc_id bigint, line_no bigint, tier string, form_no int, text string, type int"
+FORM = "doc_id bigint, line_no bigint, tier string, form_no bigint, text string, type int"

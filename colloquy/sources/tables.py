@@ -29,7 +29,7 @@ def token_type(text: Column) -> Column:
 
 def forms(lines: DataFrame) -> DataFrame:
     """``doc_id, line_no, tier, form_no, text, type``: one row per token, numbered from 0."""
-    return lines.select("doc_id", "line_no", "tier", F.posexplode(tokens(F.col("text"))).alias("form_no", "text")).withColumn("type", token_type(F.col("text")))
+    return lines.select("doc_id", "line_no", "tier", F.posexplode(tokens(F.col("text"))).alias("form_no", "text")).withColumns({"form_no": F.col("form_no").cast("bigint"), "type": token_type(F.col("text"))})
 
 
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:

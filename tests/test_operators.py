@@ -145,3 +145,29 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.item_no: (r.new_start, r.ok) for r in spark.table("repaired").collect()}
     assert got == {1: (0, True), 2: (100, True), 3: (10, True), 4: (200, False)}
+
+
+def test_lines_for_models(spark):
+    from colloquy.functions import text as T
+
+    cases = ["a, b gumma@c +...", "no mark", "...", "", "+, yes 'm ?", "it'", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    line, ending, special = T.tagging_parts(F.col("t"))
+    got = [tuple(r) for r in rows.select(line, ending, special).orderBy("i").collect()]
+    assert got[:4] == [("a , b xbxxx", "+...", ["gumma@c"]), ("no mark", ".", []), ("...", ".", []), (".", ".", [])]
+    assert got[4][:2] == (" yes 'm", "?") and got[5][:2] == ("it", ".") and got[6][0] is None
+    said = {r.t: r.w for r in rows.select("t", T.written_line(F.lit(" +... ¿x,y . . . the U S A and"), ["USA"]).alias("w")).collect()}
+    assert {*said.values()} == {"x , y +... the USA and"}
+    chunks = spark.range(1).select(T.keyword_chunks(F.lit("b㗎喇c㗎d"), ["㗎喇", "㗎"]), T.keyword_chunks(F.lit(""), ["a"])).first()
+    assert chunks[0] == ["b㗎喇", "c㗎", "d"] and chunks[1] == []
+
+
+def test_files(spark):
+    from colloquy.operators import files
+
+    names = spark.createDataFrame([(n,) for n in ("a.cs.wav", "a.sv.wav", "b.cs.wav", "c.wav", None)], "name string")
+    got = {r.name: (r.partner, r.error) for r in files.paired(names, "cs", "sv").collect()}
+    assert got["a.cs.wav"] == ("a.sv.wav", None) and got["b.cs.wav"] == (None, "missing: b.sv.wav") and got["c.wav"][1] and got[None][1]
+    lexicon = spark.createDataFrame([("du", ["de", "le"])], "word string, parts array<string>")
+    forms = spark.createDataFrame([("Du",), ("x",), (None,)], "text string")
+    assert {r.text: r.parts for r in files.expanded(forms, lexicon).collect()} == {"Du": ["de", "le"], "x": ["x"], None: [None]}
