@@ -324,6 +324,13 @@ def edit_distance(spark, d):
     return pairs.select("doc_id", "line_no", alignment.distance(F.col("payload"), F.col("reference")).alias("distance"))
 
 
+@query()
+def edit_distance_whole(spark, d):
+    """Distance of each turn from the one before over all their words; ``edit_distance`` and its SQL end at the 40th."""
+    pairs = alignment.adjacent_turns(_forms(spark, d), 2**31 - 1)
+    return pairs.select("doc_id", "line_no", alignment.whole_distance(F.col("payload"), F.col("reference")).alias("distance"))
+
+
 @query()
 def align_path(spark, d):
     """Alignment of each turn with the one before, over all their words."""

@@ -9,6 +9,7 @@ from colloquy.functions import text as T
 from colloquy.functions.morphology import mor
 from colloquy.functions.numbers import chinese
 from colloquy.operators import alignment, cache, comparison, sequence, transfer
+from colloquy.plans import catalog
 from colloquy.plans.stages import Plan, Stage, expand, infer
 from colloquy.schema import FP, PUNCT, REGULAR, RETRACE
 from colloquy.sources import chat, textgrid
@@ -171,3 +172,13 @@ def test_files(spark):
     lexicon = spark.createDataFrame([("du", ["de", "le"])], "word string, parts array<string>")
     forms = spark.createDataFrame([("Du",), ("x",), (None,)], "text string")
     assert {r.text: r.parts for r in files.expanded(forms, lexicon).collect()} == {"Du": ["de", "le"], "x": ["x"], None: [None]}
+
+
+def test_distance_of_whole_turns(spark, tmp_path):
+    rng = random.Random(40)
+    turns = [[rng.choice("abcdef") for _ in range(n)] for n in (60, 41, 130, 1, 75)] + [["x"] * 45, ["x"] * 40 + ["y"] * 5]
+    rows = [(1, n, "t", " ".join(t)) for n, t in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    got = {r.line_no: r.distance for r in catalog.QUERIES["edit_distance_whole"](spark, f"file://{tmp_path}").collect()}
+    assert got == {n: alignment._row(b, a, lambda x, y: x == y)[-1] for n, (a, b) in enumerate(zip(turns, turns[1:]), 1)}
+    assert got[6] == 10  # only words after the 40th differ
