@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.schema import ENDING_PUNCT
 
 
-def retraces(forms: DataFrame, n_max: int) -> DataFrame:
+def _repeated(words: list, n_max: int | None) -> list[int]:
+    """Places of ``words`` that a repetition right after covers."""
+    codes: dict = {}
+    w = np.array([codes.setdefault(x, len(codes)) for x in words], np.int64)
+    marked = np.zeros(len(w), bool)
+    for n in range(1, (len(w) // 2 if n_max is None else min(n_max, len(w) // 2)) + 1):
+        same = w[n:] == w[:-n]
+        if np.count_nonzero(same) >= n:
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+            for begin, end in edges.reshape(-1, 2):
+                if end - begin >= n:
+                    marked[begin:end] = True
+    return np.flatnonzero(marked).tolist()
+
+
+def retraces(forms: DataFrame, n_max: int | None = None) -> DataFrame:
     """Positions (doc_id, line_no, form_no) that a repetition right after makes a retrace: position p is one if for some
     n and b with b <= p < b + n the n tokens from b on equal the next n.
 
     For each n the places where a token equals the one n places on form runs; a run of n or more marks all of itself.
-    ``n_max`` bounds the generated rows per token; an utterance of m tokens has no retrace longer than m / 2.
+    An utterance of m tokens has no retrace longer than m / 2, so n goes up to there, or to ``n_max`` if that is less;
+    this is done in Arrow batches, as rows for each token and n would grow with the square of an utterance.
     """
-    line = Window.partitionBy("doc_id", "line_no", "n").orderBy("form_no")
-    by_line = Window.partitionBy("doc_id", "line_no")
-    each = forms.withColumn("size", F.count(F.lit(1)).over(by_line)).withColumn("all", F.array_sort(F.collect_list(F.struct("form_no", F.lower("text").alias("w"))).over(by_line)))
-    each = each.select("doc_id", "line_no", "form_no", "size", F.lower("text").alias("w"), F.transform("all", lambda x: x["w"]).alias("all"))
-    each = each.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(n_max), F.greatest(F.lit(1), (F.col("size") / 2).cast("int"))))))
-    same = each.where(F.col("w") == F.try_element_at("all", (F.col("form_no") + F.col("n") + 1).cast("int"))).select("doc_id", "line_no", "form_no", "n")
-    runs = same.withColumn("run", F.col("form_no") - F.row_number().over(line))
-    long = runs.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "line_no", "n", "run"))).where("m >= n")
-    return long.select("doc_id", "line_no", "form_no").distinct()
+
+    @F.pandas_udf("array<int>")
+    def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lines in batches:
+            yield pd.Series([_repeated(list(x), n_max) for x in lines], dtype=object)
+
+    lines = forms.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("form_no", F.lower("text").alias("w")))).alias("x"))
+    found = lines.select("doc_id", "line_no", F.col("x.form_no").alias("no"), places(F.col("x.w")).alias("places"))
+    return found.select("doc_id", "line_no", "no", F.explode("places").alias("k")).select("doc_id", "line_no", F.get("no", F.col("k")).alias("form_no"))
 
 
 def repaired_times(items: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ def retrace_unigram(spark, d):
 
 @query("WITH $FORMS," + _RETRACE.replace("$N", "10"))
 def retrace_ngram(spark, d):
-    return sequence.retraces(_forms(spark, d), 10)
+    return sequence.retraces(_forms(spark, d))
 
 
 @query("""WITH $TIMED, p AS (SELECT *, greatest(start_ms, coalesce(lag(end_ms) OVER (PARTITION BY doc_id ORDER BY start_ms, item_no), 0)) AS new_start FROM t)

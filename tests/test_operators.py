@@ -182,3 +182,16 @@ def test_distance_of_whole_turns(spark, tmp_path):
     got = {r.line_no: r.distance for r in catalog.QUERIES["edit_distance_whole"](spark, f"file://{tmp_path}").collect()}
     assert got == {n: alignment._row(b, a, lambda x, y: x == y)[-1] for n, (a, b) in enumerate(zip(turns, turns[1:]), 1)}
     assert got[6] == 10  # only words after the 40th differ
+
+
+def conversations(spark, path, turns):
+    rows = [(1, n, "t", t) for n, t in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"file://{path}/conversations.parquet")
+    return f"file://{path}"
+
+
+def test_long_retraces(spark, tmp_path):
+    phrase = [f"w{k}" for k in range(14)]
+    turns = [phrase + phrase + ["end"], phrase[:11] * 2, ["x", *phrase, "y", *phrase], ["a"], phrase[:5] * 3]
+    got = {(r.line_no, r.form_no) for r in catalog.QUERIES["retrace_ngram"](spark, conversations(spark, tmp_path, map(" ".join, turns))).collect()}
+    assert got == {(0, k) for k in range(14)} | {(1, k) for k in range(11)} | {(4, k) for k in range(10)}
