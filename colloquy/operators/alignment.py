@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from colloquy.functions import text as T
+from colloquy.operators import sequence
+
 #: Cells up to which the whole table is kept; beyond, the problem is split in linear space.
 TABLE_CELLS = 2048
 Item = tuple[str, int, int]
@@ -96,6 +100,15 @@ def word_errors(items: list[Item], reference: list[str]) -> tuple[int, int, int]
     return sub, dele, ins
 
 
+def same_word(x: str, y: str) -> bool:
+    """:func:`colloquy.functions.text.same_word` for two words in lower case."""
+    if x == y or not ("(" in x or ")" in x or "(" in y or ")" in y):
+        return x == y
+    bare = lambda w: w.replace("(", "").replace(")", "")
+    cut = lambda w: re.sub(r"\(.*\)", "", w)
+    return bare(x) == bare(y) or cut(x) == y or x == cut(y)
+
+
 def diff_lines(items: list[Item], payload: list[str], reference: list[str]) -> str:
     sign = {"match": "  ", "payload": "- ", "reference": "+ "}
     return "\n".join(sign[op] + (reference[r] if op == "reference" else payload[p]) for op, p, r in items)
@@ -164,3 +177,38 @@ def adjacent_turns(forms: DataFrame, words: int) -> DataFrame:
     lists = forms.where("type = 0").groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("form_no", F.lower("text").alias("w")))).alias("x"))
     lists = lists.select("doc_id", "line_no", F.slice(F.transform("x", lambda x: x["w"]), 1, words).alias("payload"))
     return lists.withColumn("reference", F.lag("payload").over(Window.partitionBy("doc_id").orderBy("line_no"))).where("reference IS NOT NULL")
+
+
+_ERRORS = "struct<match:bigint,payload:bigint,reference:bigint,substitutions:bigint,deletions:bigint,insertions:bigint>"
+
+
+def errors(payload: Column, reference: Column) -> Column:
+    """What the alignment of two arrays of words by the fuzzy predicate counts: matches, extras, and word errors."""
+
+    @F.pandas_udf(_ERRORS)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for p, r in batches:
+            rows = []
+            for a, b in zip(p, r, strict=True):
+                items = align([w.lower() for w in a], [w.lower() for w in b], same_word)
+                ops = [o for o, _, _ in items]
+                rows.append([*(ops.count(o) for o in ("match", "payload", "reference")), *word_errors(items, list(b))])
+            yield pd.DataFrame(rows, columns=["match", "payload", "reference", "substitutions", "deletions", "insertions"])
+
+    return run(payload, reference)
+
+
+def compared_turns(forms: DataFrame) -> DataFrame:
+    """Each turn's words (payload) and those of the turn before (reference) as the word error rate compares them: without
+    hyphens, the payload's single letters glued, both conformed; ``words`` counts those of the reference before that."""
+    from pyspark.sql import Window
+
+    plain = forms.where("type <> 5").withColumn("text", F.replace("text", F.lit("-"), F.lit("")))
+
+    def turns(rows: DataFrame, order: str, name: str) -> DataFrame:
+        x = F.array_sort(F.collect_list(F.struct(order, T.conform(F.col("text")).alias("w"))))
+        return rows.groupBy("doc_id", "line_no").agg(F.flatten(F.transform(x, lambda x: x["w"])).alias(name), F.count(F.lit(1)).alias("words"))
+
+    before = Window.partitionBy("doc_id").orderBy("line_no")
+    gold = turns(plain, "form_no", "reference").select("doc_id", "line_no", *[F.lag(c).over(before).alias(c) for c in ("reference", "words")]).where("reference IS NOT NULL")
+    return turns(sequence.glued_letters(plain), "first", "payload").drop("words").join(gold, ["doc_id", "line_no"])

@@ -340,9 +340,12 @@ def align_path(spark, d):
 
 @query()
 def wer(spark, d):
-    """Word errors of each turn against the one before: matches, extras on either side, and the rate."""
-    n = align_path(spark, d).groupBy("doc_id", "line_no").agg(*[F.count_if(F.col("op") == o).alias(o) for o in ("match", "payload", "reference")])
-    return n.withColumn("rate", (F.col("payload") + F.col("reference")) / (F.col("match") + F.col("reference")))
+    """Word errors of each turn against the one before, as ``alignment.compared_turns`` makes them comparable: matches,
+    extras on either side, substitutions, deletions, insertions, words of the turn before as they stand there, and the
+    errors as a share of these."""
+    pairs = alignment.compared_turns(_forms(spark, d))
+    e = pairs.select("doc_id", "line_no", "words", alignment.errors(F.col("payload"), F.col("reference")).alias("e")).select("doc_id", "line_no", "e.*", "words")
+    return e.withColumn("rate", (F.col("substitutions") + F.col("deletions") + F.col("insertions")) / F.col("words"))
 
 
 @query("""WITH $FORMS, c AS (SELECT doc_id, line_no, lower(text) AS w, count(*) AS n FROM f WHERE type = 0 GROUP BY doc_id, line_no, lower(text))

@@ -195,3 +195,13 @@ def test_long_retraces(spark, tmp_path):
     turns = [phrase + phrase + ["end"], phrase[:11] * 2, ["x", *phrase, "y", *phrase], ["a"], phrase[:5] * 3]
     got = {(r.line_no, r.form_no) for r in catalog.QUERIES["retrace_ngram"](spark, conversations(spark, tmp_path, map(" ".join, turns))).collect()}
     assert got == {(0, k) for k in range(14)} | {(1, k) for k in range(11)} | {(4, k) for k in range(10)}
+
+
+def test_word_error_rate(spark, tmp_path):
+    turns = ["The dog sat down.", "the cat sat!", "He's gonna watch the BBC", "He is going to watch, the b b c"]
+    got = {r.line_no: r for r in catalog.QUERIES["wer"](spark, conversations(spark, tmp_path, turns)).collect()}
+    assert (got[1].substitutions, got[1].deletions, got[1].insertions, got[1].words, got[1].rate) == (1, 0, 1, 4, 0.5)
+    assert (got[3].match, got[3].payload, got[3].reference, got[3].words, got[3].rate) == (9, 0, 0, 5, 0.0)
+    assert alignment.same_word("(be)cause", "because") and alignment.same_word("(be)cause", "cause") and not alignment.same_word("a", "b")
+    items = alignment.align(["(be)cause", "so"], ["because", "no"], alignment.same_word)
+    assert items[0] == ("match", 0, 0) and alignment.word_errors(items, ["because", "no"]) == (1, 0, 0)
