@@ -147,7 +147,8 @@ def utterances(rows: DataFrame) -> DataFrame:
 
 def mor_items(mor: Column) -> Column:
     """Structs (pos, lemma, feats) of a ``%mor`` line, clitics as items of their own."""
-    one = lambda x: F.struct(F.substring_index(x, "|", 1).alias("pos"), F.split(F.element_at(F.split(x, r"\|"), -1), "-")[0].alias("lemma"), F.array_join(F.slice(F.split(F.element_at(F.split(x, r"\|"), -1), "-"), 2, 99), "-").alias("feats"))
+    feats = lambda x: F.split(F.element_at(F.split(x, r"\|"), -1), "-")
+    one = lambda x: F.struct(F.substring_index(x, "|", 1).alias("pos"), feats(x)[0].alias("lemma"), F.array_join(F.slice(feats(x), F.lit(2), F.size(feats(x))), "-").alias("feats"))
     return F.transform(F.split(mor, "[ ~$]"), one)
 
 

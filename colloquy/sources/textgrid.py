@@ -15,7 +15,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 def intervals(files: DataFrame) -> DataFrame:
     """``doc_id, tier_no, tier, seq, start_ms, end_ms, text`` of all intervals that hold text."""
-    tiers = files.select("doc_id", F.posexplode(F.slice(F.split("text", _ITEM), 2, 10_000)).alias("tier_no", "body"))
+    parts = F.split("text", _ITEM)
+    tiers = files.select("doc_id", F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("tier_no", "body"))
     tiers = tiers.withColumn("tier", F.regexp_extract("body", r'name = "((?:[^"]|"")*)"', 1))
     hits = tiers.select("doc_id", "tier_no", "tier", F.posexplode(F.regexp_extract_all("body", F.lit(_INTERVAL), F.lit(0))).alias("seq", "hit"))
     ms = lambda k: F.floor(F.regexp_extract("hit", _INTERVAL, k).cast("decimal(20,6)") * 1000).cast("bigint")

@@ -205,3 +205,11 @@ def test_word_error_rate(spark, tmp_path):
     assert alignment.same_word("(be)cause", "because") and alignment.same_word("(be)cause", "cause") and not alignment.same_word("a", "b")
     items = alignment.align(["(be)cause", "so"], ["because", "no"], alignment.same_word)
     assert items[0] == ("match", 0, 0) and alignment.word_errors(items, ["because", "no"]) == (1, 0, 0)
+
+
+def test_many_tiers_and_features(spark):
+    text = "".join(f'    item [{k}]:\n        name = "t{k}"\n            xmin = 0\n            xmax = 1.000\n            text = "x"\n' for k in range(1, 10_003))
+    assert textgrid.intervals(spark.createDataFrame([("d", text)], "doc_id string, text string")).count() == 10_002
+    feats = [f"F{k}" for k in range(120)]
+    (item,) = spark.range(1).select(chat.mor_items(F.lit("noun|dog-" + "-".join(feats))).alias("x")).first().x
+    assert (item.pos, item.lemma, item.feats) == ("noun", "dog", "-".join(feats))
