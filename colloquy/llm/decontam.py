@@ -98,7 +98,7 @@ class Patterns:
                     merged[-1] = (merged[-1][0], max(merged[-1][1], e))
                 else:
                     merged.append((s, e))
-            yield last - first, merged, sorted(items)
+            yield last - first, merged, sorted(items, key=lambda x: (x is None, x or ""))
 
 
 _SPANS = "array<struct<start:int,end:int>>"
@@ -127,14 +127,15 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFr
 
 def find_items(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``doc_id, n_words, n_hit, spans, items`` per document: hit words, their merged spans (word numbers from 0, the end
-    exclusive) and the sorted ids of the items that have an occurring window."""
+    exclusive) and the sorted ids of the items that have an occurring window.  Items without id are searched too; together
+    they are one null at the end of ``items``, which counts in n_items and adds nothing to items_sha256."""
     bounded(docs)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes))
     parts = []
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
+        own = items.where(F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(blocks)) == k) if blocks > 1 else items
         parts.append(_search(docs, [(r[0], r[1]) for r in own.collect()], width))
     found = parts[0]
     if blocks > 1:

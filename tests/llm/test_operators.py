@@ -220,6 +220,14 @@ def test_decontam(spark, corpus, item_bytes):
     assert decontam.find_items(docs_of(spark, corpus), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("item_bytes", [1 << 20, 20])
+def test_decontam_without_id(spark, item_bytes):
+    passage = " ".join(f"p{k}" for k in range(12))
+    bench = spark.createDataFrame([(None, passage), (None, "lone word"), (5, passage)], "item_id bigint, text string")
+    got = by_id(decontam.find_items(docs_of(spark, [(1, "a " + passage), (2, "lone word"), (3, "clean")]), bench, item_bytes=item_bytes))
+    assert [(got[i].n_hit, got[i]["items"]) for i in (1, 2, 3)] == [(12, ["5", None]), (2, [None]), (0, [])]
+
+
 def test_language_model(spark, corpus):
     rows = [(i, t) for i, t in corpus] + [(corpus[0][0], corpus[0][1]), (None, "w1 w2")]
     got = lm.score_texts(docs_of(spark, rows)).collect()
