@@ -95,6 +95,13 @@ def interpolated(items: DataFrame) -> DataFrame:
     return items.withColumns({"start_filled": F.coalesce("start_ms", before), "end_filled": F.coalesce("end_ms", after)})
 
 
+def document_spans(items: DataFrame) -> DataFrame:
+    """``doc_id, start_ms, end_ms``: the first start and the last end that are there, in the order of items; every
+    document has a row, with nulls where no item is timed."""
+    first, last = (F.when(F.col(c).isNotNull(), F.col("item_no")) for c in ("start_ms", "end_ms"))
+    return items.groupBy("doc_id").agg(F.min_by("start_ms", first).alias("start_ms"), F.max_by("end_ms", last).alias("end_ms"))
+
+
 def carried_short(pieces: DataFrame, least: int) -> DataFrame:
     """Pieces with fewer than ``least`` words join the next piece that has enough; trailing ones join the last that has
     (none if no piece has enough)."""

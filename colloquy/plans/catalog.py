@@ -302,7 +302,11 @@ def utt_ordered(spark, d):
 
 @query("""WITH $TIMED SELECT doc_id, arg_min(start_ms, item_no) AS start_ms, arg_max(end_ms, item_no) AS end_ms FROM t WHERE item_no % 4 <> 0 GROUP BY doc_id""")
 def utterance_alignment(spark, d):
-    return tables.timed(spark, d).where("item_no % 4 <> 0").groupBy("doc_id").agg(F.min_by("start_ms", "item_no").alias("start_ms"), F.max_by("end_ms", "item_no").alias("end_ms"))
+    """First start and last end of each document; items divisible by 4 stand for untimed ones, which are skipped.  A
+    document without timed items has nulls."""
+    timed = F.col("item_no") % 4 != 0
+    t = tables.timed(spark, d).select("doc_id", "item_no", F.when(timed, F.col("start_ms")).alias("start_ms"), F.when(timed, F.col("end_ms")).alias("end_ms"))
+    return sequence.document_spans(t)
 
 
 @query(r"""SELECT conv_id AS doc_id, turn AS line_no, unnest(range(0, len(s))) AS k, unnest(s) AS sentence FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?]+[.!?]|[^.!?]+$') AS s FROM conversations)""")

@@ -213,3 +213,12 @@ def test_many_tiers_and_features(spark):
     feats = [f"F{k}" for k in range(120)]
     (item,) = spark.range(1).select(chat.mor_items(F.lit("noun|dog-" + "-".join(feats))).alias("x")).first().x
     assert (item.pos, item.lemma, item.feats) == ("noun", "dog", "-".join(feats))
+
+
+def test_document_spans(spark, tmp_path):
+    rows = [(1, 1, None, None), (1, 2, 5, None), (1, 3, 7, 9), (1, 4, None, None), (2, 1, None, None)]
+    got = sequence.document_spans(spark.createDataFrame(rows, "doc_id bigint, item_no bigint, start_ms bigint, end_ms bigint"))
+    assert sorted(map(tuple, got.collect())) == [(1, 5, 9), (2, None, None)]
+    events = spark.sql("SELECT 4L AS event_id, 9L AS user_id, 'x' AS event_type, TIMESTAMP'2024-01-02 00:00:00' AS ts, 1.0D AS value")
+    events.write.parquet(f"file://{tmp_path}/events.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["utterance_alignment"](spark, f"file://{tmp_path}").collect()] == [(9, None, None)]
