@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colloquy.llm.shared import BROADCAST_ROWS
+from colloquy.llm.shared import hinted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the digest that the join compares first.
@@ -49,8 +49,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_column: str = "page_id
     )
     lengths = sorted(r[0] for r in rules.select("path_length").distinct().collect())
     rules = rules.select(F.sha2("expression", 256).alias("rule_digest"), "rule", "verdict", F.length("rule").alias("size")).withColumn("short", F.substring("rule_digest", 1, PREFIX))
-    if rules.count() <= BROADCAST_ROWS:
-        rules = F.broadcast(rules)
+    rules = hinted(rules)
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_column).alias("page_id"), F.coalesce(F.col(url_column), F.lit("")).alias("url")).withColumns({"row": F.monotonically_increasing_id(), "host": host, "path": path})
     labels = F.split("host", r"\.", -1)
