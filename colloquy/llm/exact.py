@@ -1,33 +1,46 @@
 """Operator 3: exact dedup, with DataFrame operations alone.
 
 Method: an extendible-hash index on shared files.  A text's key is a 64-bit hash of its normalised bytes (A-Z in lower
-case, nothing else changed).  The keys, counted, are written to the shared folder.  A directory of hash prefixes starts
-with one bucket; as long as a bucket holds more keys than its capacity it splits by the next bit, and the directory
-doubles when a bucket needs more bits than it has.  The directory says which task owns a key: all entries of a bucket go
-to one owner.  A bucket that is overfull at the largest depth becomes a chain of links, each with an owner of its own, and
-its keys are dealt to the links by their low bits.  The owner compares the bytes: under one key, texts that differ are
-chained as entries of their own, so a collision of hashes never joins two texts.
-
-Only texts whose key occurs twice or more can have an equal; all others are entries of their own as they are.  Of those
-candidates, equal texts of one task become one row before any shuffle.  A key with more than ``SPREAD`` rows is merged in
-several tasks first, so a group of copies, however large, reaches its owner as one row for each ``SPREAD`` copies at most.
-
-Null counts as empty, and empty texts are equal to each other.  Of equal texts the row with the largest doc_id stays (of
-several rows with that doc_id and text, all say so: they are one document).  Every input row gives one row.
+case, nothing else changed).  The index's directory starts with one bucket and global depth 0.  In each round the buckets
+that hold more keys than their capacity split by their next bit; where one of them has the directory's own depth, the
+directory doubles.  Rounds go on until no bucket is overfull: a bucket at the full 64 bits holds one key, so there is an end
+whatever the number of keys.
+
+Every key is entered.  The directory says which bucket a key belongs to, and the tasks that own the buckets write them to
+the shared folder, a bucket's entries side by side in one file, in order of key and chain.  Under a key that occurs once
+there is nothing to compare: its entry has the digest alone.  Of the other keys' rows the owner compares the bytes: equal
+texts become one entry, texts that differ are chained one after the other, so a collision of hashes never joins two
+texts.  Then each row looks its entry up: by the directory to its bucket, by its key, along the chain to its text (whose
+SHA-256 the entry keeps).
+
+Equal texts of one task become one row before any shuffle.  A key with more than ``spread`` rows is merged by several
+tasks first, so a group of copies, however large, reaches its owner as one row for each ``spread`` copies at most.
+
+Null counts as empty, and empty texts are equal to each other; long texts are compared whole.  Of equal texts the row with
+the largest doc_id stays (of several rows with that doc_id and text, all say so: they are one document; rows without
+doc_id are less than any, and where no row has one all of them say that they stay).  Every input row gives one row, an
+empty table an empty one.  Columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable
 
-from colloquy.llm.shared import BROADCAST_ROWS, written
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from colloquy.llm.shared import fits, forget, hinted, written
 from colloquy.llm.urls import LOWER, UPPER
 
-#: Keys that a bucket holds before it splits, and the deepest directory (2**DEPTH prefixes).
-CAPACITY = 500
-DEPTH = 16
+#: Keys that a bucket holds before it splits, at least; and buckets that a directory has, about: with more keys than these
+#: hold the capacity is larger, so the directory (24 bytes a bucket) always fits where it is sent.
+CAPACITY = 10_000
+BUCKETS = 50_000
 #: Rows of one key that are merged in one task before they go to their owner.
 SPREAD = 10_000
+#: Bits by which the table of counts goes deeper than buckets of even size would.
+FINE = 4
+#: Bytes of repeated keys that may be sent to all executors (keys that fewer bytes hold spare a shuffle of the texts).
+KEY_BYTES = 64 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -36,55 +49,89 @@ def normalised(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def prefix(key: Column, depth: int = DEPTH) -> Column:
-    return F.shiftrightunsigned(key, 64 - depth)
-
-
-def directory(keys: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) -> DataFrame:
-    """``depth, prefix, n``: the buckets, which cover all prefixes that occur, each with at most ``capacity`` keys unless
-    it has the largest depth.  At most 2**depth rows are handled, whatever the number of keys."""
-    slots = keys.groupBy(prefix(F.col("key"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    # a bucket of depth d holds 2**(depth - d) slots; it stands if it fits and the one it was split from did not
-    levels = slots.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"), "slot", "n").withColumn("prefix", F.expr(f"shiftright(slot, {depth} - depth)"))
-    levels = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("n"))
-    split = levels.where(F.col("n") > capacity).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
-    root = levels.where("depth = 0").select("depth", "prefix")
-    return levels.join(F.broadcast(split.unionByName(root)), ["depth", "prefix"]).where((F.col("n") <= capacity) | (F.col("depth") == depth))
-
-
-def index(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, depth: int = DEPTH, spread: int = SPREAD) -> tuple[DataFrame, DataFrame]:
-    """(rows, entries): ``rows`` has ``doc_id, key, text_sha256`` per input row; ``entries`` has ``key, text_sha256,
-    keep_id, group_size, bucket, link`` per different text that occurs twice or more, or whose key does."""
+def prefix(key: Column, depth: int) -> Column:
+    """The first ``depth`` bits (0 to 64) of a key."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("bigint")  # a shift by 64 would be none at all
+
+
+def directory(keys: DataFrame, capacity: int) -> DataFrame:
+    """``depth, prefix, n``: the buckets in use, which cover all ``keys`` (key; all different), each with at most
+    ``capacity`` of them.
+
+    The rounds work on counts by prefix, some 2**FINE to a bucket; only where one of these alone overfills a bucket are
+    its keys counted anew by more bits."""
+
+    def counted(some: DataFrame, bits: int) -> DataFrame:
+        return written(some.groupBy(prefix(F.col("key"), bits).alias("slot")).agg(F.count(F.lit(1)).alias("n")), "slots")
+
+    fine = min(64, (keys.count() // capacity).bit_length() + FINE)
+    slots, full, over, depth = counted(keys, fine), None, None, 0
+    while True:
+        if depth > fine:
+            keys = keys.withColumn("prefix", prefix(F.col("key"), depth - 1)).join(over, "prefix", "left_semi").select("key")
+            fine = min(64, fine + FINE)
+            slots, over = counted(keys, fine), None
+        at = slots.withColumn("prefix", F.shiftrightunsigned("slot", fine - depth) if fine > depth else F.col("slot")) if depth else slots.withColumn("prefix", F.lit(0).cast("bigint"))
+        if over is not None:  # the halves of the buckets that were overfull
+            at = at.withColumn("parent", F.shiftrightunsigned("prefix", 1)).join(over.withColumnRenamed("prefix", "parent"), "parent", "left_semi")
+        sizes = written(at.groupBy("prefix").agg(F.sum("n").alias("n")), "buckets")
+        stand = sizes if depth == 64 else sizes.where(F.col("n") <= capacity)
+        stand = stand.select(F.lit(depth).alias("depth"), "prefix", "n")
+        full = stand if full is None else full.unionByName(stand)
+        over = hinted(sizes.where(F.col("n") > capacity).select("prefix"))
+        if depth == 64 or over.isEmpty():
+            return written(full, "directory")
+        depth += 1
+
+
+def placed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (with key), and ``depth, prefix`` of the bucket that the directory names for each of them."""
+    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())  # 65 at most, a handful as hashes go
+    ways = F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col("key"), d).alias("prefix")) for d in depths]).cast("array<struct<depth:int,prefix:bigint>>")
+    tried = rows.withColumn("way", F.explode(ways)).select(*rows.columns, "way.depth", "way.prefix")
+    return tried.join(hinted(buckets.select("depth", "prefix")), ["depth", "prefix"])
+
+
+def index(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, spread: int = SPREAD, key: Callable[[str], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, directory, entries): ``rows`` has ``doc_id, key, digest`` per input row; ``entries`` has ``depth, prefix`` of
+    the bucket, ``key, chain, digest, keep_id, group_size`` per different text.  ``key`` makes the 64-bit key of a text."""
     norm = normalised(F.col(text_column))
-    texts = docs.select(F.col(id_column).alias("doc_id"), norm.alias("norm")).withColumn("key", F.xxhash64("norm"))
-    rows = written(texts.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "rows")
-    keys = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
-    buckets = written(directory(keys, capacity, depth), "directory")
-    again = keys.where("n > 1")
-    few = again.count() <= BROADCAST_ROWS
-    found = texts.join(F.broadcast(again) if few else again, "key")
-    # equal texts of one task become one row here, before they go to their bucket's owner
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / spread)).alias("part")
+    texts = docs.select(F.col(id_column).alias("doc_id"), norm.alias("norm")).withColumns({"key": key("norm").cast("bigint"), "task": F.spark_partition_id()})
+    rows = written(texts.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("digest")), "rows")
+    keys = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"), F.max("digest").alias("digest")), "keys")
+    buckets = directory(keys.select("key"), max(capacity, keys.count() // BUCKETS))
+    once = keys.where("n = 1").select("key", "digest", F.lit(None).cast("string").alias("norm"), "keep_id", F.col("n").alias("group_size"))
+    again = written(keys.where("n > 1").select("key", "n"), "again")
+    found = texts.join(F.broadcast(again) if 16 * again.count() <= KEY_BYTES else again, "key")
+    # equal texts of one task become one row here; a task adds to one part of a large group, so parts make no more rows
+    part = F.pmod(F.col("task"), F.ceil(F.col("n") / spread)).alias("part")
     found = found.groupBy("key", "norm", part).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # the directory's slots: every prefix of the largest depth in use points to its bucket (2**DEPTH of them at most)
-    used = buckets.agg(F.max("depth")).first()[0] or 0
-    slots = buckets.select(F.explode(F.expr(f"sequence(shiftleft(prefix, {used} - depth), shiftleft(prefix + 1, {used} - depth) - 1)")).alias("slot"), F.concat_ws("/", "depth", "prefix").alias("bucket"), F.ceil(F.col("n") / capacity).alias("links"))
-    slot = prefix(F.col("key"), used) if used else F.lit(0).cast("bigint")
-    placed = found.withColumn("slot", slot).join(F.broadcast(slots), "slot").withColumn("link", F.pmod("key", "links"))
-    # one exchange: the owner of a bucket's link gets all of its rows, and merges those with equal bytes
-    owned = placed.repartition("bucket", "link").groupBy("bucket", "link", "key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    entries = owned.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size", "bucket", "link")
-    return rows, written(entries.sortWithinPartitions("bucket", "link", "key"), "entries")
+    several = found.select("key", F.lit(None).cast("binary").alias("digest"), "norm", "keep_id", "group_size")
+    # one exchange: the owner of a bucket gets all that goes into it, and merges what has equal bytes under one key
+    owned = placed(once.unionByName(several), buckets).repartition("depth", "prefix").groupBy("depth", "prefix", "key", "norm")
+    owned = owned.agg(F.max("digest").alias("digest"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    owned = owned.withColumn("digest", F.coalesce("digest", F.unhex(F.sha2("norm", 256)))).drop("norm")
+    chain = F.row_number().over(Window.partitionBy("depth", "prefix", "key").orderBy("digest")) - 1
+    entries = owned.withColumn("chain", chain).select("depth", "prefix", "key", "chain", "digest", "keep_id", "group_size")
+    entries = written(entries.sortWithinPartitions("depth", "prefix", "key", "chain"), "entries")
+    forget(keys, again)
+    return rows, buckets, entries
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for each row of ``docs``."""
-    rows, entries = index(docs, **options)
-    entries = entries.select("key", "text_sha256", "keep_id", "group_size")
-    if entries.count() <= BROADCAST_ROWS:
-        entries = F.broadcast(entries)
+    rows, buckets, entries = index(docs, **options)
+    on = ["depth", "prefix", "key", "digest"]
+    rows = placed(rows, buckets)
+    # entries that many rows ask for go to the rows, the others meet theirs by bucket and key
+    large = entries.where(F.col("group_size") > options.get("spread", SPREAD)).drop("chain")
+    if fits(large):
+        rest = rows.join(F.broadcast(large.select(on)), on, "left_anti").join(entries.where(F.col("group_size") <= options.get("spread", SPREAD)).drop("chain"), on)
+        found = rows.join(F.broadcast(large), on).unionByName(rest)
+    else:
+        found = rows.join(entries.drop("chain"), on)
     keep = F.coalesce("keep_id", "doc_id")
-    return rows.join(entries, ["key", "text_sha256"], "left").select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return found.select("doc_id", keep.alias("keep_id"), F.col("group_size").cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
