@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.shared import written
+from colloquy.llm.shared import forget, written
 
 
 def _is_forest_of_stars(e: DataFrame) -> bool:
@@ -27,5 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = written(small.where("u <> v").distinct(), "links")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        before, e = e, written(small.where("u <> v").distinct(), "links")
+        forget(before)
+    out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out._colloquy_path = e._colloquy_path  # noqa: SLF001  for forget
+    return out

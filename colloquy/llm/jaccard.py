@@ -3,23 +3,24 @@
 A document's set: its distinct 5-word shingles; with fewer words the whole sequence as one; without words none, and then
 it links with nothing.  Two documents link when 100 * intersection >= 75 * union.  No link is lost:
 
-1. Documents with the same set are one class, its smallest doc_id stands for it.
-2. Seeds: classes that share a minimum hash and are of like size are compared with the smallest id among them, if two of
-   three minimum hashes agree (others wait for step 3).  The components of the links found so far need no further
-   comparison inside.
-3. Prefixes: in a fixed order of all shingles (those of rare words first, very frequent shingles last), two sets that
-   link share one of the first ``n // 4 + 1`` shingles.  Classes of *different* components that share such a shingle
-   form a block.
-4. Signature trees: in each block and class of sizes, documents ordered by size are the leaves of a tree whose nodes hold
+1. Documents with the same set are one class, which one row stands for (the join returns classes, not pairs of copies).
+2. Prefixes: in a fixed order of all shingles (those of rare words first, very frequent shingles last), two sets that
+   link share one of the first ``n // 4 + 1`` shingles.  Classes that share such a shingle form a block.
+3. Signature trees: in each block and class of sizes, documents ordered by size are the leaves of a tree whose nodes hold
    the OR of their token bitmaps and their range of sizes.  Two trees are walked together; a pair of nodes is dropped
    if the overlap that their bitmaps allow at most is less than their sizes need, or if all of both is one component.
-   Pairs of leaves that are left over are compared exactly, those with the largest possible overlap first: a first
-   round takes a few for each document, further rounds go on, with wider bitmaps, in the blocks where pairs were put
-   off and whose documents are still in different components.  The last round puts nothing off.
-
-Blocks larger than a bound are dealt to several tasks as pairs of parts.  Shingles are told apart by 64-bit hashes.
-A doc_id identifies a text (equal rows may repeat); a row without doc_id is counted but links with nothing.  Null counts
-as empty.
+   Pairs of leaves that are left over are compared exactly.  All links between different sets come from here.
+
+The walk goes in rounds.  In the first, a large block is dealt in parts to tasks, each part with the same few pivots of
+its block; a document has its best pair compared, one with a pivot first.  So a group of near copies becomes one
+component at a cost in proportion to its size.  Pairs that were put off, and those across parts, are the further
+rounds': there the documents outside of the block's largest component meet all others, with wider bitmaps, in those
+blocks that still hold different components.  The last round puts nothing off.
+
+Shingles are told apart by 64-bit hashes, and so are rows (by their doc_id and text): among n of them n*n/2**65 pairs are
+expected to be taken for one.  Null counts as an empty text.  Rows with one doc_id and different texts, or without
+doc_id, are documents of their own; the component's id is the smallest doc_id in it, null if there is none.  Equal rows
+each give their own row; an empty table gives an empty table; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colloquy.llm.graph import components
 from colloquy.llm.packing import batch as record, binaries, bucket_of, planes, runs, unplanes
-from colloquy.llm.shared import BROADCAST_ROWS, bounded, keyed_semi, written
+from colloquy.llm.shared import bounded, deal, forget, hinted, keyed_semi, written
 from colloquy.llm.words import U, buffers, mix, rolling, slices, word_hashes
 
 SHINGLE = 5
@@ -48,14 +49,15 @@ FREQUENT_SHINGLES = 200_000
 SLOTS = 1 << 14
 #: Place in the order of shingles (0 to 255) from which on the frequent ones stand.
 LAST = 192
-#: Documents of a block that one task takes, leaves and children of a tree's node.
-BLOCK = 1_000
+#: Documents of a block that one task takes, those of them that all its tasks get, leaves and children of a tree's node.
+BLOCK, PIVOTS = 256, 16
 LEAVES, FAN = 8, 8
 #: Rounds in blocks: pairs for each document of the smaller component (None: all), bits of a bitmap per token.
-ROUNDS = ((4, 2), (64, 8), (None, 8))
+ROUNDS = ((1, 4), (16, 8), (None, 8))
 #: 64-bit words of bitmaps that a step of a walk compares.
 WALK_WORDS = 1 << 20
-_SEEDS = (0x0, 0x51ED270B9F4A7C15, 0x2545F4914F6CDD1D)
+#: Windows of prefixes that one group of the exchange takes, as bytes of text.
+BUCKET_BYTES = 64 << 20
 
 
 def slot_of(words: np.ndarray) -> np.ndarray:
@@ -92,43 +94,56 @@ def shingles(batches: Iterator[pa.RecordBatch], k: int, counts: np.ndarray | Non
         yield out
 
 
-_PROFILE = "kind int, doc_id bigint, n bigint, d1 bigint, d2 bigint, m0 bigint, m1 bigint, m2 bigint"
+_PROFILE = "kind int, row bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint"
+
+
+def row_key() -> Column:
+    """What tells rows apart: 64 bits of doc_id and text."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
-        for chunk in shingles(batches, k, counts):
+
+        def both() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids.extend(b.column(2).to_pylist())
+                yield b
+
+        ids: list = []
+        for chunk in shingles(both(), k, counts):
             rows = []
-            for doc, s in chunk:
+            for (row, s), doc in zip(chunk, ids, strict=False):
                 if len(s):
                     d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    low = [int(s[0]), *(int(mix(s ^ U(x)).min()) for x in _SEEDS[1:])]
-                    rows.append((0, doc, len(s), int(d[0]), int(d[1]), *np.array(low, np.uint64).view(np.int64).tolist()))
+                    rows.append((0, row, doc, len(s), int(d[0]), int(d[1])))
                 else:
-                    rows.append((0, doc, 0, None, None, None, None, None))
+                    rows.append((0, row, doc, 0, None, None))
+            del ids[: len(chunk)]
             every = np.sort(np.concatenate([s for _, s in chunk])) if chunk else np.zeros(0, np.uint64)
             begin = runs(every)
             count = np.diff(np.append(begin, len(every)))
             often = np.flatnonzero(count > FREQUENT)
-            rows += [(1, None, c, h, None, None, None, None) for h, c in zip(every[begin[often]].view(np.int64).tolist(), count[often].tolist(), strict=True)]
+            rows += [(1, None, None, c, h, None) for h, c in zip(every[begin[often]].view(np.int64).tolist(), count[often].tolist(), strict=True)]
             yield _profiles(rows)
         # slots with far more words than most; the others are as good as equal
         common = np.flatnonzero(counts > 4 * counts.mean()).tolist()
         if common:
-            yield _profiles([(2, None, int(counts[x]), x, None, None, None, None) for x in common])
+            yield _profiles([(2, None, None, int(counts[x]), x, None) for x in common])
 
     return run
 
 
 def _profiles(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["kind", "doc_id", "n", "d1", "d2", "m0", "m1", "m2"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["kind", "row", "doc_id", "n", "d1", "d2"])
 
 
 def _arrays(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in shingles(batches, k):
+            chunk = [*dict(chunk).items()]  # repeated rows once
             for low in range(0, len(chunk), 256):
                 some = chunk[low : low + 256]
                 yield record(id=pa.array([d for d, _ in some], pa.int64()), n=pa.array([len(s) for _, s in some], pa.int64()), tokens=pa.array([s.tobytes() for _, s in some], pa.binary()))
@@ -136,10 +151,19 @@ def _arrays(k: int):
     return run
 
 
+def _once(table: DataFrame, *keys: str) -> DataFrame:
+    """``table``, of whose rows with the same keys one stays: repeated rows may have met in several tasks."""
+    if table.groupBy(*keys).count().where("count > 1").isEmpty():
+        return table
+    found = written(table.dropDuplicates([*keys]), "once")
+    forget(table)
+    return found
+
+
 def token_arrays(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``id, n, tokens`` of the documents named in ``ids`` (doc_id), written to the shared folder."""
-    chosen = keyed_semi(docs, ids.distinct(), "doc_id")
-    return written(chosen.mapInArrow(_arrays(k), "id bigint, n bigint, tokens binary"), "tokens")
+    """``id, n, tokens`` of the rows named in ``ids`` (row), written to the shared folder."""
+    chosen = keyed_semi(docs, written(ids.distinct(), "chosen"), "row")
+    return _once(written(chosen.mapInArrow(_arrays(k), "id bigint, n bigint, tokens binary"), "tokens"), "id")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,21 +180,24 @@ def linked(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by exact comparison."""
     left = tokens.select(F.col("id").alias("a"), F.col("tokens").alias("s"))
     right = tokens.select(F.col("id").alias("b"), F.col("tokens").alias("t"))
-    return written(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(_compare, "a bigint, b bigint"), "linked")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "s", "t")
+    return written(both.mapInArrow(_compare, "a bigint, b bigint"), "linked")
+
 
+def _prefixes(k: int, labels: list[int], shipped):
+    buckets = len(labels)
 
-def _prefixes(k: int, buckets: int, shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, last, weights = shipped.value  # sorted hashes of frequent shingles, their place in the order; words' weights
         for chunk in shingles(batches, k, weights=weights):
             known: dict[bytes, int] = {}
             for doc, s, _ in chunk:  # documents with the same set, as far as they meet here, are one
-                if doc is not None and len(s):
+                if len(s):
                     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     known[key] = min(known.get(key, doc), doc)
             keep = {*known.values()}
             hs, ids, rare = [], [], []
-            for doc, s, place in chunk:
+            for doc, s, place in sorted(chunk, key=lambda x: x[0]):  # in order, so that ids pack well
                 if doc not in keep or not len(s):
                     continue
                 keep.discard(doc)
@@ -189,14 +216,14 @@ def _prefixes(k: int, buckets: int, shipped):
                 continue
             h, doc, seldom = np.concatenate(hs), np.concatenate(ids), np.concatenate(rare)
             bucket = bucket_of(h, buckets)
-            bucket[~seldom] += buckets  # these are dealt evenly and are never gathered by shingle in one task
+            bucket[~seldom] += buckets  # these are dealt by document and never gathered by shingle in one task
             order = np.argsort(bucket, kind="stable")
             for some in np.split(order, runs(bucket[order])[1:]):
-                kind = int(bucket[some[0]] >= buckets)
+                b = int(bucket[some[0]])
                 begin = runs(doc[some])
                 yield record(
-                    bucket=pa.array([int(bucket[some[0]]) if not kind else buckets + int(doc[some[0]] % buckets)], pa.int32()),
-                    kind=pa.array([kind], pa.int32()),
+                    bucket=pa.array([labels[b] if b < buckets else labels[int(doc[some[0]] % buckets)]], pa.int32()),
+                    kind=pa.array([int(b >= buckets)], pa.int32()),
                     hashes=pa.array([h[some].tobytes()], pa.binary()),
                     docs=pa.array([planes(doc[some][begin])], pa.binary()),
                     sizes=pa.array([planes(np.append(begin[1:], len(some)), 4)], pa.binary()),
@@ -206,25 +233,37 @@ def _prefixes(k: int, buckets: int, shipped):
 
 
 def _shared_prefixes(table: pa.Table) -> pa.Table:
-    """(hash, doc_id) where a shingle stands in the prefixes of two documents or more; frequent ones pass as they are."""
+    """(hash, block, row): for a shingle that stands in the prefixes of two rows or more the least of them as its block,
+    once for all shingles with the same rows; frequent shingles pass as they are, with their hash."""
     parts: dict[int, list] = {0: [], 1: []}
     for kind, h, d, n in zip(table.column("kind").to_pylist(), *(binaries(table.column(c)) for c in ("hashes", "docs", "sizes")), strict=True):
         parts[kind].append((np.frombuffer(h, np.uint64), np.repeat(unplanes(d), np.diff(unplanes(n, 4), prepend=0))))
-    hs, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    none = np.zeros(0, np.int64)
+    block, doc = none, none
     if parts[0]:
         h, doc = (np.concatenate(x) for x in zip(*parts[0], strict=True))
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
-        again = np.zeros(len(h), bool)
-        same = h[1:] == h[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        hs.append(h[again])
-        docs.append(doc[again])
-    for h, doc in parts[1]:
-        hs.append(h)
-        docs.append(doc)
-    return pa.table({"hash": pa.array(np.concatenate(hs).view(np.int64)), "doc_id": pa.array(np.concatenate(docs))})
+        begin = runs(h)
+        count = np.diff(np.append(begin, len(h)))
+        block = np.repeat(doc[begin], count)
+        # two different rows at least; the shingles of one passage have nearly the same rows, and become one block
+        several = np.repeat(doc[begin] < np.maximum.reduceat(doc, begin), count)
+        block, doc = block[several], doc[several]
+        order = np.lexsort((doc, block))
+        block, doc = block[order], doc[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
+        block, doc = block[new], doc[new]
+    often = [np.concatenate(x) for x in zip(*parts[1], strict=True)] if parts[1] else [none.view(np.uint64), none]
+    size = len(doc), len(often[1])
+    return pa.table(
+        {
+            "hash": pa.array(np.concatenate([np.zeros(size[0], np.int64), often[0].view(np.int64)]), mask=np.repeat([True, False], size)),
+            "block": pa.array(np.concatenate([block, np.zeros(size[1], np.int64)]), mask=np.repeat([False, True], size)),
+            "row": pa.array(np.concatenate([doc, often[1]])),
+        }
+    )
 
 
 class Tree:
@@ -295,7 +334,7 @@ def _walk_block(limit: int | None):
 
     def run(table: pa.Table) -> pa.Table:
         ids, n, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "comp"))
-        home, part = table.column("home").to_numpy(zero_copy_only=False), table.column("part").to_numpy()
+        home, part, pivot = table.column("home").to_numpy(zero_copy_only=False), table.column("part").to_numpy(), table.column("pivot").to_numpy(zero_copy_only=False)
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
         crossed = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         sides = [np.flatnonzero(home & (part == x)) for x in np.unique(part)], [np.flatnonzero(~home & (part == x)) for x in np.unique(part)]
@@ -315,11 +354,12 @@ def _walk_block(limit: int | None):
         a, b, most = (np.concatenate(x) for x in zip(*found, strict=True))
         more = False
         if limit is not None and len(a):
-            # a pair counts for its document in the component that has fewer documents here
+            # a pair counts for the document that is no pivot, or for that in the component that has fewer documents here
             _, index, count = np.unique(comp, return_inverse=True, return_counts=True)
             size = count[index]
-            whose = np.where((size[a] < size[b]) | ((size[a] == size[b]) & (ids[a] < ids[b])), a, b)
-            order = np.lexsort((-most, whose))
+            less = (size[a] < size[b]) | ((size[a] == size[b]) & (ids[a] < ids[b]))
+            whose = np.where(np.where(pivot[a] == pivot[b], less, pivot[b]), a, b)
+            order = np.lexsort((-most, ~(pivot[a] | pivot[b]), whose))
             first = runs(whose[order])
             place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
             keep = order[place < limit]
@@ -336,6 +376,7 @@ def _bits(k: int, factor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in shingles(batches, k):
+            chunk = [*dict(chunk).items()]  # repeated rows once
             for low in range(0, len(chunk), 1024):
                 rows = []
                 for doc, s in chunk[low : low + 1024]:
@@ -360,74 +401,80 @@ def width_of(size_class: int, factor: int) -> int:
     return min(1 << 16, max(256, 1 << (int(factor * (100 / PERCENT) ** (size_class + 1))).bit_length()))
 
 
-def _walked(members: DataFrame, bits: DataFrame, limit: int | None) -> DataFrame:
-    """``block, cls, a, b, more`` of all members (block, id, comp, n, cls, home)."""
-    counts = members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("own")).where("lo < hi AND own")
-    counts = written(counts.select("block", "cls", F.ceil(F.col("m") / BLOCK).cast("bigint").alias("parts")), "parts")
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
-    members = members.join(counts, ["block", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    members = members.select("block", "cls", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "comp", "n", "home")
-    members = members.join(bits.select("id", "home", "bits"), ["id", "home"])
-    return written(members.groupBy("block", "cls", "lo", "hi").applyInArrow(_walk_block(limit), "block bigint, cls bigint, a bigint, b bigint, more boolean"), "pairs")
-
-
-def _block_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, links: DataFrame, k: int) -> DataFrame:
-    """``links``, and those between classes of different components that share a prefix shingle."""
-    rows = shared.join(classes, "doc_id").select("hash", "id", "comp")
-    ends = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("block")).where("lo < hi").select("hash", "block")
-    # the shingles of one passage have nearly the same documents: those with the same smallest one make one block
-    blocks = written(rows.join(ends, "hash").select("block", "id", "comp").distinct(), "blocks")
-    if blocks.isEmpty():
-        return links
-
-    def bitmaps(of: DataFrame, factor: int) -> DataFrame:
-        chosen = keyed_semi(docs, of.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
-        return written(chosen.mapInArrow(_bits(k, factor), "id bigint, n bigint, cls bigint, home boolean, bits binary"), "bits")
-
-    members = None
+_DEALT = ["block", "cls", "lo", "hi", "part", "id", "comp", "n", "home", "pivot"]
+
+
+def _first_round(members: DataFrame) -> DataFrame:
+    """Each member in the task of its part, pivots in those of all parts of their block."""
+    counts = members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("home").alias("own")).where("least < most AND own")
+    counts = hinted(written(counts.select("block", "cls", "m", F.ceil(F.col("m") / BLOCK).cast("bigint").alias("parts")), "parts"))
+    members = members.join(counts, ["block", "cls"]).withColumns({"part": F.pmod(F.xxhash64("id"), F.col("parts")), "pivot": (F.col("parts") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.col("m")) < PIVOTS)})
+    parts = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array("part"))
+    return members.withColumn("part", F.explode(parts)).withColumns({"lo": F.col("part"), "hi": F.col("part")}).select(_DEALT)
+
+
+def _later_round(members: DataFrame) -> DataFrame:
+    """In blocks that hold several components: documents outside of the largest meet each other and all of that one."""
+    comps = members.groupBy("block", "cls", "comp").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("own"))
+    total = comps.groupBy("block", "cls").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.sum("m").alias("m"), F.max("m").alias("most"), F.count(F.lit(1)).alias("c"), F.max("own").alias("own")).where("c > 1 AND own")
+    sizes = total.select("block", "cls", "largest", F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("bigint").alias("few"), F.ceil(F.col("most") / BLOCK).cast("bigint").alias("many"))
+    members = members.join(hinted(written(sizes, "parts")), ["block", "cls"])
+    large, place, zero = F.col("comp") == F.col("largest"), F.xxhash64("id"), F.lit(0).cast("bigint")
+    members = members.withColumn("part", F.when(large, F.col("few") + F.pmod(place, F.col("many"))).otherwise(F.pmod(place, F.col("few"))))
+    others = F.sequence(zero, F.col("few") - 1 + F.when(large, zero).otherwise(F.col("many")))
+    members = members.withColumn("other", F.explode(others))
+    return members.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other"), "pivot": F.lit(False)}).select(_DEALT)
+
+
+def _walked(dealt: DataFrame, bits: DataFrame, limit: int | None) -> DataFrame:
+    """``block, cls, a, b, more``: the pairs that the trees of each task leave over."""
+    joined = dealt.join(bits.select("id", "home", "bits"), ["id", "home"])
+    return written(joined.groupBy("block", "cls", "lo", "hi").applyInArrow(_walk_block(limit), "block bigint, cls bigint, a bigint, b bigint, more boolean"), "pairs")
+
+
+def _block_links(docs: DataFrame, blocks: DataFrame, k: int) -> DataFrame | None:
+    """All links that are needed: between classes that share a block (block, id), until all that link are connected."""
+    links, members, found = None, None, None
     for limit, factor in ROUNDS:
-        bits = bitmaps(blocks if members is None else members, factor)
-        # documents of a class of sizes meet each other and those of the next class: other sizes cannot link
-        members = blocks.join(bits.select("id", "n", "cls", "home"), "id") if members is None else members
-        walked = _walked(members, bits, limit)
+        chosen = keyed_semi(docs, written((blocks if members is None else members).select(F.col("id").alias("row")).distinct(), "chosen"), "row")
+        bits = _once(written(chosen.mapInArrow(_bits(k, factor), "id bigint, n bigint, cls bigint, home boolean, bits binary"), "bits"), "id", "home")
+        if members is None:  # documents of a class of sizes meet each other and those of the next class: other sizes cannot link
+            members = written(blocks.join(bits.select("id", "n", "cls", "home"), "id").withColumn("comp", F.col("id")), "members")
+            walked = _walked(_first_round(members), bits, limit)
+        else:
+            walked = _walked(_later_round(members), bits, limit)
         pairs = written(walked.select("a", "b").distinct(), "compared")
-        links = links.unionByName(linked(pairs, token_arrays(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), k)))
-        again = written(walked.where("more").select("block", "cls").distinct(), "again")
+        tokens = token_arrays(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")), k)
+        new = linked(pairs, tokens)
+        links = new if links is None else links.unionByName(new)
+        forget(tokens, pairs, bits)
+        if limit is None:
+            break
+        again = walked.where("more").select("block", "cls")
+        if found is None:  # the parts of a block have not met each other yet
+            again = again.unionByName(members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("block", "cls"))
+        again = written(again.distinct(), "again")
         if again.isEmpty():
             break
         found = components(links)
-        found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-        again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-        left = members.join(again, ["block", "cls"], "left_semi").drop("comp").join(found, "id", "left")
-        members = written(left.select("block", "id", F.coalesce("component", "id").alias("comp"), "n", "cls", "home"), "members")
+        left = members.join(hinted(again), ["block", "cls"], "left_semi").drop("comp").join(hinted(found), "id", "left")
+        before, members = members, written(left.select("block", "id", F.coalesce("component", "id").alias("comp"), "n", "cls", "home"), "members")
+        forget(before, walked, again, found)
     return links
 
 
-def join(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
+def groups(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
+    """``row, doc_id, n_shingles, root, component_id`` for each row of ``docs`` (doc_id, text): ``row`` is :func:`row_key`,
+    ``root`` the same for all rows of a component and null for a text without words."""
     spark = bounded(docs)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").select(row_key().alias("row"), "text", "doc_id")
     profile = written(docs.mapInArrow(_profile(k), _PROFILE), "profile")
     rows = profile.where("kind = 0")
-    sets = rows.where("n > 0 AND doc_id IS NOT NULL")
     # 1. classes of equal sets
-    same = sets.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).where("id < last").drop("last")
-    same = F.broadcast(same) if same.count() <= BROADCAST_ROWS else same
-    classed = written(rows.join(same, ["d1", "d2", "n"], "left").select("doc_id", "n", F.coalesce("id", F.when(F.col("n") > 0, F.col("doc_id"))).alias("id"), "m0", "m1", "m2"), "classes")
-    own = classed.where("id = doc_id").select("id", "n", "m0", "m1", "m2").distinct()
-    # 2. seeds
-    scale = F.log(F.col("n")) / F.log(F.lit(100.0 / PERCENT))
-    keys = F.array(*[F.struct(F.lit(j).alias("j"), F.floor(scale + j / 3).alias("c"), F.col(f"m{j}").alias("m")) for j in range(3)])
-    seeds = own.select("id", "n", "m0", "m1", "m2", F.explode(keys).alias("key"))
-    centres = seeds.groupBy("key").agg(F.min(F.struct("id", "n", "m0", "m1", "m2")).alias("centre"), F.max("id").alias("last")).where("centre.id < last").drop("last")
-    agree = sum((F.col(f"m{j}") == F.col(f"centre.m{j}")).cast("int") for j in range(3)) >= 2
-    stars = seeds.join(centres, "key").where(F.col("id") != F.col("centre.id")).where(agree).where((100 * F.least("n", "centre.n") >= PERCENT * F.greatest("n", "centre.n"))).select(F.col("id").alias("a"), F.col("centre.id").alias("b")).distinct()
-    stars = written(stars, "stars")
-    tokens = token_arrays(docs, stars.select(F.explode(F.array("a", "b")).alias("doc_id")), k)
-    first = linked(stars, tokens)
-    found = components(first)
-    # 3. prefixes
+    same = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("id"), F.max("row").alias("last")).where("id < last").drop("last")
+    classed = rows.join(hinted(written(same, "same")), ["d1", "d2", "n"], "left")
+    classed = written(classed.select("row", "doc_id", "n", F.coalesce("id", F.when(F.col("n") > 0, F.col("row"))).alias("id")), "classes")
+    # 2. prefixes
     often = profile.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "d1").limit(FREQUENT_SHINGLES).collect()
     hashes = np.array([r[0] for r in often], np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -436,16 +483,31 @@ def join(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
     for slot, n in profile.where("kind = 2").groupBy("d1").agg(F.sum("n")).collect():  # a row for each of SLOTS at most
         weights[slot] = min(int(n).bit_length(), (LAST - 1) // k)
     shipped = spark.sparkContext.broadcast((hashes[order], last[order], weights))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.mapInArrow(_prefixes(k, buckets, shipped), "bucket int, kind int, hashes binary, docs binary, sizes binary")
-    shared = written(packed.groupBy("bucket").applyInArrow(_shared_prefixes, "hash bigint, doc_id bigint"), "shared")
-    few = found.count() <= BROADCAST_ROWS
-    found = F.broadcast(found) if few else found
-    labels = classed.where("id IS NOT NULL").join(found, "id", "left").select("doc_id", "id", F.coalesce("component", "id").alias("comp")).distinct()
-    # 4. signature trees in blocks of different components
-    found = components(_block_links(docs, shared, labels, first, k))
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return classed.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
+    size = rows.agg(F.sum("n")).first()[0] or 0  # the prefixes are a quarter of the sets; an entry takes some 50 bytes unpacked
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 13 // BUCKET_BYTES))
+    packed = docs.select("row", "text").mapInArrow(_prefixes(k, deal(spark, buckets), shipped), "bucket int, kind int, hashes binary, docs binary, sizes binary")
+    shared = written(packed.groupBy("bucket").applyInArrow(_shared_prefixes, "hash bigint, block bigint, row bigint"), "shared")
+    # one row stands for a class; most rows stand for themselves
+    others = hinted(classed.where("id <> row").select("row", "id").distinct())
+    shared = shared.join(others, "row", "left").select("hash", "block", F.coalesce("id", "row").alias("id"))
+    frequent = shared.where("hash IS NOT NULL")
+    ends = frequent.groupBy("hash").agg(F.min("id").alias("block"), F.max("id").alias("most")).where("block < most").drop("most")
+    blocks = shared.where("hash IS NULL").select("block", "id").unionByName(frequent.drop("block").join(hinted(written(ends, "ends")), "hash").select("block", "id"))
+    blocks = written(blocks.distinct(), "blocks")
+    # 3. signature trees
+    links = None if blocks.isEmpty() else _block_links(docs.select("row", "text"), blocks, k)
+    rooted = classed.withColumn("root", F.col("id"))
+    if links is not None:
+        rooted = classed.join(hinted(components(links)), "id", "left").withColumn("root", F.coalesce("component", "id"))
+        forget(blocks)
+    rooted = written(rooted.select("row", "doc_id", F.col("n").alias("n_shingles"), "root"), "rooted")
+    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    return rooted.join(hinted(written(least, "least")), "root", "left").select("row", "doc_id", "n_shingles", "root", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def join(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
+    return groups(docs, k=k).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,34 +76,53 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0), spark.createDataFrame([], "rule string, verdict string")).count() == 0
 
 
-@pytest.mark.parametrize(("capacity", "spread"), [(100_000, 10_000), (3, 10_000), (3, 1)])
-def test_exact(spark, corpus, capacity, spread):
-    rows = corpus + [(500, "ÉTÉ"), (501, "été"), (502, "ÉtÉ"), (500, "ÉTÉ")]
-    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+LOW = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def poor_key(c):
+    """A key under which many different texts collide."""
+    return F.shiftleft(F.length(c).cast("bigint"), 60)
+
+
+@pytest.mark.parametrize("options", [{}, {"capacity": 3}, {"capacity": 3, "spread": 1}, {"capacity": 1, "key": poor_key}])
+def test_exact(spark, corpus, options):
+    rows = corpus + [(500, "ÉTÉ"), (501, "été"), (502, "ÉtÉ"), (500, "ÉTÉ"), (None, "alone"), (None, "twice"), (None, "TWICE"), (3, "one")]
     groups: dict = {}
     for i, t in rows:
-        groups.setdefault(low(t), []).append(i)
-    got = exact.dedup(docs_of(spark, rows), capacity=capacity, depth=6, spread=spread).collect()
-    want = [(i, max(groups[low(t)]), len(groups[low(t)]), i == max(groups[low(t)]), hashlib.sha256(low(t).encode()).hexdigest()) for i, t in rows]
-    assert sorted(map(tuple, got)) == sorted(want)
+        groups.setdefault(LOW(t), []).append(i)
+    largest = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    got = exact.dedup(docs_of(spark, rows), **options).collect()
+    want = [(i, largest[LOW(t)], len(groups[LOW(t)]), i == largest[LOW(t)], hashlib.sha256(LOW(t).encode()).hexdigest()) for i, t in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert exact.dedup(docs_of(spark, EMPTY)).count() == 0
 
 
-def test_exact_owners(spark, corpus):
-    rows, entries = exact.index(docs_of(spark, corpus * 3), capacity=3, depth=4, spread=2)
+def test_exact_index(spark, corpus):
+    _, buckets, entries = exact.index(docs_of(spark, corpus * 3), capacity=3, spread=2)
     owners: dict = {}
     for r in entries.withColumn("file", F.input_file_name()).collect():
-        owners.setdefault((r.bucket, r.link), set()).add(r.file)
-    assert len(owners) > 16 and all(len(files) == 1 for files in owners.values())
-    assert any(link for _, link in owners)  # overfull at the largest depth
-
-
-def test_directory(spark):
-    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
-    d = exact.directory(keys, 100, 12).collect()
-    assert sum(r.n for r in d) == 5000 and all(r.n <= 100 for r in d)
-    spans = sorted((r.prefix << (12 - r.depth), (r.prefix + 1) << (12 - r.depth)) for r in d)
+        owners.setdefault((r.depth, r.prefix), []).append(r)
+    assert len(owners) > 16 and all(len({r.file for r in own}) == 1 for own in owners.values())  # a bucket has one owner
+    texts = {LOW(t) for _, t in corpus}
+    assert sum(map(len, owners.values())) == len(texts)  # every different text is entered, those that occur once too
+    assert {(r.depth, r.prefix): r.n for r in buckets.collect()} == {k: len(own) for k, own in owners.items()}
+    _, _, entries = exact.index(docs_of(spark, corpus), capacity=1, key=poor_key)
+    chains: dict = {}
+    for r in entries.collect():
+        chains.setdefault(r.key, []).append(r.chain)
+    assert max(map(len, chains.values())) > 3 and all(sorted(c) == list(range(len(c))) for c in chains.values())
+
+
+@pytest.mark.parametrize(("n", "capacity"), [(5000, 100), (3, 1), (1, 1), (0, 5), (40, 1)])
+def test_directory(spark, n, capacity):
+    keys = spark.range(n).select(F.xxhash64("id").alias("key"))
+    d = exact.directory(keys, capacity).collect()
+    assert sum(r.n for r in d) == n and all(0 < r.n <= capacity for r in d)
+    whole = lambda r, x: ((r.prefix + x) << (64 - r.depth)) % (1 << 64)
+    spans = sorted((whole(r, 0), whole(r, 1) or 1 << 64) for r in d)
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    named = exact.placed(keys, spark.createDataFrame(d, "depth int, prefix bigint, n bigint")).collect() if d else []
+    assert len(named) == n and all((r.key % (1 << 64)) >> (64 - r.depth) == r.prefix % (1 << 64) for r in named if r.depth)
 
 
 def test_quality(spark):
@@ -126,21 +145,25 @@ def test_quality(spark):
 
 
 @pytest.mark.parametrize("options", [{}, {"chunk": 500, "frequent": 1}])
-def test_substring(spark, corpus, options):
-    rows = corpus + [(3, corpus[3][1])]
-    split = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+@pytest.mark.parametrize("odd", [False, True])
+def test_substring(spark, corpus, options, odd):
+    rows = list(corpus)
+    if odd:  # repeated rows, one id with different texts, rows without id, and the largest id there is
+        rows += [(3, corpus[3][1]), (4, corpus[6][1]), (None, corpus[3][1]), (None, corpus[7][1] + " z"), (None, "x " * 20), (2**63 - 1, corpus[9][1]), (None, "x " * 20)]
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    order = lambda i: 2**63 - 1 if i is None else i
     least: dict = {}
-    for i, w in sorted(split.items(), reverse=True):
+    for i, w in split:
         for k in range(len(w) - 12):
-            least[tuple(w[k : k + 13])] = i
-    got = substring.dedup_substrings(docs_of(spark, rows), **options).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        w = split[r.doc_id]
-        gone = {j for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < r.doc_id for j in range(k, k + 13)}
+            x = tuple(w[k : k + 13])
+            least[x] = min(order(i), least.get(x, 2**63))
+    want = []
+    for i, w in split:
+        gone = {j for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < order(i) for j in range(k, k + 13)}
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), kept) and r.kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
-        assert {j for s in r.spans for j in range(s.start, s.end)} == gone
+        want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept, sorted(gone)))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept, [j for s in r.spans for j in range(s.start, s.end)]) for r in substring.dedup_substrings(docs_of(spark, rows), **options).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert substring.dedup_substrings(docs_of(spark, EMPTY)).count() == 0
 
 
@@ -292,7 +315,7 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("settings", [{}, {"BLOCK": 4, "FREQUENT": 1, "_SEEDS": (0, 1, 2), "ROUNDS": ((1, 2), (2, 16), (None, 16))}])
+@pytest.mark.parametrize("settings", [{}, {"BLOCK": 4, "FREQUENT": 1, "ROUNDS": ((1, 2), (2, 16), (None, 16))}, {"BLOCK": 2, "PIVOTS": 1, "FREQUENT": 1, "ROUNDS": ((1, 1), (None, 1))}])
 def test_jaccard(spark, corpus, settings, monkeypatch):
     rng = random.Random(9)
     rows = list(corpus)
@@ -303,23 +326,19 @@ def test_jaccard(spark, corpus, settings, monkeypatch):
         rows.append((3000 + k, " ".join(base[:30] + words_of(rng, 30))))
     for name, value in settings.items():
         monkeypatch.setattr(jaccard, name, value)
-    if settings:  # no seeds: all links come through prefixes and trees
-        monkeypatch.setattr(jaccard, "_profile", lambda k, real=jaccard._profile: _without_seeds(real(k)))
     want = brute_components(rows)
     got = by_id(jaccard.join(docs_of(spark, rows)))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
-    assert jaccard.join(docs_of(spark, EMPTY)).count() == 0
-    assert [tuple(r) for r in jaccard.join(docs_of(spark, [(None, "a b"), (None, None)])).orderBy("n_shingles").collect()] == [(None, 0, None), (None, 1, None)]
-
 
-def _without_seeds(run):
-    def other(batches):
-        for b in run(batches):
-            n = np.arange(b.num_rows, dtype=np.int64)
-            unique = [pa.array(np.where(True, hash(id(b)) + n * 3 + j, 0), pa.int64()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], *unique], names=b.schema.names)
 
-    return other
+def test_jaccard_ids(spark):
+    words = [f"q{k}" for k in range(40)]
+    near = " ".join(words[:39] + ["other"])
+    rows = [(None, "a b"), (None, None), (5, " ".join(words)), (5, near), (5, "quite another text"), (None, near.upper()), (9, " ".join(words)), (9, " ".join(words)), (7, "A b"), (None, "alone"), (None, "alone"), (8, "")]
+    got = sorted(map(repr, map(tuple, jaccard.join(docs_of(spark, rows)).collect())))
+    want = [(None, 1, 7), (None, 0, None), (5, 36, 5), (5, 36, 5), (5, 1, 5), (None, 36, 5), (9, 36, 5), (9, 36, 5), (7, 1, 7), (None, 1, None), (None, 1, None), (8, 0, 8)]
+    assert got == sorted(map(repr, want))
+    assert jaccard.join(docs_of(spark, EMPTY)).count() == 0
 
 
 def test_shared_folder(spark):
@@ -327,3 +346,15 @@ def test_shared_folder(spark):
     assert spark.conf.get("spark.checkpoint.dir").rstrip("/") == where
     t = shared.written(spark.range(3), "test")
     assert t.count() == 3 and where.split(":")[-1].lstrip("/") in t.inputFiles()[0]
+    shared.forget(t)
+    with pytest.raises(Exception):  # noqa: B017
+        t.count()
+    assert shared.fits(spark.range(10)) and not shared.fits(spark.range(10).select(F.repeat(F.lit("x"), 1 << 20).alias("x")))
+
+
+@pytest.mark.parametrize("n", [1, 3, 8, 9, 30])
+def test_dealt_evenly(spark, n):
+    labels = shared.deal(spark, n)
+    assert len(set(labels)) == n
+    parts = spark.createDataFrame([(x,) for x in labels], "x int").repartition(4, "x").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) == -(-n // 4)
