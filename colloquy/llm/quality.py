@@ -1,17 +1,24 @@
 """Operator 4: quality classifier.
 
-Method: random indexing.  Text is cut into runs of letters, of digits and of signs; a run falls into one of BUCKETS
-buckets by its shape (all capitals, repeated like the one before, ...) and a hash.  Every bucket has a sparse random
-index vector; a bucket's word vector is the sum of the index vectors of its neighbours over all documents, brought to
-length one.  A document's vector pools the word vectors of its runs (mean and spread).  A two-layer numpy network gives a
-logit, and a temperature, fitted on training rows that the network did not see, makes it a probability.
-
-The word vectors come from all whole texts, without labels.  The network learns from at most TRAIN_ROWS labelled rows
-(those with the smallest hashes of doc_id) outside the held-out fold.  Scores use the text alone.
-
-Null counts as empty; an empty text has a vector of zeros and gets a score like any other.  Where the training rows have
-one label only, or there are none, every score is the share of 1 among them (0.5 without any).  A document labelled
-several times counts once, with its largest label.  Repeated rows each give their own row.
+Method: random indexing.  Text is cut into runs of letters, of digits and of signs; a word is a run (A-Z in lower case)
+with its shape (all capitals, repeated like the one before, ...).  Every word has a sparse random index vector, which
+follows from its hash; its word vector is the sum of the index vectors of its neighbours over all documents, brought to
+length one.  A document's vector pools the word vectors of its words (mean and spread).  A two-layer numpy network gives
+a logit, and a temperature, fitted on training rows that the network did not see, makes it a probability.
+
+The network learns from at most TRAIN_ROWS labelled rows (those with the smallest hashes of doc_id) outside the held-out
+fold.  It can tell apart no more words than these rows hold: the VOCABULARY words that stand in most of them have vectors
+of their own, all others one for each shape.  The word vectors come from all whole texts, without labels.  Scores use the
+text alone.
+
+Counts are integers, word vectors multiples of 1/SCALE, and sums of them exact, so a score does not depend on how the rows
+are batched or dealt out.
+
+Null counts as empty; an empty text has a vector of zeros and gets a score like any other; long texts are pooled whole.
+Where the training rows have one label only, or there are none, every score is the share of 1 among them (0.5 without
+any).  A document labelled several times counts once, with its largest label; of several rows with a labelled doc_id the
+one whose vector's bytes come first is learned from.  Rows without doc_id are scored and not learned from.  Repeated rows
+each give their own row; an empty table gives an empty table.  Other columns are passed through.
 """
 
 from __future__ import annotations
@@ -24,36 +31,37 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from colloquy.llm.packing import batch as record
-from colloquy.llm.shared import bounded, written
-from colloquy.llm.words import U, buffers, slices, span_hashes
+from colloquy.llm.shared import bounded, forget, written
+from colloquy.llm.words import U, buffers, mix, slices, span_hashes
 
 FOLDS, HELD = 5, 0
 #: Score from which on the predicted class is 1.
 THRESHOLD = 0.3
 #: Labelled rows that the network learns from.
 TRAIN_ROWS = 20_000
+#: Words with a vector of their own; kinds of shapes.
+VOCABULARY = 1 << 13
 SHAPES = 8
-BUCKETS = 1 << 13
 DIMENSIONS = 32
 #: Non-zero places of an index vector; neighbours on either side.
 PLACES, REACH = 2, 2
 HIDDEN = 24
+#: Word vectors are rounded to multiples of 1/SCALE.
+SCALE = 1 << 12
 
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[[b for b in range(256) if b >= 0x80 or chr(b).isalpha()]] = 1
 _CLASS[range(0x30, 0x3A)] = 2
-_rng = np.random.Generator(np.random.PCG64(4))
-_AT = _rng.integers(0, DIMENSIONS, (PLACES, BUCKETS))
-_SIGN = _rng.choice([-1.0, 1.0], (PLACES, BUCKETS))
+_SHAPE = mix(np.arange(1, SHAPES + 1, dtype=np.uint64))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == HELD
 
 
-def bucketed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each run, index of each text's first run, one more at the end)."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit key of each word, its shape, index of each text's first word, one more at the end)."""
     kind = _CLASS[data]
     change = np.ones(len(data) + 1, bool)
     change[1:-1] = kind[1:] != kind[:-1]
@@ -64,75 +72,113 @@ def bucketed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends = starts[on], ends[on]
     firsts = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, np.int64), firsts
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), firsts
     hashes = span_hashes(data, starts, ends)
     upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
     lower = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
     up, low, size, k = upper[ends] - upper[starts], lower[ends] - lower[starts], ends - starts, kind[starts]
     shape = np.where(k == 2, 3, np.where(k == 3, np.where(size > 1, 5, 4), np.where((up > 1) & (low == 0), 2, np.where(up > 0, 1, 0))))
+    text = np.searchsorted(firsts, np.arange(len(starts)), "right")
     word = np.flatnonzero(k == 1)
-    again = word[1:][hashes[word[1:]] == hashes[word[:-1]]]
+    again = word[1:][(hashes[word[1:]] == hashes[word[:-1]]) & (text[word[1:]] == text[word[:-1]])]
     shape[again] = 6
-    per = BUCKETS // SHAPES
-    return shape * per + (hashes % U(per)).astype(np.int64), firsts
+    return mix(hashes ^ _SHAPE[shape]), shape, firsts
 
 
-def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the neighbours' index vectors, one row per bucket of this task."""
-    sums = np.zeros(BUCKETS * DIMENSIONS)
+class Lexicon:
+    """Words with vectors: the vocabulary's keys in order, then the shapes."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.sort(keys.astype(np.uint64))
+        every = np.concatenate([self.keys, _SHAPE])
+        self.at = np.stack([(mix(every ^ U(2 * p + 1)) % U(DIMENSIONS)).astype(np.int64) for p in range(PLACES)])
+        self.sign = np.stack([1.0 - 2.0 * (mix(every ^ U(2 * p + 2)) & U(1)).astype(np.float64) for p in range(PLACES)])
+
+    def __len__(self) -> int:
+        return len(self.keys) + SHAPES
+
+    def of(self, keys: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """Number of each word."""
+        if not len(self.keys):
+            return shape
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, len(self.keys) + shape)
+
+
+def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a piece each word stands."""
     for whole in batches:
         for part in slices(whole, "text"):
-            bucket, firsts = bucketed(*buffers(part.column(0)))
+            keys, _, firsts = words_of(*buffers(part.column(0)))
             text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-            for d in range(1, REACH + 1):
-                near = text[d:] == text[:-d]
-                left, right = bucket[:-d][near], bucket[d:][near]
-                for a, b in ((left, right), (right, left)):
-                    for p in range(PLACES):
-                        sums += np.bincount(a * DIMENSIONS + _AT[p][b], weights=_SIGN[p][b], minlength=len(sums))
-    table = sums.reshape(BUCKETS, DIMENSIONS)
-    some = np.flatnonzero(np.abs(table).sum(axis=1))
-    yield record(bucket=pa.array(some, pa.int32()), vector=pa.array([x.astype("<f8").tobytes() for x in table[some]], pa.binary()))
-
-
-def _add(table: pa.Table) -> pa.Table:
-    buckets = table.column("bucket").to_numpy()
-    out = np.zeros((BUCKETS, DIMENSIONS))
-    np.add.at(out, buckets, np.frombuffer(b"".join(table.column("vector").to_pylist()), "<f8").reshape(-1, DIMENSIONS))
-    some = np.unique(buckets)
-    return pa.table({"bucket": pa.array(some, pa.int32()), "vector": pa.array([out[x].tobytes() for x in some], pa.binary())})
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """One row per bucket, from all texts; rows of length one, or zero for a bucket that doesn't occur.
-
-    Tasks add up BUCKETS vectors each; they are added in as many groups as there are shuffle partitions."""
-    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = docs.select("text").mapInArrow(_context, "bucket int, vector binary")
-    table = np.zeros((BUCKETS, DIMENSIONS))
-    for bucket, vector in sums.groupBy(F.pmod(F.xxhash64("bucket"), F.lit(groups))).applyInArrow(_add, "bucket int, vector binary").collect():
-        table[bucket] = np.frombuffer(vector, "<f8")
-    return (table / np.maximum(np.sqrt((table**2).sum(axis=1, keepdims=True)), 1e-9)).astype(np.float32)
-
-
-def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Vectors of texts: mean and spread of their runs' word vectors; zeros for a text without runs."""
-    bucket, firsts = bucketed(data, offsets)
+            order = np.lexsort((text, keys))
+            k, t = keys[order], text[order]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+            word, n = np.unique(k[new], return_counts=True)
+            yield record(word=pa.array(word.view(np.int64)), n=pa.array(n.astype(np.int64)))
+
+
+def vocabulary(texts: DataFrame, size: int) -> np.ndarray:
+    """Keys of the ``size`` words that stand in most ``texts`` (text); of equally frequent ones the smaller keys."""
+    counts = texts.mapInArrow(_document_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.array([r[0] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()], np.int64).view(np.uint64)
+
+
+def _context(shipped):
+    """Sums of the neighbours' index vectors, one row per word of this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shipped.value
+        sums = np.zeros(len(lexicon) * DIMENSIONS)
+        for whole in batches:
+            for part in slices(whole, "text"):
+                keys, shape, firsts = words_of(*buffers(part.column(0)))
+                word = lexicon.of(keys, shape)
+                text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+                for d in range(1, REACH + 1):
+                    near = text[d:] == text[:-d]
+                    left, right = word[:-d][near], word[d:][near]
+                    for a, b in ((left, right), (right, left)):
+                        for p in range(PLACES):
+                            sums += np.bincount(a * DIMENSIONS + lexicon.at[p][b], weights=lexicon.sign[p][b], minlength=len(sums))
+        table = sums.reshape(-1, DIMENSIONS).astype(np.int64)
+        some = np.flatnonzero(np.abs(table).sum(axis=1))
+        yield record(word=pa.array(some, pa.int32()), **{f"v{j}": pa.array(table[some, j]) for j in range(DIMENSIONS)})
+
+    return run
+
+
+def word_vectors(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """One row per word of the lexicon, from all texts: of length one, or zero for a word that has no neighbours; in whole
+    multiples of 1/SCALE.  Tasks' sums are integers and are added natively, word by word."""
+    names = [f"v{j}" for j in range(DIMENSIONS)]
+    sums = docs.select("text").mapInArrow(_context(docs.sparkSession.sparkContext.broadcast(lexicon)), "word int, " + ", ".join(f"{v} bigint" for v in names))
+    table = np.zeros((len(lexicon), DIMENSIONS))
+    got = sums.groupBy("word").agg(*[F.sum(v).alias(v) for v in names]).toPandas()  # VOCABULARY + SHAPES rows at most
+    table[got["word"].to_numpy(np.int64)] = got[names].to_numpy(np.float64)
+    return np.round(table / np.maximum(np.sqrt((table**2).sum(axis=1, keepdims=True)), 1e-9) * SCALE).astype(np.float32)
+
+
+def pooled(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon, vectors: np.ndarray) -> np.ndarray:
+    """Vectors of texts: mean and spread of their words' vectors; zeros for a text without words."""
+    keys, shape, firsts = words_of(data, offsets)
+    word = lexicon.of(keys, shape)
     size = np.diff(firsts)
-    out = np.zeros((len(size), 2 * DIMENSIONS), np.float32)
+    out = np.zeros((len(size), 2 * DIMENSIONS))
     some = np.flatnonzero(size)
     step = 1 << 17
-    sums = np.zeros((len(size), 2 * DIMENSIONS))
+    sums = np.zeros((len(size), 2 * DIMENSIONS))  # whole numbers below 2**53: exact in any order
     text = np.repeat(np.arange(len(size)), size)
-    for low in range(0, len(bucket), step):
-        own = vectors[bucket[low : low + step]]
+    for low in range(0, len(word), step):
+        own = vectors[word[low : low + step]]
         of = text[low : low + step]
         begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        sums[of[begin], :DIMENSIONS] += np.add.reduceat(own, begin)
-        sums[of[begin], DIMENSIONS:] += np.add.reduceat(own * own, begin)
+        sums[of[begin], :DIMENSIONS] += np.add.reduceat(own, begin, dtype=np.float64)
+        sums[of[begin], DIMENSIONS:] += np.add.reduceat(own * own, begin, dtype=np.float64)
     mean = sums[some] / size[some, None]
-    out[some, :DIMENSIONS] = mean[:, :DIMENSIONS]
-    out[some, DIMENSIONS:] = np.sqrt(np.maximum(mean[:, DIMENSIONS:] - mean[:, :DIMENSIONS] ** 2, 0))
+    out[some, :DIMENSIONS] = mean[:, :DIMENSIONS] / SCALE
+    out[some, DIMENSIONS:] = np.sqrt(np.maximum(mean[:, DIMENSIONS:] - mean[:, :DIMENSIONS] ** 2, 0)) / SCALE
     return out
 
 
@@ -168,8 +214,13 @@ class Network:
             self.temperature = float(grid[int(np.argmin(loss))])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        h = np.tanh(((x - self.mean) / self.scale) @ self.p["a"] + self.p["b"])
-        return h @ self.p["c"] + self.p["d"][0]
+        # sums in one order whatever the number of rows, unlike those of a matrix product
+        z, h, out = (x - self.mean) / self.scale, np.tile(self.p["b"], (len(x), 1)), np.full(len(x), self.p["d"][0])
+        for j, w in enumerate(self.p["a"]):
+            h += z[:, j, None] * w
+        for j, w in enumerate(self.p["c"]):
+            out += np.tanh(h[:, j]) * w
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.full(len(x), self.share) if self.constant else 1 / (1 + np.exp(-self.logit(x) / self.temperature))
@@ -179,44 +230,47 @@ def _vectors(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
-                x = pooled(*buffers(part.column(0)), shipped.value)
-                yield record(y=part.column(1).cast(pa.int32()), fold=part.column(2), x=pa.array([r.tobytes() for r in x], pa.binary()))
+                x = pooled(*buffers(part.column(1)), *shipped.value)
+                yield record(doc_id=part.column(0), x=pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()))
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
-    """(word vectors, network)."""
-    vectors = word_vectors(docs)
+def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, words: int = VOCABULARY) -> tuple[Lexicon, np.ndarray, Network]:
+    """(lexicon, word vectors, network)."""
+    send = docs.sparkSession.sparkContext.broadcast
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labels")
+    rows = written(docs.join(F.broadcast(known), "doc_id", "left_semi").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "labelled")
+    lexicon = Lexicon(vocabulary(rows.select("text"), words))
+    vectors = word_vectors(docs, lexicon)
     # a fifth of the training rows (another remainder of the same checksum) is kept for the temperature
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS == (HELD + 1) % FOLDS
-    rows = docs.join(F.broadcast(known), "doc_id").select("text", "quality", fold.alias("fold"))
-    got = rows.mapInArrow(_vectors(docs.sparkSession.sparkContext.broadcast(vectors)), "y int, fold boolean, x binary").limit(2 * train_rows).toPandas()
-    got = got.sort_values(["x", "y"], kind="stable")  # the same order whatever the tasks' order
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), 2 * DIMENSIONS).astype(np.float64)
-    return vectors, Network(x, got["y"].to_numpy(np.float64), got["fold"].to_numpy(bool))
+    pooled_rows = rows.mapInArrow(_vectors(send((lexicon, vectors))), "doc_id bigint, x binary").groupBy("doc_id").agg(F.min("x").alias("x"))
+    got = pooled_rows.join(F.broadcast(known), "doc_id").select("doc_id", "x", F.col("quality").cast("int").alias("y"), fold.alias("fold")).toPandas().sort_values("doc_id")
+    forget(rows)
+    x = np.frombuffer(b"".join(got["x"]), "<f8").reshape(len(got), 2 * DIMENSIONS)
+    return lexicon, vectors, Network(x, got["y"].to_numpy(np.float64), got["fold"].to_numpy(bool))
 
 
-def _scores(shipped):
+def _scores(shipped, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, network = shipped.value
+        lexicon, vectors, network = shipped.value
         for whole in batches:
             for part in slices(whole, "text"):
-                score = network.score(pooled(*buffers(part.column(part.schema.get_field_index("text"))), vectors).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score"])
+                score = network.score(pooled(*buffers(part.column(part.schema.get_field_index("text"))), lexicon, vectors))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, column])
 
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text and any others; one named score is replaced) and ``score``, 0 to 1."""
+def classify(docs: DataFrame, labels: DataFrame, *, column: str = "score", train_rows: int = TRAIN_ROWS, words: int = VOCABULARY) -> DataFrame:
+    """The columns of ``docs`` (doc_id, text and any others; one named ``column`` is replaced) and ``column``, 0 to 1."""
     bounded(docs)
-    vectors, network = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), train_rows=train_rows)
-    docs = docs.drop("score")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast((vectors, network))), schema)
+    model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), train_rows=train_rows, words=words)
+    docs = docs.drop(column)
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    return docs.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), column), schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
