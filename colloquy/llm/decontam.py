@@ -2,34 +2,43 @@
 
 Method: Wu-Manber search for many patterns, on words.  The patterns are the windows of the test items.  For each window
 length there is a table of shifts, indexed by the hash of a block of words: how far the window's end may move before
-the block could end a pattern's prefix.  Positions within a shift are skipped; at shift 0 the block's full hash selects
-a bucket of test strings, and the words themselves are compared.
+the block could end a pattern's prefix.  Positions within a shift are skipped; at shift 0 the hash of the whole window
+selects a bucket of test strings, and the words themselves are compared.
 
 Words: runs of ASCII letters and digits and of everything beyond ASCII, A-Z in lower case.  An item with fewer words than
-``width`` is one window; an item without words, or null, has none.  A null or empty text has no words and is clean.
-Repeated items are one pattern with several ids; repeated documents each give their own row.
-
-The documents are read in one pass without any shuffle.  The items are sent to the executors in blocks whose bytes are
-checked; where they exceed one block, each block searches all documents and the findings are merged.
+``width`` is one window; an item without words, or null, has none.  A null or empty text has no words and is clean; long
+texts are searched whole.  Repeated items are one pattern with several ids; items without id are searched too.  Repeated
+documents each give their own row, and so do rows without doc_id; an empty table of either kind gives a result all the
+same (no rows, or none hit).  Columns other than ids and texts are not read, whatever their names.
+
+The documents are read in one pass without any shuffle.  The items are sent to the executors in blocks of ITEM_BYTES at
+most, in a compact form: the items' bytes once, and some 60 bytes of arrays for each of their words.  Where they exceed
+one block, each further block searches all documents; what it finds is joined to them by doc_id and the text's digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from colloquy.llm.shared import bounded
-from colloquy.llm.words import _LOWER, NOT_ALNUM, buffers, rolling, slices, word_hashes, word_spans
+from colloquy.llm.packing import batch as record
+from colloquy.llm.shared import bounded, written
+from colloquy.llm.words import _LOWER, NOT_ALNUM, U, buffers, rolling, slices, word_hashes, word_spans
 
 WIDTH = 10
 #: Words of a block.
 BLOCK = 3
 #: Bytes of item texts that are sent at once.
-ITEM_BYTES = 16 << 20
-_SLOTS = 1 << 18
+ITEM_BYTES = 8 << 20
+#: Places of a table of shifts for each window: with so many hardly a block meets another's place.
+PLACES = 16
+#: Windows from which on a bucket is kept.
+LARGE = 8
 
 
 def _words(data: np.ndarray, offsets: np.ndarray):
@@ -39,58 +48,85 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return low.tobytes(), starts, ends, firsts, hashes
 
 
+class Table:
+    """All windows of one length: the table of shifts; and the windows in order of their hashes, which makes those of one
+    hash a bucket, each as the number of its first word."""
+
+    def __init__(self, length: int, heads: np.ndarray, hashes: np.ndarray) -> None:
+        self.length, self.block = length, min(BLOCK, length)
+        own = rolling(hashes, self.block)
+        size = 1 << max(8, (PLACES * len(heads) - 1).bit_length())
+        self.mask = U(size - 1)
+        self.shift = np.full(size, length - self.block + 1, np.uint8)
+        for j in range(length - self.block + 1):  # the block of words j .. j+block-1 of each window; later ones shift less
+            self.shift[(own[heads + j] & self.mask).astype(np.int64)] = length - self.block - j
+        whole = rolling(hashes, length)[heads]
+        order = np.argsort(whole, kind="stable")
+        self.whole, self.heads = whole[order], heads[order].astype(np.int32)
+
+
 class Patterns:
-    """Shift tables and buckets of all windows of the items, by window length."""
+    """Tables of all windows of the items, by window length; the items' words; and whose each word is."""
 
     def __init__(self, items: list[tuple[str, str]], width: int = WIDTH) -> None:
-        texts = pa.array([t for _, t in items], pa.large_string())
-        low, starts, ends, firsts, hashes = _words(*buffers(texts))
-        blocks = {b: rolling(hashes, b) for b in range(1, BLOCK + 1)}
-        self.by_length: dict[int, tuple[int, np.ndarray, dict[int, dict[bytes, set[str]]]]] = {}
-        for k, (item, _) in enumerate(items):
-            first, last = int(firsts[k]), int(firsts[k + 1])
-            length = min(width, last - first)
-            if not length:
-                continue
-            b = min(BLOCK, length)
-            if length not in self.by_length:
-                self.by_length[length] = (b, np.full(_SLOTS, length - b + 1, dtype=np.uint8), {})
-            _, shift, buckets = self.by_length[length]
-            own = blocks[b]
-            for at in range(first, last - length + 1):
-                for j in range(length - b + 1):  # the block of words j .. j+b-1 of the window
-                    slot = int(own[at + j]) & (_SLOTS - 1)
-                    shift[slot] = min(int(shift[slot]), length - b - j)
-                spelled = b" ".join(low[starts[x] : ends[x]] for x in range(at, at + length))
-                buckets.setdefault(int(own[at + length - b]), {}).setdefault(spelled, set()).add(item)
+        low, starts, ends, firsts, hashes = _words(*buffers(pa.array([t for _, t in items], pa.large_string())))
+        self.low, self.starts, self.ends, self.firsts = low, starts.astype(np.int32), ends.astype(np.int32), firsts
+        self.items = [i for i, _ in items]
+        self.large: dict[tuple[int, int], dict] = {}
+        size = np.diff(firsts)
+        lengths = np.minimum(size, width)
+        self.tables = []
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == length)
+            n = size[own] - length + 1
+            heads = np.repeat(firsts[:-1][own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            self.tables.append(Table(length, heads, hashes))
+
+    def spelled(self, head: int, length: int) -> list[bytes]:
+        return [self.low[s:e] for s, e in zip(self.starts[head : head + length].tolist(), self.ends[head : head + length].tolist(), strict=True)]
+
+    def bucket(self, t: Table, begin: int, over: int) -> dict[tuple, set]:
+        """The test strings of one hash, word by word, and whose they are; large buckets are kept once made."""
+        if (t.length, begin) in self.large:
+            return self.large[t.length, begin]
+        out: dict[tuple, set] = {}
+        for h in t.heads[begin:over].tolist():
+            out.setdefault(tuple(self.spelled(h, t.length)), set()).add(self.items[int(np.searchsorted(self.firsts, h, "right")) - 1])
+        if over - begin > LARGE:
+            self.large[t.length, begin] = out
+        return out
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each text: words, merged spans of hit words, sorted item ids."""
         low, starts, ends, firsts, hashes = _words(data, offsets)
-        skips = {}
-        for length, (b, shift, _) in self.by_length.items():
-            own = rolling(hashes, b)
-            skips[length] = (own, shift[(own & np.uint64(_SLOTS - 1)).astype(np.int64)].tobytes())
+        ready = []
+        for t in self.tables:
+            own = rolling(hashes, t.block)
+            ready.append((t, t.shift[(own & t.mask).astype(np.int64)].tobytes(), rolling(hashes, t.length)))
         for k in range(len(offsets) - 1):
             first, last = int(firsts[k]), int(firsts[k + 1])
             found: list[tuple[int, int]] = []
             items: set[str] = set()
-            for length, (b, _, buckets) in self.by_length.items():
-                own, skip = skips[length]
-                at, end = first + length - b, last - b  # ``at``: the first word of the window's last block
+            for t, skip, whole in ready:
+                length, stands = t.length, []
+                at, end = first + length - t.block, last - t.block  # ``at``: the first word of the window's last block
                 while at <= end:
                     step = skip[at]
-                    if step:
-                        at += step
-                        continue
-                    bucket = buckets.get(int(own[at]))
-                    if bucket:
-                        head = at - length + b
-                        whose = bucket.get(b" ".join([low[s:e] for s, e in zip(starts[head : head + length].tolist(), ends[head : head + length].tolist())]))
-                        if whose:
-                            found.append((head - first, head - first + length))
-                            items |= whose
-                    at += 1
+                    if not step:
+                        stands.append(at - length + t.block)
+                        step = 1
+                    at += step
+                if not stands:
+                    continue
+                heads = np.array(stands)
+                begin, over = (np.searchsorted(t.whole, whole[heads], side) for side in ("left", "right"))
+                for x in np.flatnonzero(begin < over).tolist():
+                    head = int(heads[x])
+                    words = [low[s:e] for s, e in zip(starts[head : head + length].tolist(), ends[head : head + length].tolist(), strict=True)]
+                    whose = self.bucket(t, int(begin[x]), int(over[x])).get(tuple(words))
+                    if whose:
+                        found.append((head - first, head - first + length))
+                        items |= whose
             found.sort()
             merged: list[tuple[int, int]] = []
             for s, e in found:
@@ -104,25 +140,35 @@ class Patterns:
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def _search(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:
+_FOUND = f"doc_id bigint, digest binary, n_words bigint, spans {_SPANS}, items array<string>"
+
+
+def _search(docs: DataFrame, items: list[tuple[str, str]], width: int, digests: bool) -> DataFrame:
+    """One row per document; ``digests``: with the digest of its text."""
     patterns = docs.sparkSession.sparkContext.broadcast(Patterns(items, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                n, spans, ids = zip(*patterns.value.search(*buffers(batch.column(2))), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1).cast(pa.int64()),
-                        pa.array(n, pa.int64()),
-                        pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                        pa.array(ids, pa.list_(pa.string())),
-                    ],
-                    names=["row", "doc_id", "n_words", "spans", "items"],
+                n, spans, ids = zip(*patterns.value.search(*buffers(batch.column(1))), strict=True)
+                yield record(
+                    doc_id=batch.column(0),
+                    digest=pa.array([hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in batch.column(1).to_pylist()] if digests else [None] * batch.num_rows, pa.binary()),
+                    n_words=pa.array(n, pa.int64()),
+                    spans=pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    items=pa.array(ids, pa.list_(pa.string())),
                 )
 
-    return docs.mapInArrow(run, f"row bigint, doc_id bigint, n_words bigint, spans {_SPANS}, items array<string>")
+    return docs.mapInArrow(run, _FOUND)
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans, those that touch as one."""
+    return F.aggregate(
+        F.array_sort(spans),
+        F.array().cast(_SPANS),
+        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
+    )
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -130,24 +176,24 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, ite
     exclusive) and the sorted ids of the items that have an occurring window.  Items without id are searched too; together
     they are one null at the end of ``items``, which counts in n_items and adds nothing to items_sha256."""
     bounded(docs)
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes))
-    parts = []
+    found = None
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(blocks)) == k) if blocks > 1 else items
-        parts.append(_search(docs, [(r[0], r[1]) for r in own.collect()], width))
-    found = parts[0]
-    if blocks > 1:
-        for x in parts[1:]:
-            found = found.unionByName(x)
-        begin = F.array_sort(F.flatten(F.collect_list("spans")))
-        merged = F.aggregate(
-            begin,
-            F.array().cast(_SPANS),
-            lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-        )
-        found = found.groupBy("row", "doc_id", "n_words").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        part = _search(docs, [(r[0], r[1]) for r in own.collect()], width, blocks > 1)
+        if found is None:
+            found, more = part, []
+        else:  # of the further blocks' findings only those with a hit count; equal rows have equal ones
+            more.append(part.where(F.size("spans") > 0))
+    if more:
+        hits = reduce(DataFrame.unionByName, more).groupBy("doc_id", "digest").agg(F.flatten(F.collect_set("spans")).alias("spans_"), F.flatten(F.collect_set("items")).alias("items_"))
+        hits = written(hits, "hits").select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "spans_", "items_")
+        none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+        found = found.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
+        spans, ids = F.concat("spans", none("spans_", _SPANS)), F.concat("items", none("items_", "array<string>"))
+        found = found.select("doc_id", "n_words", _merged(spans).alias("spans"), F.array_sort(F.array_distinct(ids)).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + (x["end"] - x["start"]))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
