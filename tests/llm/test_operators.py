@@ -125,25 +125,93 @@ def test_directory(spark, n, capacity):
     assert len(named) == n and all((r.key % (1 << 64)) >> (64 - r.depth) == r.prefix % (1 << 64) for r in named if r.depth)
 
 
-def test_quality(spark):
+def quality_corpus():
     rng = random.Random(6)
     rows, labels = [], []
     for i in range(600):
         w, good = words_of(rng, rng.randint(5, 80)), rng.random() < 0.7
         rows.append((i, " ".join(w) + "." if good else " ".join(x.upper() + "!!" for x in w)))
         labels.append((i, int(good)))
-    rows += [(9000, None), (9001, ""), (9002, "word " * 30_000), (None, "some words")]
+    return rows + [(9000, None), (9001, ""), (9002, "word " * 30_000), (None, "some words"), (5, "another text of 5"), (5, "another text of 5"), (9003, "Aa AA aa aa 12 -- ,é")], labels + [(7, 0), (7, 1), (None, 1), (8, None)]
+
+
+def test_quality(spark):
+    rows, labels = quality_corpus()
     labels = spark.createDataFrame(labels, "doc_id bigint, quality int")
     got = quality.classify(docs_of(spark, rows), labels).collect()
-    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r["items"] == "x" for r in got)
     truth = {r.doc_id: r.quality for r in labels.collect()}
-    held = [(r.score >= 0.3) == bool(truth[r.doc_id]) for r in got if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    held = [(r.score >= 0.3) == bool(truth[r.doc_id]) for r in got if truth.get(r.doc_id) is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert len(held) > 60 and sum(held) / len(held) > 0.95
+    other = quality.classify(docs_of(spark, rows).repartition(7), labels, column="own").select("doc_id", "text", "score", "own").collect()
+    assert sorted((str(r.doc_id), str(r.text), r.score) for r in got) == sorted((str(r.doc_id), str(r.text), r.own) for r in other) and {r.score for r in other} == {"s"}
     none = quality.classify(docs_of(spark, rows[:3]), labels.limit(0)).collect()
     assert [r.score for r in none] == [0.5] * 3
+    one = quality.classify(docs_of(spark, rows[:9]), labels.where("quality = 1")).collect()
+    assert [r.score for r in one] == [1.0] * 9
     assert quality.classify(docs_of(spark, EMPTY), labels).count() == 0
 
 
+def test_quality_plainly(spark):
+    """Lexicon, word vectors, pooling and scores against plain loops over words."""
+    rows, labels = quality_corpus()
+    rows = rows[:80] + rows[600:602] + rows[603:]
+    docs, marks = docs_of(spark, rows).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    lexicon, vectors, network = quality.fit(docs, marks, words=40)
+
+    def words(text):
+        out, before = [], None
+        for m in re.finditer(rb"(?P<l>[A-Za-z\x80-\xff]+)|(?P<d>[0-9]+)|(?P<s>[^A-Za-z\x80-\xff0-9\x20\x09-\x0D]+)", (text or "").encode()):
+            x, low = m[0], m[0].lower()
+            if m["d"]:
+                shape = 3
+            elif m["s"]:
+                shape = 5 if len(x) > 1 else 4
+            else:
+                up = sum(65 <= c <= 90 for c in x)
+                shape = 6 if low == before else 2 if up > 1 and not any(97 <= c <= 122 for c in x) else 1 if up else 0
+                before = low
+            out.append((low, shape))
+        return out
+
+    def key(word):
+        raw = np.frombuffer(word[0], np.uint8)
+        return int(quality.mix(quality.span_hashes(raw, np.array([0]), np.array([len(raw)])) ^ quality._SHAPE[word[1]])[0])
+
+    learned = {i for i, q in labels if i is not None and q is not None and zlib.crc32(str(i).encode()) % 5}
+    count: dict = {}
+    for i, t in rows:
+        if i in learned:
+            for w in {*words(t)}:
+                count[key(w)] = count.get(key(w), 0) + 1
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    want = sorted(sorted(count, key=lambda k: (-count[k], signed(k)))[:40])
+    assert lexicon.keys.tolist() == want
+    number = lambda w: want.index(key(w)) if key(w) in want else len(want) + w[1]
+    texts = [[number(w) for w in words(t)] for _, t in rows]
+    sums = [[0] * quality.DIMENSIONS for _ in range(len(lexicon))]
+    for t in texts:
+        for i, a in enumerate(t):
+            for j in range(max(0, i - quality.REACH), min(len(t), i + quality.REACH + 1)):
+                if j != i:
+                    for p in range(quality.PLACES):
+                        sums[a][lexicon.at[p][t[j]]] += int(lexicon.sign[p][t[j]])
+    for got, s in zip(vectors.tolist(), sums):
+        norm = sum(x * x for x in s) ** 0.5
+        assert got == pytest.approx([round(x / max(norm, 1e-9) * quality.SCALE) for x in s], abs=1)
+    by_text: dict = {}
+    for r in quality.classify(docs, marks, words=40).collect():
+        by_text[r.text] = r.score
+    for (_, text), t in zip(rows, texts):
+        mean = [sum(vectors[w][d] / quality.SCALE for w in t) / max(1, len(t)) for d in range(quality.DIMENSIONS)]
+        square = [sum((vectors[w][d] / quality.SCALE) ** 2 for w in t) / max(1, len(t)) for d in range(quality.DIMENSIONS)]
+        x = [*mean, *(max(0, s - m * m) ** 0.5 for s, m in zip(square, mean))]
+        z = [(v - m) / s for v, m, s in zip(x, network.mean, network.scale)]
+        h = [np.tanh(sum(z[j] * network.p["a"][j][k] for j in range(len(z))) + network.p["b"][k]) for k in range(quality.HIDDEN)]
+        logit = sum(a * b for a, b in zip(h, network.p["c"])) + network.p["d"][0]
+        assert by_text[text] == pytest.approx(1 / (1 + np.exp(-logit / network.temperature)), abs=1e-5)
+
+
 @pytest.mark.parametrize("options", [{}, {"chunk": 500, "frequent": 1}])
 @pytest.mark.parametrize("odd", [False, True])
 def test_substring(spark, corpus, options, odd):
@@ -251,8 +319,31 @@ def test_decontam_without_id(spark, item_bytes):
     assert [(got[i].n_hit, got[i]["items"]) for i in (1, 2, 3)] == [(12, ["5", None]), (2, [None]), (0, [])]
 
 
+def test_decontam_rows(spark, corpus):
+    """Rows without id, repeated rows and one id with two texts, dealt anew by a shuffle, in several blocks of items."""
+    passage, other = " ".join(f"p{k}" for k in range(12)), " ".join(f"o{k}" for k in range(12))
+    rows = [(None, passage), (None, other), (None, "clean"), (1, passage + " " + other), (1, passage + " " + other), (2, passage), (2, other), (2, None), (None, None)]
+    bench = spark.createDataFrame([(1, passage), (2, other), (3, "and a third one")], "item_id int, text string")
+    for size in (1 << 20, 10):
+        got = decontam.find_items(docs_of(spark, rows).repartition(5, F.rand()), bench, item_bytes=size).collect()
+        want = [(None, 12, 12, ["1"]), (None, 12, 12, ["2"]), (None, 1, 0, []), (1, 24, 24, ["1", "2"]), (1, 24, 24, ["1", "2"]), (2, 12, 12, ["1"]), (2, 12, 12, ["2"]), (2, 0, 0, []), (None, 0, 0, [])]
+        assert sorted(repr((r.doc_id, r.n_words, r.n_hit, r["items"])) for r in got) == sorted(map(repr, want))
+        assert decontam.find_items(docs_of(spark, EMPTY), bench, item_bytes=size).count() == 0
+
+
+def test_decontam_size():
+    """A block of items stays compact."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(20_000)]
+    items = [(str(k), " ".join(rng.choices(words, k=300))) for k in range(600)]
+    size, patterns = sum(len(t) for _, t in items), decontam.Patterns(items)
+    (t,) = patterns.tables
+    held = len(patterns.low) + sum(x.nbytes for x in (patterns.starts, patterns.ends, t.whole, t.heads, t.shift))
+    assert held < 16 * size and (t.shift == 0).mean() < 0.1
+
+
 def test_language_model(spark, corpus):
-    rows = [(i, t) for i, t in corpus] + [(corpus[0][0], corpus[0][1]), (None, "w1 w2")]
+    rows = [(i, t) for i, t in corpus] + [(corpus[0][0], corpus[0][1]), (None, "w1 w2"), (2**63 - 1, "w1 w2")]
     got = lm.score_texts(docs_of(spark, rows)).collect()
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None] for i, t in rows}
@@ -273,7 +364,7 @@ def test_language_model(spark, corpus):
 
 def test_hidden_markov():
     rng = np.random.default_rng(1)
-    model = lm.Model(np.arange(3, dtype=np.uint64), np.array([5.0, 4.0, 3.0]), 20, 9)
+    model = lm.Model(np.arange(3, dtype=np.uint64), np.array([5.0, 4.0, 3.0]), 20)
     sizes = np.array([4, 1, 3])
     symbols = rng.integers(0, 4, 8)
     firsts = np.cumsum(sizes) - sizes
@@ -287,13 +378,78 @@ def test_hidden_markov():
             total += p
         return np.log10(total)
 
-    got = lm.forward(model, symbols, firsts, sizes)
+    got = lm.forward(model.start, model.move, model.emit.T, symbols, firsts, sizes)
     assert got == pytest.approx([likelihood(symbols[f : f + n]) for f, n in zip(firsts, sizes)])
     long = rng.integers(0, 4, 500)
     likes = [model.update(lm.expected(model, long, np.array([0, 300]), np.array([300, 200]))) for _ in range(6)]
     assert all(b > a for a, b in zip(likes, likes[1:]))
 
 
+def test_language_model_is_a_distribution():
+    """The probabilities of all words and of one unknown word add up to one in every state; parts add up too."""
+    rng = np.random.default_rng(3)
+    counts = np.array([50, 9, 7, 3, 2, 1, 1])
+    share = rng.dirichlet(np.ones(lm.STATES), len(counts))
+    parts = lm.in_parts(share)
+    assert (parts.sum(axis=1) == lm.PARTS).all() and np.abs(parts / lm.PARTS - share).max() < lm.STATES / lm.PARTS
+    rare = counts < 3
+    parts[rare] = 0
+    whole = [counts.sum(), len(counts), counts[rare].sum(), rare.sum(), *(counts[rare] @ share[rare]), *(counts @ (parts / lm.PARTS))]
+    model = lm.Model(np.arange(2, dtype=np.uint64), np.array([50.0, 9.0]), 73)
+    emit, spelled = lm.Scorer(model, np.array(whole)).emissions(np.append(counts, 0).astype(float), np.vstack([parts, np.zeros(lm.STATES)]))
+    assert (emit * 10.0 ** spelled[:, None]).sum(axis=0) == pytest.approx(np.ones(lm.STATES))
+
+
+@pytest.mark.parametrize("least", [2, 4])
+def test_language_model_by_loops(spark, least, monkeypatch):
+    """The last round's counts and the scores against plain loops, given the model of common words."""
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 150)
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices([f"{'ab'[i % 2]}{k}" for k in range(12)] + ["c", f"rare{i}"], k=rng.randint(0, 60)))) for i in range(40)]
+    kept: list = []
+    real = lm.Model.update
+    monkeypatch.setattr(lm.Model, "update", lambda self, sums: (kept.append(self), real(self, sums))[1])
+    got = by_id(lm.score_texts(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), least=least))
+    model = kept[-1]
+    tokens = {i: [*t.split(), None] for i, t in docs}
+    name = lambda w: int(lm.END) if w is None else int(lm.word_hashes(*lm.buffers(pa.array([w])))[0][0])
+    training = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    count: dict = {}
+    states: dict = {}
+    for i in training:
+        symbols = model.symbols(np.array([name(w) for w in tokens[i]], np.uint64))
+        gamma, *_ = lm.posteriors(model, symbols, np.array([0]), np.array([len(symbols)]))
+        for w, g in zip(tokens[i], gamma):
+            count[w] = count.get(w, 0) + 1
+            states[w] = states.get(w, 0) + g.astype(float)
+    n, rare = sum(count.values()), {w for w, c in count.items() if c < least}
+    seen = {w: states[w] for w in count if w not in rare}
+    other = sum((states[w] for w in rare), np.zeros(lm.STATES))
+    whole = sum(seen.values()) + other + 1
+    rare_n = sum(count[w] for w in rare)
+
+    def emit(w):
+        if w in seen:
+            return 0.8 * seen[w] / whole + 0.2 * count[w] / (n + 1)
+        return (0.8 * (other + 1) / whole + 0.2 * (rare_n + 1) / (n + 1)) * (count.get(w, 0) + 1) / (rare_n + len(rare) + 1)
+
+    for i, _ in docs:
+        a, total = model.start, 0.0
+        for k, w in enumerate(tokens[i]):
+            a = (a @ model.move if k else a) * emit(w)
+            total += np.log10(a.sum())
+            a = a / a.sum()
+        assert got[i].score == pytest.approx(total, abs=0.02 * len(tokens[i]))  # shares are kept in parts of 1/255
+
+
+def test_language_model_gains(spark):
+    """Over held-out documents the model beats the unigram."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = [r for r in lm.score_texts(docs).collect() if r.held_out]
+    assert len(held) > 10 and sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert sum(r.score > r.base_score for r in held) > 0.9 * len(held)
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
