@@ -17,8 +17,8 @@ component at a cost in proportion to its size.  Pairs that were put off, and tho
 rounds': there the documents outside of the block's largest component meet all others, with wider bitmaps, in those
 blocks that still hold different components.  The last round puts nothing off.
 
-Shingles are told apart by 64-bit hashes, and so are rows (by their doc_id and text): among n of them n*n/2**65 pairs are
-expected to be taken for one.  Null counts as an empty text.  Rows with one doc_id and different texts, or without
+Shingles are told apart by 64-bit hashes, and so are rows that share a doc_id or have none (by doc_id and text): among n of
+them n*n/2**65 pairs are expected to be taken for one.  Null counts as an empty text.  Rows with one doc_id and different texts, or without
 doc_id, are documents of their own; the component's id is the smallest doc_id in it, null if there is none.  Equal rows
 each give their own row; an empty table gives an empty table; columns other than doc_id and text are not read.
 """
@@ -40,20 +40,20 @@ from colloquy.llm.words import U, buffers, mix, rolling, slices, word_hashes
 SHINGLE = 5
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 75
-#: Words of a chunk; documents of a chunk that make a shingle frequent; frequent shingles that are known to all tasks (at
-#: most: others keep their place in the order, which changes the work, not the result).
+#: Words of a chunk; documents of a chunk beyond which a shingle is frequent; frequent shingles that are known to all tasks
+#: (at most, the most frequent ones: others keep their place in the order, which changes the work, not the result).
 CHUNK_WORDS = 1 << 20
-FREQUENT = 64
-FREQUENT_SHINGLES = 200_000
+FREQUENT = 2
+FREQUENT_SHINGLES = 500_000
 #: Slots of hashed words whose counts, over all documents, say how common a shingle's words are.
 SLOTS = 1 << 14
 #: Place in the order of shingles (0 to 255) from which on the frequent ones stand.
 LAST = 192
 #: Documents of a block that one task takes, those of them that all its tasks get, leaves and children of a tree's node.
-BLOCK, PIVOTS = 256, 16
+BLOCK, PIVOTS = 512, 16
 LEAVES, FAN = 8, 8
 #: Rounds in blocks: pairs for each document of the smaller component (None: all), bits of a bitmap per token.
-ROUNDS = ((1, 4), (16, 8), (None, 8))
+ROUNDS = ((1, 2), (16, 4), (None, 8))
 #: 64-bit words of bitmaps that a step of a walk compares.
 WALK_WORDS = 1 << 20
 #: Windows of prefixes that one group of the exchange takes, as bytes of text.
@@ -97,9 +97,11 @@ def shingles(batches: Iterator[pa.RecordBatch], k: int, counts: np.ndarray | Non
 _PROFILE = "kind int, row bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint"
 
 
-def row_key() -> Column:
-    """What tells rows apart: 64 bits of doc_id and text."""
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows apart: the doc_id if each row has one of its own (such ids pack well), else 64 bits of doc_id and
+    text."""
+    own = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
+    return F.col("doc_id").cast("bigint") if own else F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))
 
 
 def _profile(k: int):
@@ -463,11 +465,11 @@ def _block_links(docs: DataFrame, blocks: DataFrame, k: int) -> DataFrame | None
     return links
 
 
-def groups(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
+def groups(docs: DataFrame, *, k: int = SHINGLE, row: Column | None = None) -> DataFrame:
     """``row, doc_id, n_shingles, root, component_id`` for each row of ``docs`` (doc_id, text): ``row`` is :func:`row_key`,
     ``root`` the same for all rows of a component and null for a text without words."""
     spark = bounded(docs)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").select(row_key().alias("row"), "text", "doc_id")
+    docs = docs.select((row_key(docs) if row is None else row).alias("row"), "text", F.col("doc_id").cast("bigint").alias("doc_id"))
     profile = written(docs.mapInArrow(_profile(k), _PROFILE), "profile")
     rows = profile.where("kind = 0")
     # 1. classes of equal sets
