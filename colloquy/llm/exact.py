@@ -28,7 +28,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from colloquy.llm.shared import fits, forget, hinted, written
+from colloquy.llm.shared import fits, forget, hinted, rows_of, written
 from colloquy.llm.urls import LOWER, UPPER
 
 #: Keys that a bucket holds before it splits, at least; and buckets that a directory has, about: with more keys than these
@@ -54,8 +54,8 @@ def prefix(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("bigint")  # a shift by 64 would be none at all
 
 
-def directory(keys: DataFrame, capacity: int) -> DataFrame:
-    """``depth, prefix, n``: the buckets in use, which cover all ``keys`` (key; all different), each with at most
+def directory(keys: DataFrame, total: int, capacity: int) -> DataFrame:
+    """``depth, prefix, n``: the buckets in use, which cover all ``total`` ``keys`` (key; all different), each with at most
     ``capacity`` of them.
 
     The rounds work on counts by prefix, some 2**FINE to a bucket; only where one of these alone overfills a bucket are
@@ -64,22 +64,22 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
     def counted(some: DataFrame, bits: int) -> DataFrame:
         return written(some.groupBy(prefix(F.col("key"), bits).alias("slot")).agg(F.count(F.lit(1)).alias("n")), "slots")
 
-    fine = min(64, (keys.count() // capacity).bit_length() + FINE)
+    fine = min(64, (total // capacity).bit_length() + FINE)
     slots, full, over, depth = counted(keys, fine), None, None, 0
     while True:
         if depth > fine:
-            keys = keys.withColumn("prefix", prefix(F.col("key"), depth - 1)).join(over, "prefix", "left_semi").select("key")
+            keys = keys.withColumn("prefix", prefix(F.col("key"), depth - 1)).join(hinted(over), "prefix", "left_semi").select("key")
             fine = min(64, fine + FINE)
             slots, over = counted(keys, fine), None
         at = slots.withColumn("prefix", F.shiftrightunsigned("slot", fine - depth) if fine > depth else F.col("slot")) if depth else slots.withColumn("prefix", F.lit(0).cast("bigint"))
         if over is not None:  # the halves of the buckets that were overfull
-            at = at.withColumn("parent", F.shiftrightunsigned("prefix", 1)).join(over.withColumnRenamed("prefix", "parent"), "parent", "left_semi")
+            at = at.withColumn("parent", F.shiftrightunsigned("prefix", 1)).join(hinted(over).withColumnRenamed("prefix", "parent"), "parent", "left_semi")
         sizes = written(at.groupBy("prefix").agg(F.sum("n").alias("n")), "buckets")
         stand = sizes if depth == 64 else sizes.where(F.col("n") <= capacity)
         stand = stand.select(F.lit(depth).alias("depth"), "prefix", "n")
         full = stand if full is None else full.unionByName(stand)
-        over = hinted(sizes.where(F.col("n") > capacity).select("prefix"))
-        if depth == 64 or over.isEmpty():
+        over = written(sizes.where(F.col("n") > capacity).select("prefix"), "over")
+        if depth == 64 or not rows_of(over):
             return written(full, "directory")
         depth += 1
 
@@ -87,9 +87,10 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
 def placed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     """``rows`` (with key), and ``depth, prefix`` of the bucket that the directory names for each of them."""
     depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())  # 65 at most, a handful as hashes go
+    names = buckets.select("depth", "prefix")
     ways = F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col("key"), d).alias("prefix")) for d in depths]).cast("array<struct<depth:int,prefix:bigint>>")
     tried = rows.withColumn("way", F.explode(ways)).select(*rows.columns, "way.depth", "way.prefix")
-    return tried.join(hinted(buckets.select("depth", "prefix")), ["depth", "prefix"])
+    return tried.join(F.broadcast(names) if fits(buckets) else names, ["depth", "prefix"])
 
 
 def index(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, spread: int = SPREAD, key: Callable[[str], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,10 +100,10 @@ def index(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
     texts = docs.select(F.col(id_column).alias("doc_id"), norm.alias("norm")).withColumns({"key": key("norm").cast("bigint"), "task": F.spark_partition_id()})
     rows = written(texts.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("digest")), "rows")
     keys = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"), F.max("digest").alias("digest")), "keys")
-    buckets = directory(keys.select("key"), max(capacity, keys.count() // BUCKETS))
+    buckets = directory(keys.select("key"), rows_of(keys), max(capacity, rows_of(keys) // BUCKETS))
     once = keys.where("n = 1").select("key", "digest", F.lit(None).cast("string").alias("norm"), "keep_id", F.col("n").alias("group_size"))
     again = written(keys.where("n > 1").select("key", "n"), "again")
-    found = texts.join(F.broadcast(again) if 16 * again.count() <= KEY_BYTES else again, "key")
+    found = texts.join(F.broadcast(again) if 16 * rows_of(again) <= KEY_BYTES else again, "key")
     # equal texts of one task become one row here; a task adds to one part of a large group, so parts make no more rows
     part = F.pmod(F.col("task"), F.ceil(F.col("n") / spread)).alias("part")
     found = found.groupBy("key", "norm", part).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

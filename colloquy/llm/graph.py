@@ -4,24 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.shared import forget, written
+from colloquy.llm.shared import forget, mark_of, rows_of, written
 
 
-def _is_forest_of_stars(e: DataFrame) -> bool:
-    """Whether each ``u`` has one ``v`` and no ``v`` is a ``u``."""
-    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("top")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("top")))).alias("x")).select("x.*")
-    odd = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("top") > 0)))
-    return odd.isEmpty()
-
-
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """``id, component`` for every end of a link but the components' own smallest ids; ``links``: a, b.
 
-    Alternating large and small stars: each round links all of a node's neighbours to their smallest.  The number of
-    rounds grows with the logarithm of the longest chain.  Each round's links are written to the shared folder.
+    Alternating large and small stars: each round links all of a node's neighbours to their smallest, until a round changes
+    nothing.  The number of rounds grows with the logarithm of the longest chain.  Each round's links are written to the
+    shared folder.  With ``rounds`` it ends after so many: then rows of one component may have different labels, but rows
+    with one label are of one component.
     """
     e = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    while not _is_forest_of_stars(e):
+    while rows_of(e) and (rounds is None or rounds > 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -29,6 +24,14 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         before, e = e, written(small.where("u <> v").distinct(), "links")
         forget(before)
+        if mark_of(before) == mark_of(e):
+            break
+        rounds = None if rounds is None else rounds - 1
+    if rounds is not None:  # the label of a node that has several
+        labels = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+        out = written(labels, "labels")
+        forget(e)
+        return out
     out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    out._colloquy_path = e._colloquy_path  # noqa: SLF001  for forget
+    out._colloquy = e._colloquy  # noqa: SLF001  a table of the same rows
     return out

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colloquy.llm.graph import components
 from colloquy.llm.packing import batch as record, binaries, bucket_of, planes, runs, unplanes
-from colloquy.llm.shared import bounded, deal, forget, hinted, keyed_semi, written
+from colloquy.llm.shared import bounded, deal, forget, hinted, keyed_semi, rows_of, written
 from colloquy.llm.words import U, buffers, mix, rolling, slices, word_hashes
 
 SHINGLE = 5
@@ -97,11 +97,11 @@ def shingles(batches: Iterator[pa.RecordBatch], k: int, counts: np.ndarray | Non
 _PROFILE = "kind int, row bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint"
 
 
-def row_key(docs: DataFrame) -> Column:
-    """What tells rows apart: the doc_id if each row has one of its own (such ids pack well), else 64 bits of doc_id and
-    text."""
+def row_key(docs: DataFrame) -> tuple[Column, bool]:
+    """(what tells rows apart, whether each row has one of its own): the doc_id if so (such ids pack well), else 64 bits of
+    doc_id and text."""
     own = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
-    return F.col("doc_id").cast("bigint") if own else F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))
+    return (F.col("doc_id").cast("bigint") if own else F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))), own
 
 
 def _profile(k: int):
@@ -153,19 +153,11 @@ def _arrays(k: int):
     return run
 
 
-def _once(table: DataFrame, *keys: str) -> DataFrame:
-    """``table``, of whose rows with the same keys one stays: repeated rows may have met in several tasks."""
-    if table.groupBy(*keys).count().where("count > 1").isEmpty():
-        return table
-    found = written(table.dropDuplicates([*keys]), "once")
-    forget(table)
-    return found
-
-
-def token_arrays(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``id, n, tokens`` of the rows named in ``ids`` (row), written to the shared folder."""
-    chosen = keyed_semi(docs, written(ids.distinct(), "chosen"), "row")
-    return _once(written(chosen.mapInArrow(_arrays(k), "id bigint, n bigint, tokens binary"), "tokens"), "id")
+def _chosen(docs: DataFrame, ids: DataFrame, make, schema: str, keys: list[str], unique: bool) -> DataFrame:
+    """What ``make`` gives for the rows named in ``ids`` (row), written to the shared folder.  Unless rows are ``unique``
+    repeated ones may have met in several tasks: one result of theirs stays."""
+    found = keyed_semi(docs, written(ids.distinct(), "chosen"), "row").mapInArrow(make, schema)
+    return written(found if unique else found.dropDuplicates(keys), "chosen-rows")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,42 +426,42 @@ def _walked(dealt: DataFrame, bits: DataFrame, limit: int | None) -> DataFrame:
     return written(joined.groupBy("block", "cls", "lo", "hi").applyInArrow(_walk_block(limit), "block bigint, cls bigint, a bigint, b bigint, more boolean"), "pairs")
 
 
-def _block_links(docs: DataFrame, blocks: DataFrame, k: int) -> DataFrame | None:
+def _block_links(docs: DataFrame, blocks: DataFrame, k: int, unique: bool) -> DataFrame:
     """All links that are needed: between classes that share a block (block, id), until all that link are connected."""
-    links, members, found = None, None, None
+    links, members = None, None
     for limit, factor in ROUNDS:
-        chosen = keyed_semi(docs, written((blocks if members is None else members).select(F.col("id").alias("row")).distinct(), "chosen"), "row")
-        bits = _once(written(chosen.mapInArrow(_bits(k, factor), "id bigint, n bigint, cls bigint, home boolean, bits binary"), "bits"), "id", "home")
-        if members is None:  # documents of a class of sizes meet each other and those of the next class: other sizes cannot link
+        ids = (blocks if members is None else members).select(F.col("id").alias("row"))
+        bits = _chosen(docs, ids, _bits(k, factor), "id bigint, n bigint, cls bigint, home boolean, bits binary", ["id", "home"], unique)
+        first = members is None
+        if first:  # documents of a class of sizes meet each other and those of the next class: other sizes cannot link
             members = written(blocks.join(bits.select("id", "n", "cls", "home"), "id").withColumn("comp", F.col("id")), "members")
-            walked = _walked(_first_round(members), bits, limit)
-        else:
-            walked = _walked(_later_round(members), bits, limit)
+        walked = _walked(_first_round(members) if first else _later_round(members), bits, limit)
         pairs = written(walked.select("a", "b").distinct(), "compared")
-        tokens = token_arrays(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")), k)
+        tokens = _chosen(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")), _arrays(k), "id bigint, n bigint, tokens binary", ["id"], unique)
         new = linked(pairs, tokens)
         links = new if links is None else links.unionByName(new)
         forget(tokens, pairs, bits)
         if limit is None:
             break
         again = walked.where("more").select("block", "cls")
-        if found is None:  # the parts of a block have not met each other yet
+        if first:  # the parts of a block have not met each other yet
             again = again.unionByName(members.groupBy("block", "cls").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("block", "cls"))
         again = written(again.distinct(), "again")
-        if again.isEmpty():
+        if not rows_of(again):
             break
-        found = components(links)
+        found = components(links, rounds=2)  # labels that are right as far as they go
         left = members.join(hinted(again), ["block", "cls"], "left_semi").drop("comp").join(hinted(found), "id", "left")
         before, members = members, written(left.select("block", "id", F.coalesce("component", "id").alias("comp"), "n", "cls", "home"), "members")
         forget(before, walked, again, found)
     return links
 
 
-def groups(docs: DataFrame, *, k: int = SHINGLE, row: Column | None = None) -> DataFrame:
+def groups(docs: DataFrame, *, k: int = SHINGLE, row: tuple[Column, bool] | None = None) -> DataFrame:
     """``row, doc_id, n_shingles, root, component_id`` for each row of ``docs`` (doc_id, text): ``row`` is :func:`row_key`,
     ``root`` the same for all rows of a component and null for a text without words."""
     spark = bounded(docs)
-    docs = docs.select((row_key(docs) if row is None else row).alias("row"), "text", F.col("doc_id").cast("bigint").alias("doc_id"))
+    row, unique = row_key(docs) if row is None else row
+    docs = docs.select(row.alias("row"), "text", F.col("doc_id").cast("bigint").alias("doc_id"))
     profile = written(docs.mapInArrow(_profile(k), _PROFILE), "profile")
     rows = profile.where("kind = 0")
     # 1. classes of equal sets
@@ -477,30 +469,35 @@ def groups(docs: DataFrame, *, k: int = SHINGLE, row: Column | None = None) -> D
     classed = rows.join(hinted(written(same, "same")), ["d1", "d2", "n"], "left")
     classed = written(classed.select("row", "doc_id", "n", F.coalesce("id", F.when(F.col("n") > 0, F.col("row"))).alias("id")), "classes")
     # 2. prefixes
-    often = profile.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "d1").limit(FREQUENT_SHINGLES).collect()
-    hashes = np.array([r[0] for r in often], np.int64).view(np.uint64)
+    often = profile.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "d1").limit(FREQUENT_SHINGLES).toArrow()
+    hashes, count = often.column("d1").to_numpy().astype(np.int64).view(np.uint64), often.column("c").to_numpy().astype(np.float64)
     order = np.argsort(hashes)
-    last = LAST + np.minimum(np.log2(np.array([r[1] for r in often], np.float64)).astype(np.int64), 255 - LAST)
+    last = (LAST + np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), 255 - LAST)).astype(np.uint8)
     weights = np.zeros(SLOTS, np.int64)
-    for slot, n in profile.where("kind = 2").groupBy("d1").agg(F.sum("n")).collect():  # a row for each of SLOTS at most
-        weights[slot] = min(int(n).bit_length(), (LAST - 1) // k)
+    size = 0
+    for kind, slot, n in profile.where("kind <> 1").groupBy("kind", F.when(F.col("kind") == 2, F.col("d1")).alias("slot")).agg(F.sum("n")).collect():  # a row for each of SLOTS at most
+        if kind == 0:
+            size = n or 0
+        else:
+            weights[slot] = min(int(n).bit_length(), (LAST - 1) // k)
     shipped = spark.sparkContext.broadcast((hashes[order], last[order], weights))
-    size = rows.agg(F.sum("n")).first()[0] or 0  # the prefixes are a quarter of the sets; an entry takes some 50 bytes unpacked
+    # the prefixes are a quarter of the sets; an entry takes some 50 bytes unpacked
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 13 // BUCKET_BYTES))
     packed = docs.select("row", "text").mapInArrow(_prefixes(k, deal(spark, buckets), shipped), "bucket int, kind int, hashes binary, docs binary, sizes binary")
     shared = written(packed.groupBy("bucket").applyInArrow(_shared_prefixes, "hash bigint, block bigint, row bigint"), "shared")
+    forget(profile)
     # one row stands for a class; most rows stand for themselves
-    others = hinted(classed.where("id <> row").select("row", "id").distinct())
-    shared = shared.join(others, "row", "left").select("hash", "block", F.coalesce("id", "row").alias("id"))
+    others = written(classed.where("id <> row").select("row", "id").distinct(), "others")
+    shared = shared.join(hinted(others), "row", "left").select("hash", "block", F.coalesce("id", "row").alias("id"))
     frequent = shared.where("hash IS NOT NULL")
     ends = frequent.groupBy("hash").agg(F.min("id").alias("block"), F.max("id").alias("most")).where("block < most").drop("most")
     blocks = shared.where("hash IS NULL").select("block", "id").unionByName(frequent.drop("block").join(hinted(written(ends, "ends")), "hash").select("block", "id"))
     blocks = written(blocks.distinct(), "blocks")
     # 3. signature trees
-    links = None if blocks.isEmpty() else _block_links(docs.select("row", "text"), blocks, k)
     rooted = classed.withColumn("root", F.col("id"))
-    if links is not None:
-        rooted = classed.join(hinted(components(links)), "id", "left").withColumn("root", F.coalesce("component", "id"))
+    if rows_of(blocks):
+        found = components(_block_links(docs.select("row", "text"), blocks, k, unique))
+        rooted = classed.join(hinted(found), "id", "left").withColumn("root", F.coalesce("component", "id"))
         forget(blocks)
     rooted = written(rooted.select("row", "doc_id", F.col("n").alias("n_shingles"), "root"), "rooted")
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")

@@ -11,13 +11,13 @@ import atexit
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import AtomicType, BinaryType, StringType
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import AtomicType, BinaryType, NumericType, StringType
 
 #: Bytes of a table that may be broadcast, measured before: rows times columns of 8 bytes, and the bytes of strings.
 BROADCAST_BYTES = 4 << 20
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 _left: set[str] = set()
 
 
@@ -33,33 +33,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded(df: DataFrame) -> SparkSession:
-    """The session, in which Arrow batches are from now on BATCH_ROWS rows at most: a batch of texts fits in memory."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """The session, in which Arrow batches are from now on BATCH_ROWS rows and BATCH_BYTES bytes at most (a row that is
+    longer is a batch of its own): a batch of texts fits in memory."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.max{}PerBatch"
+    if not 0 < int(spark.conf.get(key.format("Records"))) <= BATCH_ROWS:
+        spark.conf.set(key.format("Records"), str(BATCH_ROWS))
+    spark.conf.set(key.format("Bytes"), str(BATCH_BYTES))
     return spark
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the lineage ends there.
+    """Write ``df`` to the shared folder and read it back; the lineage ends there.  The rows are counted, and a checksum
+    of them is taken, as they are written: see :func:`rows_of` and :func:`mark_of`.
 
     A table goes when it is given to :func:`forget`, or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/colloquy-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*[f.name for f in df.schema if isinstance(f.dataType, NumericType)] or [F.lit(0)])).alias("mark"))
+    counted.write.option("compression", "zstd").parquet(path)
     if not _left:
         atexit.register(_remove_all, spark)
     _left.add(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._colloquy_path = path  # noqa: SLF001  for forget
+    out._colloquy = (path, seen.get["n"], seen.get["mark"])  # noqa: SLF001
     return out
 
 
+def rows_of(df: DataFrame) -> int:
+    """Rows of a table of :func:`written`, without a job."""
+    return df._colloquy[1]
+
+
+def mark_of(df: DataFrame) -> tuple[int, int | None]:
+    """Rows and checksum of the numbers of a table of :func:`written`, in any order of its rows."""
+    return df._colloquy[1:]
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove tables of :func:`written` that nothing will read again."""
     for t in tables:
-        path = getattr(t, "_colloquy_path", None)
+        path = getattr(t, "_colloquy", (None,))[0]
         if path in _left:
             _left.discard(path)
             _remove(t.sparkSession, path)
@@ -75,6 +90,8 @@ def fits(df: DataFrame) -> bool:
     if not all(isinstance(f.dataType, AtomicType) for f in df.schema):
         return False
     long = [f.name for f in df.schema if isinstance(f.dataType, StringType | BinaryType)]
+    if hasattr(df, "_colloquy") and (not long or 8 * len(df.columns) * rows_of(df) > BROADCAST_BYTES):
+        return 8 * len(df.columns) * rows_of(df) <= BROADCAST_BYTES
     n, *sizes = df.agg(F.count(F.lit(1)), *[F.sum(F.octet_length(c)) for c in long]).first()
     return 8 * len(df.columns) * n + sum(x or 0 for x in sizes) <= BROADCAST_BYTES
 
@@ -84,9 +101,9 @@ def hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df) else df
 
 
-def keyed_semi(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
-    """Semi or anti join with a key table that is broadcast only if it fits."""
-    return df.join(hinted(keys.select(on)), on, how)
+def keyed_semi(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join with a table of keys that is broadcast only if it fits."""
+    return df.join(F.broadcast(keys) if fits(keys) else keys, on, how)
 
 
 def deal(spark: SparkSession, n: int) -> list[int]:

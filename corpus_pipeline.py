@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.llm import bpe, decontam, exact, jaccard, quality
-from colloquy.llm.shared import forget, hinted, written
+from colloquy.llm.shared import forget, hinted, rows_of, written
 
 
 def _own(docs: DataFrame, *names: str) -> list[str]:
@@ -58,10 +58,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     key, one = _own(docs, "dedup_key", "dedup_row")
     found = written(exact.dedup(docs.select("doc_id", "text")).select("doc_id", F.col("text_sha256").alias("dedup_sha"), "kept"), "copies")
     docs = docs.withColumn(key, F.sha2(exact.normalised(F.col("text")), 256))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("dedup_id"), "dedup_sha").distinct()
+    gone = written(found.where("NOT kept").select(F.col("doc_id").alias("dedup_id"), "dedup_sha").distinct(), "gone")
     left = _without(docs, gone, ("doc_id", "dedup_id"), (key, "dedup_sha"))
     again = written(found.where("kept").groupBy("dedup_sha").count().where("count > 1").select("dedup_sha"), "again")
-    if again.isEmpty():
+    if not rows_of(again):
         return left.drop(key)
     again = hinted(again)
     repeated = left.join(again, left[key] == again["dedup_sha"], "left_semi")
@@ -83,7 +83,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     first = found.groupBy("root").agg(F.min(place).alias("first"), F.max("row").alias("last"), F.min("row").alias("least")).where("least < last").select(F.col("root"), F.col("first.row").alias("stays"))
     gone = written(found.join(hinted(first), "root").where("row <> stays").select("row").distinct(), "near")
     forget(found)
-    return _without(docs.withColumn(key, row), gone, (key, "row")).drop(key)
+    return _without(docs.withColumn(key, row[0]), gone, (key, "row")).drop(key)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

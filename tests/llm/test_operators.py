@@ -116,7 +116,7 @@ def test_exact_index(spark, corpus):
 @pytest.mark.parametrize(("n", "capacity"), [(5000, 100), (3, 1), (1, 1), (0, 5), (40, 1)])
 def test_directory(spark, n, capacity):
     keys = spark.range(n).select(F.xxhash64("id").alias("key"))
-    d = exact.directory(keys, capacity).collect()
+    d = exact.directory(keys, n, capacity).collect()
     assert sum(r.n for r in d) == n and all(0 < r.n <= capacity for r in d)
     whole = lambda r, x: ((r.prefix + x) << (64 - r.depth)) % (1 << 64)
     spans = sorted((whole(r, 0), whole(r, 1) or 1 << 64) for r in d)
@@ -501,6 +501,8 @@ def test_shared_folder(spark):
     where = shared.shared_dir(spark)
     assert spark.conf.get("spark.checkpoint.dir").rstrip("/") == where
     t = shared.written(spark.range(3), "test")
+    assert t.count() == shared.rows_of(t) == 3 and shared.mark_of(t) == shared.mark_of(shared.written(spark.range(3).repartition(3), "test")) != shared.mark_of(shared.written(spark.range(1, 4), "test"))
+    assert shared.rows_of(shared.written(spark.range(0), "test")) == 0
     assert t.count() == 3 and where.split(":")[-1].lstrip("/") in t.inputFiles()[0]
     shared.forget(t)
     with pytest.raises(Exception):  # noqa: B017
