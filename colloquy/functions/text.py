@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from colloquy.schema import CORRECTION, ENDING_PUNCT
+
 # Characters that annotations use, which cleaning removes.
 ANNOTATION_CHARS = "()[]<>“”,!?.+&:^$\"∬-≠↑↓⇗↗→↘⇘∞≋≡∙⌈⌉⌊⌋∆∇*°◉▁▔☺♋Ϋ∲§∾↻Ἡ„‡ạʰāʔʕˈˌ‹›〔~〕;"
 
@@ -28,6 +30,53 @@ def bullet(text: Column) -> tuple[Column, Column]:
     return tuple(F.nullif(F.regexp_extract(text, "\x15(\\d+)_(\\d+)\x15", k), F.lit("")).cast("bigint") for k in (1, 2))
 
 
+def rebulleted(text: Column, start: Column, end: Column) -> Column:
+    """A line with another time bullet: in place of its own, at its end if it has none; without times it loses its own."""
+    old = "\x15\\d+_\\d+\x15"
+    new = F.concat(F.lit("\x15"), start.cast("string"), F.lit("_"), end.cast("string"), F.lit("\x15"))
+    there = F.when(text.contains("\x15"), F.regexp_replace(text, F.lit(old), new)).otherwise(F.concat(text, F.lit(" "), new))
+    return F.trim(F.when(start.isNotNull() & end.isNotNull(), there).otherwise(F.regexp_replace(text, old, "")))
+
+
+def delimiter(tokens: Column) -> Column:
+    """The last of an array of tokens if it ends utterances, else a full stop."""
+    last = F.try_element_at(tokens, F.lit(-1))
+    return F.when(last.isin(ENDING_PUNCT), last).otherwise(".")
+
+
+def zero_form(text: Column, kind: Column) -> tuple[Column, Column]:
+    """(text, type) of a form: one that begins with 0 is a correction, without its 0."""
+    zero = text.startswith("0") & (F.length(text) > 1)
+    return F.when(zero, F.substring(text, F.lit(2), F.length(text))).otherwise(text), F.when(zero, CORRECTION).otherwise(kind)
+
+
+def sentences(text: Column) -> Column:
+    """Pieces that end in a full stop, a question or an exclamation mark; the rest is the last piece."""
+    return F.regexp_extract_all(text, F.lit("([^.!?]+[.!?]|[^.!?]+$)"), F.lit(1))
+
+
+# Three letters for two-letter codes of languages, and the other way round where the short form differs.
+LONG = {"en": "eng", "fr": "fra", "de": "deu", "es": "spa", "it": "ita", "pt": "por", "nl": "nld", "ja": "jpn", "zh": "zho", "ko": "kor", "ru": "rus", "tr": "tur", "ar": "ara", "he": "heb", "hi": "hin", "pl": "pol", "da": "dan", "sv": "swe", "el": "ell", "hu": "hun", "id": "ind", "vi": "vie", "ca": "cat", "hr": "hrv"}
+TAGGER = {"yue": "zh-hant", "zho": "zh-hans"}
+
+
+def long_language(code: Column) -> Column:
+    """The three letters of a language's two-letter code; ``und`` where there are none."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in LONG.items() for x in kv])[code], F.lit("und"))
+
+
+def tagger_language(code: Column) -> Column:
+    """What taggers call a language of three letters: its two letters, Chinese by script; null if unknown."""
+    names = {v: k for k, v in LONG.items()} | TAGGER
+    return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[code]
+
+
+def mended_mor(text: Column) -> Column:
+    """A %mor line in which the clitic of a progressive verb is the auxiliary: ``~part|s verb|X-Ger-S`` becomes
+    ``~aux|is verb|X-Part-Pres-S``."""
+    return F.regexp_replace(text, r"~part\|s verb\|(\w+)-Ger-S", r"~aux|is verb|$1-Part-Pres-S")
+
+
 def annotation_clean(text: Column, special: bool = False) -> Column:
     """A word without annotation marks.  Marks go before ``@x`` codes, as single characters; ``//`` goes as a pair."""
     text = F.regexp_replace(F.replace(text, F.lit("[/]"), F.lit("")), "\x15\\d+_\\d+\x15", "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,39 +17,87 @@ TABLE_CELLS = 2048
 Item = tuple[str, int, int]
 
 
-def _row(payload: list, reference: list, same: Callable) -> list[int]:
-    """Last row of costs of all prefixes of ``payload`` against the whole ``reference``."""
-    row = list(range(len(payload) + 1))
-    for i, r in enumerate(reference, 1):
-        corner, row[0] = row[0], i
-        for j, p in enumerate(payload, 1):
-            best = min(row[j] + 1, row[j - 1] + 1, corner + (0 if same(p, r) else 2))
-            corner, row[j] = row[j], best
+def _same(x, y) -> bool:
+    return x == y
+
+
+class _Problem:
+    """Two lists as codes, and which other codes the predicate takes for the same as one."""
+
+    def __init__(self, payload: list, reference: list, same: Callable) -> None:
+        codes: dict = {}
+        self.p, self.r = (np.array([codes.setdefault(x, len(codes)) for x in side], np.int64) for side in (payload, reference))
+        self.also: dict[int, list[int]] = {}
+        if same is not _same:
+            words = list(codes)
+            plain = getattr(same, "plain", None)  # items that are the same as other such items only if they are equal
+            for k in (k for k, w in enumerate(words) if not (plain and plain(w))):
+                for j, x in enumerate(words):
+                    if j != k:
+                        if same(words[k], x):
+                            self.also.setdefault(j, []).append(k)
+                        if same(x, words[k]):
+                            self.also.setdefault(k, []).append(j)
+
+    def hits(self, i: int, columns: slice) -> np.ndarray:
+        """Where the payload is the same as the i-th item of the reference."""
+        own = self.p[columns]
+        hit = own == self.r[i]
+        for other in self.also.get(int(self.r[i]), ()):
+            hit |= own == other
+        return hit
+
+    def rows(self, p0: int, p1: int, r0: int, r1: int, backwards: bool = False) -> Iterator[np.ndarray]:
+        """Rows of costs of all prefixes of the payload's part against longer and longer ones of the reference's part; from
+        the ends on if ``backwards``."""
+        m = p1 - p0
+        steps = np.arange(m + 1)
+        row = steps.copy()
+        yield row
+        columns = slice(p0, p1)
+        for i in range(r1 - 1, r0 - 1, -1) if backwards else range(r0, r1):
+            hit = self.hits(i, columns)
+            if backwards:
+                hit = hit[::-1]
+            new = row + 1
+            new[1:] = np.minimum(new[1:], row[:-1] + np.where(hit, 0, 2))
+            row = np.minimum.accumulate(new - steps) + steps  # an insertion costs one for each column
+            yield row
+
+
+def _last(rows: Iterator[np.ndarray]) -> np.ndarray:
+    for row in rows:
+        pass
     return row
 
 
-def matches(payload: list, reference: list, same: Callable = lambda x, y: x == y) -> int:
+def _row(payload: list, reference: list, same: Callable = _same) -> list[int]:
+    """Last row of costs of all prefixes of ``payload`` against the whole ``reference``."""
+    return _last(_Problem(payload, reference, same).rows(0, len(payload), 0, len(reference))).tolist()
+
+
+def matches(payload: list, reference: list, same: Callable = _same) -> int:
     """How many items of a best alignment match."""
     return (len(payload) + len(reference) - _row(payload, reference, same)[-1]) // 2
 
 
-def _table(payload: list, reference: list, p0: int, r0: int, same: Callable) -> list[Item]:
-    n, m = len(reference), len(payload)
-    cost = [[i + j if not (i and j) else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i][j] = min(cost[i - 1][j - 1] + (0 if same(payload[j - 1], reference[i - 1]) else 2), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+def _table(problem: _Problem, p0: int, p1: int, r0: int, r1: int) -> list[Item]:
+    cost = np.stack(list(problem.rows(p0, p1, r0, r1))).tolist()
     out: list[Item] = []
-    i, j = n, m
+    i, j = r1 - r0, p1 - p0
+    hits = [problem.hits(r0 + k, slice(p0, p1)).tolist() for k in range(i)]
     while i or j:
-        diagonal = cost[i - 1][j - 1] + (0 if same(payload[j - 1], reference[i - 1]) else 2) if i and j else None
-        if diagonal is not None and cost[i][j] == diagonal:
-            if same(payload[j - 1], reference[i - 1]):
-                out.append(("match", p0 + j - 1, r0 + i - 1))
-            else:  # a replacement is two extras; the order is reversed at the end
-                out += [("payload", p0 + j - 1, -1), ("reference", -1, r0 + i - 1)]
-            i, j = i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        here = cost[i][j]
+        if i and j:
+            hit = hits[i - 1][j - 1]
+            if here == cost[i - 1][j - 1] + (0 if hit else 2):
+                if hit:
+                    out.append(("match", p0 + j - 1, r0 + i - 1))
+                else:
+                    out += [("payload", p0 + j - 1, -1), ("reference", -1, r0 + i - 1)]
+                i, j = i - 1, j - 1
+                continue
+        if i and here == cost[i - 1][j] + 1:
             out.append(("reference", -1, r0 + i - 1))
             i -= 1
         else:
@@ -57,21 +106,28 @@ def _table(payload: list, reference: list, p0: int, r0: int, same: Callable) ->
     return out[::-1]
 
 
-def align(payload: list, reference: list, same: Callable = lambda x, y: x == y, p0: int = 0, r0: int = 0) -> list[Item]:
+def align(payload: list, reference: list, same: Callable = _same) -> list[Item]:
     """(op, payload index, reference index) in order; op: match, payload (only there), reference (only there).
 
     Ties: diagonal, then an extra of the reference, then of the payload.  Large problems are halved at the middle of the
-    reference and at the first payload split of least cost.
+    reference and at the first payload split of least cost, so memory grows with a side's length alone.
     """
-    if not payload or not reference:
-        return [("payload", p0 + j, -1) for j in range(len(payload))] + [("reference", -1, r0 + i) for i in range(len(reference))]
-    if len(payload) <= 1 or len(reference) <= 1 or len(payload) * len(reference) <= TABLE_CELLS:
-        return _table(payload, reference, p0, r0, same)
-    half = len(reference) // 2
-    left, right = _row(payload, reference[:half], same), _row(payload[::-1], reference[half:][::-1], same)[::-1]
-    total = [a + b for a, b in zip(left, right, strict=True)]
-    k = total.index(min(total))
-    return align(payload[:k], reference[:half], same, p0, r0) + align(payload[k:], reference[half:], same, p0 + k, r0 + half)
+    problem = _Problem(payload, reference, same)
+    out: list[Item] = []
+    todo = [(0, len(payload), 0, len(reference))]
+    while todo:
+        p0, p1, r0, r1 = todo.pop()
+        n, m = r1 - r0, p1 - p0
+        if not n or not m:
+            out += [("payload", j, -1) for j in range(p0, p1)] + [("reference", -1, i) for i in range(r0, r1)]
+        elif n <= 1 or m <= 1 or n * m <= TABLE_CELLS:
+            out += _table(problem, p0, p1, r0, r1)
+        else:
+            half = r0 + n // 2
+            total = _last(problem.rows(p0, p1, r0, half)) + _last(problem.rows(p0, p1, half, r1, backwards=True))[::-1]
+            k = p0 + int(total.argmin())
+            todo += [(k, p1, half, r1), (p0, k, r0, half)]
+    return out
 
 
 def word_errors(items: list[Item], reference: list[str]) -> tuple[int, int, int]:
@@ -109,6 +165,9 @@ def same_word(x: str, y: str) -> bool:
     return bare(x) == bare(y) or cut(x) == y or x == cut(y)
 
 
+same_word.plain = lambda w: "(" not in w and ")" not in w
+
+
 def diff_lines(items: list[Item], payload: list[str], reference: list[str]) -> str:
     sign = {"match": "  ", "payload": "- ", "reference": "+ "}
     return "\n".join(sign[op] + (reference[r] if op == "reference" else payload[p]) for op, p, r in items)
@@ -170,12 +229,17 @@ def whole_distance(payload: Column, reference: Column) -> Column:
     return run(payload, reference)
 
 
-def adjacent_turns(forms: DataFrame, words: int) -> DataFrame:
-    """Each turn's first words (payload) and those of the turn before (reference): ``doc_id, line_no, payload, reference``."""
+def plain_words(forms: DataFrame) -> DataFrame:
+    """Forms that are no punctuation, without hyphens inside."""
+    return forms.where("type <> 5").withColumn("text", F.replace("text", F.lit("-"), F.lit("")))
+
+
+def adjacent_turns(forms: DataFrame) -> DataFrame:
+    """Each turn's words (payload) and those of the turn before (reference): ``doc_id, line_no, payload, reference``."""
     from pyspark.sql import Window
 
     lists = forms.where("type = 0").groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("form_no", F.lower("text").alias("w")))).alias("x"))
-    lists = lists.select("doc_id", "line_no", F.slice(F.transform("x", lambda x: x["w"]), 1, words).alias("payload"))
+    lists = lists.select("doc_id", "line_no", F.transform("x", lambda x: x["w"]).alias("payload"))
     return lists.withColumn("reference", F.lag("payload").over(Window.partitionBy("doc_id").orderBy("line_no"))).where("reference IS NOT NULL")
 
 
@@ -203,7 +267,7 @@ def compared_turns(forms: DataFrame) -> DataFrame:
     hyphens, the payload's single letters glued, both conformed; ``words`` counts those of the reference before that."""
     from pyspark.sql import Window
 
-    plain = forms.where("type <> 5").withColumn("text", F.replace("text", F.lit("-"), F.lit("")))
+    plain = plain_words(forms)
 
     def turns(rows: DataFrame, order: str, name: str) -> DataFrame:
         x = F.array_sort(F.collect_list(F.struct(order, T.conform(F.col("text")).alias("w"))))

@@ -6,13 +6,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Lexicon rows that may be broadcast after counting them.
-LEXICON_ROWS = 1_000_000
+#: Bytes of a lexicon that may be broadcast after measuring them.
+LEXICON_BYTES = 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= LEXICON_ROWS else df
+    """``df``, broadcast if its rows, written as JSON, are few bytes."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= LEXICON_BYTES else df
+
+
+def replaced(forms: DataFrame, lexicon: DataFrame, kind: int) -> DataFrame:
+    """Forms whose lower-case text is listed (original, main, lemma; one row a word) with the lemma as their text and
+    ``kind`` as their type; :func:`replaced_text` does the same to the lines."""
+    found = forms.join(small(lexicon.select("original", "lemma")), F.lower("text") == F.col("original"), "left")
+    return found.withColumns({"text": F.coalesce("lemma", "text"), "type": F.when(F.col("lemma").isNull(), F.col("type")).otherwise(kind)}).drop("original", "lemma")
+
+
+def replaced_text(text: Column, entries: list[tuple[str, str]]) -> Column:
+    """A line in which each listed word (original, main), as part of it and whatever its case, is written as main says."""
+    return reduce(lambda c, e: F.regexp_replace(c, f"(?iu)\\Q{e[0]}\\E", e[1].replace("\\", r"\\\\").replace("$", r"\$")), entries, text)
 
 
 def paired(files: DataFrame, mark: str, other: str) -> DataFrame:

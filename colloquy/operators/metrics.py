@@ -36,11 +36,27 @@ def majority(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return n.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value), F.max("n").alias("votes"))
 
 
+#: Ranges of values that a median is looked for in.
+RANGES = 1024
+
+
 def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The element at index n // 2 of the sorted values: never interpolated."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    numbered = rows.withColumn("k", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return numbered.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select(*keys, F.col(value).alias("median"), "n")
+    """The element at index n // 2 of the sorted values, never interpolated; and ``n``, how many there are.  Nulls don't
+    count.
+
+    Values of a key are counted by RANGES ranges between its least and its largest one, then only the range that holds
+    the element is sorted: no task gets all values of a key."""
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    ends = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double") * (RANGES - 1))).otherwise(0).cast("int")
+    ranged = rows.join(ends, keys).withColumn("place", place)
+    counts = ranged.groupBy(*keys, "n", "place").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(Window.partitionBy(*keys).orderBy("place")) - F.col("m")
+    target = F.floor(F.col("n") / 2)
+    held = counts.withColumn("before", before).where((F.col("before") <= target) & (target < F.col("before") + F.col("m"))).select(*keys, "place", "before")
+    own = ranged.join(held, [*keys, "place"]).groupBy(*keys, "n", "before", "v").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.col("before") + F.sum("m").over(Window.partitionBy(*keys).orderBy("v"))
+    return own.withColumn("upto", upto).where((F.col("upto") - F.col("m") <= target) & (target < F.col("upto"))).select(*keys, F.col("v").alias("median"), "n")
 
 
 def best(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:

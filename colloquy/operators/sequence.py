@@ -8,15 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from colloquy.operators.files import small
 from colloquy.schema import ENDING_PUNCT
 
 
-def _repeated(words: list, n_max: int | None) -> list[int]:
+def _repeated(words: list, n_max: int | None, n_min: int = 1) -> list[int]:
     """Places of ``words`` that a repetition right after covers."""
     codes: dict = {}
     w = np.array([codes.setdefault(x, len(codes)) for x in words], np.int64)
     marked = np.zeros(len(w), bool)
-    for n in range(1, (len(w) // 2 if n_max is None else min(n_max, len(w) // 2)) + 1):
+    for n in range(n_min, (len(w) // 2 if n_max is None else min(n_max, len(w) // 2)) + 1):
         same = w[n:] == w[:-n]
         if np.count_nonzero(same) >= n:
             edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
@@ -26,7 +27,7 @@ def _repeated(words: list, n_max: int | None) -> list[int]:
     return np.flatnonzero(marked).tolist()
 
 
-def retraces(forms: DataFrame, n_max: int | None = None) -> DataFrame:
+def retraces(forms: DataFrame, n_max: int | None = None, n_min: int = 1) -> DataFrame:
     """Positions (doc_id, line_no, form_no) that a repetition right after makes a retrace: position p is one if for some
     n and b with b <= p < b + n the n tokens from b on equal the next n.
 
@@ -38,13 +39,40 @@ def retraces(forms: DataFrame, n_max: int | None = None) -> DataFrame:
     @F.pandas_udf("array<int>")
     def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lines in batches:
-            yield pd.Series([_repeated(list(x), n_max) for x in lines], dtype=object)
+            yield pd.Series([_repeated(list(x), n_max, n_min) for x in lines], dtype=object)
 
     lines = forms.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("form_no", F.lower("text").alias("w")))).alias("x"))
     found = lines.select("doc_id", "line_no", F.col("x.form_no").alias("no"), places(F.col("x.w")).alias("places"))
     return found.select("doc_id", "line_no", "no", F.explode("places").alias("k")).select("doc_id", "line_no", F.get("no", F.col("k")).alias("form_no"))
 
 
+#: Languages in which a single word said twice is no retrace.
+DOUBLING = ("yue", "zho")
+
+
+def marked_retraces(forms: DataFrame, lang: str = "eng") -> DataFrame:
+    """``forms`` with the type and text that retraces give them: words, punctuation and filled pauses take part; filled
+    pauses keep their type, other marked forms are retraces and lose their punctuation."""
+    from colloquy.schema import FP, MOR_PUNCT, PUNCT, REGULAR, RETRACE
+
+    part = forms.where(F.col("type").isin(REGULAR, PUNCT, FP))
+    found = retraces(part, n_min=2 if lang in DOUBLING else 1).withColumn("marked", F.lit(True))
+    joined = forms.join(found, ["doc_id", "line_no", "form_no"], "left")
+    marked = F.coalesce("marked", F.lit(False)) & (F.col("type") != FP)
+    signs = "".join(m for m in [*MOR_PUNCT, *ENDING_PUNCT] if len(m) == 1)
+    return joined.withColumns({"text": F.when(marked, F.translate("text", signs, "")).otherwise(F.col("text")), "type": F.when(marked, RETRACE).otherwise(F.col("type"))}).drop("marked")
+
+
+def ordered(items: DataFrame) -> DataFrame:
+    """``doc_id, ordered``: whether no item ends before it starts, or starts before the one before it ends.  Items without
+    times are passed over; a document without timed items is in order."""
+    timed = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
+    w = Window.partitionBy("doc_id").orderBy("item_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(timed, F.col("end_ms")), ignorenulls=True).over(w)
+    fine = (F.col("end_ms") >= F.col("start_ms")) & (F.col("start_ms") >= F.coalesce("before", F.lit(0)))
+    return items.withColumn("before", before).groupBy("doc_id").agg(F.bool_and(F.when(timed, fine).otherwise(True)).alias("ordered"))
+
+
 def repaired_times(items: DataFrame) -> DataFrame:
     """Starts moved up to the end of the item right before (its raw end, not the largest so far); ``ok`` is false where
     nothing is left of the span."""
@@ -62,16 +90,25 @@ def word_ends(items: DataFrame, tail_ms: int = 500) -> DataFrame:
 
 def max_span_groups(items: DataFrame, span_ms: int) -> DataFrame:
     """Group numbers per document: a new group starts with the item that ends more than ``span_ms`` after its group's
-    start (the first group starts at 0).  A fold over each document's ordered items."""
-    ordered = F.array_sort(F.collect_list(F.struct("start_ms", "item_no", "end_ms")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("begin"), F.lit(0).alias("group"), F.array().cast("array<struct<item_no:bigint,group:int>>").alias("out"))
+    start (the first group starts at 0).  A fold over each document's ordered items, in Arrow batches: two arrays of
+    numbers for each document."""
 
-    def step(acc: Column, x: Column) -> Column:
-        new = x["end_ms"] - acc["begin"] > span_ms
-        group = acc["group"] + new.cast("int")
-        return F.struct(F.when(new, x["start_ms"]).otherwise(acc["begin"]).alias("begin"), group.alias("group"), F.concat(acc["out"], F.array(F.struct(x["item_no"].alias("item_no"), group.alias("group")))).alias("out"))
-
-    return items.groupBy("doc_id").agg(F.aggregate(ordered, zero, step, lambda acc: acc["out"]).alias("out")).select("doc_id", F.inline("out"))
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for starts, ends in batches:
+            out = []
+            for s, e in zip(starts, ends, strict=True):
+                begin, group, own = 0, 0, []
+                for x, y in zip(s.tolist(), e.tolist(), strict=True):
+                    if y - begin > span_ms:
+                        begin, group = x, group + 1
+                    own.append(group)
+                out.append(own)
+            yield pd.Series(out, dtype=object)
+
+    lists = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "item_no", "end_ms"))).alias("x"))
+    found = lists.select("doc_id", F.col("x.item_no").alias("item_no"), run("x.start_ms", "x.end_ms").alias("group"))
+    return found.select("doc_id", F.explode(F.arrays_zip("item_no", "group")).alias("z")).select("doc_id", "z.item_no", "z.group")
 
 
 def islands(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -126,7 +163,7 @@ def merged_compounds(forms: DataFrame, pairs: DataFrame) -> DataFrame:
     """Adjacent words that form a listed pair, merged greedily from the left: ``doc_id, line_no, form_no, text``.  In a
     run of overlapping pairs every other one counts, from the first on."""
     w = Window.partitionBy("doc_id", "line_no").orderBy("form_no")
-    hit = forms.withColumn("next", F.lead("text").over(w)).join(F.broadcast(pairs), (F.lower("text") == F.col("left")) & (F.lower("next") == F.col("right")), "left")
+    hit = forms.withColumn("next", F.lead("text").over(w)).join(small(pairs), (F.lower("text") == F.col("left")) & (F.lower("next") == F.col("right")), "left")
     hit = hit.withColumn("pair", F.col("left").isNotNull())
     run = F.sum((~F.col("pair")).cast("int")).over(w)
     hit = hit.withColumn("run", run).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "line_no", "run", "pair").orderBy("form_no")))

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from colloquy.functions import text as T
-from colloquy.operators import alignment, cache, metrics, sequence
-from colloquy.schema import ENDING_PUNCT, FILLED_PAUSES
-from colloquy.sources import chat, tables, textgrid
+from colloquy.operators import alignment, asr, cache, files, metrics, sequence
+from colloquy.schema import FILLED_PAUSES, FP
+from colloquy.sources import chat, documents, tables, textgrid
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,8 +83,7 @@ def positional_access(spark, d):
 
 @query("WITH $FORMS SELECT doc_id, line_no, CASE WHEN toks[-1] IN ('.', '?', '!') THEN toks[-1] ELSE '.' END AS delim FROM u")
 def utt_delimiter(spark, d):
-    last = F.try_element_at(tables.tokens(F.col("text")), F.lit(-1))
-    return tables.utterances(spark, d).select("doc_id", "line_no", F.when(last.isin(ENDING_PUNCT), last).otherwise(".").alias("delim"))
+    return tables.utterances(spark, d).select("doc_id", "line_no", T.delimiter(tables.tokens(F.col("text"))).alias("delim"))
 
 
 @query("SELECT conv_id AS doc_id, turn AS line_no, regexp_extract(x, '^\\[- (\\w+)\\]', 1) AS lang FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN '[- fra] ' ELSE '' END || text AS x FROM conversations) WHERE regexp_extract(x, '^\\[- (\\w+)\\]', 1) <> ''")
@@ -96,14 +95,13 @@ def override_lang(spark, d):
 @query("WITH $FORMS SELECT doc_id, line_no, form_no, CASE WHEN x LIKE '0_%' THEN substr(x, 2) ELSE x END AS text, CASE WHEN x LIKE '0_%' THEN 6 ELSE 0 END AS type FROM (SELECT *, CASE WHEN form_no % 7 = 0 THEN '0' ELSE '' END || text AS x FROM f WHERE type = 0)")
 def zero_forms(spark, d):
     x = F.concat(F.when(F.col("form_no") % 7 == 0, "0").otherwise(""), "text")
-    zero = F.col("x").startswith("0") & (F.length("x") > 1)
-    f = _words(spark, d).withColumn("x", x)
-    return f.select("doc_id", "line_no", "form_no", F.when(zero, F.expr("substr(x, 2)")).otherwise(F.col("x")).alias("text"), F.when(zero, 6).otherwise(0).alias("type"))
+    text, kind = T.zero_form(F.col("x"), F.col("type"))
+    return _words(spark, d).withColumn("x", x).select("doc_id", "line_no", "form_no", text.alias("text"), kind.alias("type"))
 
 
 @query("WITH $FORMS SELECT doc_id, line_no, form_no, replace(text, '-', '') AS text FROM f WHERE text NOT IN ('.', '?', '!', ',')")
 def punct_filter(spark, d):
-    return _forms(spark, d).where("type <> 5").select("doc_id", "line_no", "form_no", F.replace("text", F.lit("-"), F.lit("")).alias("text"))
+    return alignment.plain_words(_forms(spark, d)).select("doc_id", "line_no", "form_no", "text")
 
 
 # --- lexicons and cleaning -----------------------------------------------------------------------------------------
@@ -114,9 +112,7 @@ _LEX = [("the", "&-the", "the"), ("is", "&-is", "be"), ("der", "&-der", "der"),
 @query(f"""WITH $FORMS, lex(original, main, lemma) AS (VALUES {", ".join(str(x) for x in _LEX)})
 SELECT doc_id, line_no, form_no, coalesce(lemma, f.text) AS text, CASE WHEN lemma IS NULL THEN type ELSE 3 END AS type FROM f LEFT JOIN lex ON lower(f.text) = original""")
 def lexicon_replace(spark, d):
-    lex = spark.createDataFrame(_LEX, "original string, main string, lemma string")
-    f = _forms(spark, d).join(F.broadcast(lex), F.lower("text") == F.col("original"), "left")
-    return f.select("doc_id", "line_no", "form_no", F.coalesce("lemma", "text").alias("text"), F.when(F.col("lemma").isNull(), F.col("type")).otherwise(3).alias("type"))
+    return files.replaced(_forms(spark, d), spark.createDataFrame(_LEX, "original string, main string, lemma string"), FP).select("doc_id", "line_no", "form_no", "text", "type")
 
 
 _DIRT = "'<' || text || '> [/] +\"' || '„x‡' || '@b@z &~ab (.) 12//3' || chr(21) || '1_2' || chr(21)"
@@ -139,9 +135,8 @@ def bullet_extract(spark, d):
 @query(r"""WITH $TIMED SELECT doc_id, item_no, CASE WHEN end_ms > start_ms + 60000 THEN regexp_replace('w . ' || chr(21) || '1_2' || chr(21), '\x15\d+_\d+\x15', chr(21) || start_ms || '_' || end_ms || chr(21)) ELSE 'w .' END AS text FROM t""")
 def bullet_rewrite(spark, d):
     t = tables.timed(spark, d).withColumn("text", F.lit("w . \x151_2\x15"))
-    new = F.concat(F.lit("\x15"), F.col("start_ms").cast("string"), F.lit("_"), F.col("end_ms").cast("string"), F.lit("\x15"))
     keep = F.col("end_ms") > F.col("start_ms") + 60000
-    return t.select("doc_id", "item_no", F.when(keep, F.regexp_replace("text", F.lit("\x15\\d+_\\d+\x15"), new)).otherwise(F.trim(F.regexp_replace("text", "\x15\\d+_\\d+\x15", ""))).alias("text"))
+    return t.select("doc_id", "item_no", T.rebulleted(F.col("text"), *[F.when(keep, F.col(c)) for c in ("start_ms", "end_ms")]).alias("text"))
 
 
 @query("""WITH $FORMS, m AS (SELECT doc_id, line_no, unnest(string_split(mor, ' ')) AS item, unnest(range(0, len(string_split(mor, ' ')))) AS k FROM (SELECT doc_id, line_no, string_agg('noun|' || lower(text) || '-Plur-Acc', ' ' ORDER BY form_no) AS mor FROM f WHERE type = 0 GROUP BY doc_id, line_no))
@@ -153,10 +148,14 @@ def mor_parse(spark, d):
 
 @query("""WITH $FORMS SELECT doc_id, line_no, form_no, lower(text) AS text, CASE form_no % 5 WHEN 0 THEN 'extra_main' WHEN 1 THEN 'extra_gold' ELSE 'match' END AS status FROM f WHERE type = 0""")
 def comparison_parse(spark, d):
+    """Comparison tiers, written from the words of each turn and read back."""
+    k = F.row_number().over(Window.partitionBy("doc_id", "line_no").orderBy("form_no")) - 1
+    w = _words(spark, d).withColumn("k", k)
     mark = F.when(F.col("form_no") % 5 == 0, "+").when(F.col("form_no") % 5 == 1, "-").otherwise("")
-    x = _words(spark, d).withColumn("x", F.concat(mark, F.lower("text")))
-    status = F.when(F.col("x").startswith("+"), "extra_main").when(F.col("x").startswith("-"), "extra_gold").otherwise("match")
-    return x.select("doc_id", "line_no", "form_no", F.regexp_replace("x", "^[+-]", "").alias("text"), status.alias("status"))
+    x = w.select("doc_id", "line_no", "form_no", "k", F.concat(mark, F.lower("text")).alias("x"))
+    tiers = x.groupBy("doc_id", "line_no").agg(_joined("form_no", "x").alias("xsrep"))
+    read = tiers.select("doc_id", "line_no", F.posexplode(documents.compared(F.col("xsrep"), F.lit(None).cast("string"))).alias("k", "c"))
+    return read.join(x.select("doc_id", "line_no", "k", "form_no"), ["doc_id", "line_no", "k"]).select("doc_id", "line_no", "form_no", "c.text", "c.status")
 
 
 @query("""WITH $FORMS, s AS (SELECT doc_id, line_no, tier, string_agg(text, ' ' ORDER BY form_no) AS body FROM f GROUP BY doc_id, line_no, tier)
@@ -166,7 +165,9 @@ def chat_main_line(spark, d):
     return s.select("doc_id", "line_no", chat.main_line(F.col("tier"), F.col("body"), F.col("line_no") * 1000, F.col("line_no") * 1000 + 900).alias("line"))
 
 
-@query()
+@query("""WITH $FORMS, l AS (SELECT doc_id, line_no AS turn, tier, string_agg(text, ' ' ORDER BY form_no) AS text, count(*) AS n FROM f GROUP BY doc_id, line_no, tier),
+h AS (SELECT doc_id, 4 + count(DISTINCT tier) AS head FROM l GROUP BY doc_id)
+SELECT doc_id, CAST(head - 1 + row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS INTEGER) AS line_no, tier, text, turn * 1000 AS start_ms, turn * 1000 + 900 AS end_ms, CAST(n AS INTEGER) AS n_forms, CAST(NULL AS VARCHAR) AS error FROM l JOIN h USING (doc_id)""")
 def chat_round_trip(spark, d):
     """Conversations written as whole CHAT files and parsed back: headers aside, line by line."""
     u = _forms(spark, d).groupBy("doc_id", "line_no", "tier").agg(_joined("form_no", "text").alias("text"))
@@ -184,24 +185,34 @@ def textgrid_round_trip(spark, d):
 # --- ordered rows --------------------------------------------------------------------------------------------------
 
 _RETRACE = """
-l AS (SELECT *, lower(text) AS w FROM f),
-s AS (SELECT doc_id, line_no, form_no, n, lead(w, n) OVER (PARTITION BY doc_id, line_no, n ORDER BY form_no) = w AS same FROM l, (SELECT unnest(range(1, $N + 1)) AS n)),
+l AS (SELECT f.*, lower(f.text) AS w, len(toks) AS m FROM f JOIN u USING (doc_id, line_no)),
+x AS (SELECT *, unnest(range(1, $N + 1)) AS n FROM l),
+s AS (SELECT doc_id, line_no, form_no, n, lead(w, CAST(n AS BIGINT)) OVER (PARTITION BY doc_id, line_no, n ORDER BY form_no) = w AS same FROM x),
 r AS (SELECT doc_id, line_no, form_no, n, form_no - row_number() OVER (PARTITION BY doc_id, line_no, n ORDER BY form_no) AS run FROM s WHERE same),
-m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line_no, n, run) AS k FROM r)
-SELECT DISTINCT doc_id, line_no, form_no FROM m WHERE k >= n
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line_no, n, run) AS k FROM r),
+marked AS (SELECT DISTINCT doc_id, line_no, form_no FROM k WHERE k >= n)
 """
 
 
-@query("WITH $FORMS," + _RETRACE.replace("$N", "1"))
+@query("WITH $FORMS," + _RETRACE.replace("$N", "1") + "SELECT * FROM marked")
 def retrace_unigram(spark, d):
     return sequence.retraces(_forms(spark, d), 1)
 
 
-@query("WITH $FORMS," + _RETRACE.replace("$N", "10"))
+@query("WITH $FORMS," + _RETRACE.replace("$N", "m // 2") + "SELECT * FROM marked")
 def retrace_ngram(spark, d):
+    """Repeats of any length."""
     return sequence.retraces(_forms(spark, d))
 
 
+@query("WITH $FORMS," + _RETRACE.replace("$N", "m // 2") + """SELECT doc_id, line_no, type, count(*) AS n, sum(length(text)) AS chars FROM (SELECT f.doc_id, f.line_no, CASE WHEN marked.form_no IS NULL THEN f.type ELSE 1 END AS type,
+CASE WHEN marked.form_no IS NULL THEN f.text ELSE regexp_replace(f.text, '[.,!?]', '', 'g') END AS text FROM f LEFT JOIN marked USING (doc_id, line_no, form_no)) GROUP BY doc_id, line_no, type""")
+def retrace_marks(spark, d):
+    """Forms with the type that retraces give them; marked ones lose their punctuation."""
+    marked = sequence.marked_retraces(_forms(spark, d))
+    return marked.groupBy("doc_id", "line_no", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 @query("""WITH $TIMED, p AS (SELECT *, greatest(start_ms, coalesce(lag(end_ms) OVER (PARTITION BY doc_id ORDER BY start_ms, item_no), 0)) AS new_start FROM t)
 SELECT doc_id, item_no, new_start, end_ms > new_start AS ok FROM p""")
 def timing_repair(spark, d):
@@ -244,10 +255,9 @@ def carry_short(spark, d):
 
 @query("""WITH $TIMED, e AS (SELECT doc_id, item_no, start_ms, end_ms, unnest(range(0, 3)) AS k FROM t) SELECT doc_id, item_no, CAST(k AS INTEGER) AS k, start_ms + k * ((end_ms - start_ms) // 3) AS start_ms, start_ms + (k + 1) * ((end_ms - start_ms) // 3) AS end_ms, (['a', 'b', 'c'])[k + 1] AS word FROM e""")
 def interp_multiword(spark, d):
-    t = tables.timed(spark, d).withColumn("value", F.split(F.lit("a b c"), " "))
-    step = F.floor((F.col("end_ms") - F.col("start_ms")) / F.size("value"))
-    e = t.select("doc_id", "item_no", F.col("start_ms").alias("b"), step.alias("step"), F.posexplode("value").alias("k", "word"))
-    return e.select("doc_id", "item_no", "k", (F.col("b") + F.col("k") * F.col("step")).alias("start_ms"), (F.col("b") + (F.col("k") + 1) * F.col("step")).alias("end_ms"), "word")
+    t = tables.timed(spark, d)
+    heard = t.select("doc_id", F.col("item_no").alias("turn_no"), F.lit(0).cast("bigint").alias("elem_no"), F.lit(0).alias("speaker"), F.lit("a b c").alias("value"), (F.col("start_ms") / 1000).alias("ts"), (F.col("end_ms") / 1000).alias("end_ts"))
+    return asr.words(heard).select("doc_id", F.col("turn_no").alias("item_no"), F.col("word_no").alias("k"), "start_ms", "end_ms", "word")
 
 
 _PAIRS = [("of", "the"), ("in", "the"), ("the", "the"), ("de", "la"), ("der", "die")]
@@ -296,8 +306,7 @@ def diarize_assign(spark, d):
 
 @query("""WITH $TIMED SELECT doc_id, bool_and(end_ms >= start_ms AND start_ms >= coalesce(p, 0)) AS ordered FROM (SELECT *, lag(end_ms) OVER (PARTITION BY doc_id ORDER BY item_no) AS p FROM t) GROUP BY doc_id""")
 def utt_ordered(spark, d):
-    t = tables.timed(spark, d).withColumn("p", F.lag("end_ms").over(Window.partitionBy("doc_id").orderBy("item_no")))
-    return t.groupBy("doc_id").agg(F.bool_and((F.col("end_ms") >= F.col("start_ms")) & (F.col("start_ms") >= F.coalesce("p", F.lit(0)))).alias("ordered"))
+    return sequence.ordered(tables.timed(spark, d))
 
 
 @query("""WITH $TIMED SELECT doc_id, arg_min(start_ms, item_no) AS start_ms, arg_max(end_ms, item_no) AS end_ms FROM t WHERE item_no % 4 <> 0 GROUP BY doc_id""")
@@ -311,37 +320,74 @@ def utterance_alignment(spark, d):
 
 @query(r"""SELECT conv_id AS doc_id, turn AS line_no, unnest(range(0, len(s))) AS k, unnest(s) AS sentence FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?]+[.!?]|[^.!?]+$') AS s FROM conversations)""")
 def sentence_split(spark, d):
-    parts = F.regexp_extract_all("text", F.lit("([^.!?]+[.!?]|[^.!?]+$)"), F.lit(1))
-    return tables.utterances(spark, d).select("doc_id", "line_no", F.posexplode(parts).alias("k", "sentence")).withColumn("k", F.col("k").cast("bigint"))
+    return tables.utterances(spark, d).select("doc_id", "line_no", F.posexplode(T.sentences(F.col("text"))).alias("k", "sentence")).withColumn("k", F.col("k").cast("bigint"))
 
 
 # --- alignment and metrics -----------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE $FORMS, w AS (SELECT doc_id, line_no, list(lower(text) ORDER BY form_no)[1:40] AS p FROM f WHERE type = 0 GROUP BY doc_id, line_no),
+_DISTANCE = """
 a AS (SELECT doc_id, line_no, p, lag(p) OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM w),
 e(doc_id, line_no, p, r, i, row) AS (SELECT doc_id, line_no, p, r, 0, range(0, len(p) + 1) FROM a WHERE r IS NOT NULL
- UNION ALL SELECT doc_id, line_no, p, r, i + 1, list_reduce(range(1, len(p) + 1), lambda acc, j: list_append(acc, least(row[j + 1] + 1, acc[len(acc)] + 1, row[j] + CASE WHEN p[j] = r[i + 1] THEN 0 ELSE 2 END)), [row[1] + 1]) FROM e WHERE i < len(r))
-SELECT doc_id, line_no, CAST(row[len(row)] AS INTEGER) AS distance FROM e WHERE i = len(r)""".replace("list_reduce(range(1, len(p) + 1), lambda acc, j: ", "list_reduce(list_transform(range(1, len(p) + 1), lambda x: [x]), lambda acc, jj: ").replace("row[j + 1]", "row[jj[1] + 1]").replace("row[j]", "row[jj[1]]").replace("p[j]", "p[jj[1]]"))
-def edit_distance(spark, d):
-    pairs = alignment.adjacent_turns(_forms(spark, d), 40)
-    return pairs.select("doc_id", "line_no", alignment.distance(F.col("payload"), F.col("reference")).alias("distance"))
+ UNION ALL SELECT doc_id, line_no, p, r, i + 1, list_reduce(list_transform(range(1, len(p) + 1), lambda x: [x]), lambda acc, jj: list_append(acc, least(row[jj[1] + 1] + 1, acc[len(acc)] + 1, row[jj[1]] + CASE WHEN p[jj[1]] = r[i + 1] THEN 0 ELSE 2 END)), [row[1] + 1]) FROM e WHERE i < len(r)),
+t AS (SELECT doc_id, line_no, len(p) AS n, len(r) AS m, row[len(row)] AS distance FROM e WHERE i = len(r))
+"""
+_LOWER_WORDS = "w AS (SELECT doc_id, line_no, list(lower(text) ORDER BY form_no) AS p FROM f WHERE type = 0 GROUP BY doc_id, line_no)"
 
 
-@query()
-def edit_distance_whole(spark, d):
-    """Distance of each turn from the one before over all their words; ``edit_distance`` and its SQL end at the 40th."""
-    pairs = alignment.adjacent_turns(_forms(spark, d), 2**31 - 1)
+@query(f"WITH RECURSIVE $FORMS, {_LOWER_WORDS}, {_DISTANCE} SELECT doc_id, line_no, CAST(distance AS INTEGER) AS distance FROM t")
+def edit_distance(spark, d):
+    """Distance of each turn from the one before over all their words."""
+    pairs = alignment.adjacent_turns(_forms(spark, d))
     return pairs.select("doc_id", "line_no", alignment.whole_distance(F.col("payload"), F.col("reference")).alias("distance"))
 
 
 @query()
 def align_path(spark, d):
     """Alignment of each turn with the one before, over all their words."""
-    pairs = alignment.adjacent_turns(_forms(spark, d), 2**31 - 1)
+    pairs = alignment.adjacent_turns(_forms(spark, d))
     return pairs.select("doc_id", "line_no", F.posexplode(alignment.aligned(F.col("payload"), F.col("reference"))).alias("k", "x")).select("doc_id", "line_no", "k", "x.*")
 
 
+@query(f"""WITH RECURSIVE $FORMS, {_LOWER_WORDS}, {_DISTANCE} SELECT doc_id, line_no, CAST((n + m - distance) // 2 AS BIGINT) AS matches, CAST(n - (n + m - distance) // 2 AS BIGINT) AS payload_only, CAST(m - (n + m - distance) // 2 AS BIGINT) AS reference_only, true AS ordered, true AS whole FROM t WHERE n + m > 0""")
+def align_summary(spark, d):
+    """What every best alignment has in common: the counts of its items, that both sides' words come in order, and that
+    each stands in it once; matched words are equal."""
+    pairs = alignment.adjacent_turns(_forms(spark, d)).withColumn("x", alignment.aligned(F.col("payload"), F.col("reference")))
+    places = lambda op, c: F.transform(F.filter("x", lambda i: i["op"] != op), lambda i: i[c])
+    count = lambda op: F.size(F.filter("x", lambda i: i["op"] == op)).cast("bigint")
+    p, r = places("reference", "payload_idx"), places("payload", "reference_idx")
+    equal = F.forall("x", lambda i: (i["op"] != "match") | (F.get("payload", i["payload_idx"]) == F.get("reference", i["reference_idx"])))
+    whole = (F.size(F.array_distinct(p)) == F.size("payload")) & (F.size(F.array_distinct(r)) == F.size("reference")) & equal
+    return pairs.where("size(x) > 0").select("doc_id", "line_no", count("match").alias("matches"), count("payload").alias("payload_only"), count("reference").alias("reference_only"), ((p == F.array_sort(p)) & (r == F.array_sort(r))).alias("ordered"), whole.alias("whole"))
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+#: The rules of :func:`colloquy.functions.text.conform` that need no lexicon, for words without hyphens and underscores.
+_CONFORM = "CASE " + " ".join(f"WHEN lower(text) LIKE {_quoted(f'%{m}%')} THEN [split_part(text, {_quoted(chr(39))}, 1), '{full}']" for m, full in T.CLITICS)
+_CONFORM += f" WHEN lower(text) IN ({', '.join(map(_quoted, T.FILLERS))}) THEN ['um'] "
+_CONFORM += " ".join(f"WHEN lower(text) = {_quoted(w)} THEN [{', '.join(map(_quoted, full.split(' ')))}]" for w, full in T.CONTRACTIONS.items()) + " ELSE [lower(text)] END"
+
+
+@query(f"""WITH RECURSIVE $FORMS, c AS (SELECT *, length(text) = 1 AND coalesce(length(lag(text) OVER v) = 1, false) AS c FROM f WHERE type = 0 WINDOW v AS (PARTITION BY doc_id, line_no ORDER BY form_no)),
+g AS (SELECT *, sum(CASE WHEN c THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_no ORDER BY form_no) AS g FROM c),
+said AS (SELECT doc_id, line_no, min(form_no) AS k, string_agg(text, '' ORDER BY form_no) AS text FROM g GROUP BY doc_id, line_no, g),
+hyp AS (SELECT doc_id, line_no, flatten(list(list_transform({_CONFORM}, lambda z: lower(z)) ORDER BY k)) AS p FROM said GROUP BY doc_id, line_no),
+gold AS (SELECT doc_id, line_no, flatten(list(list_transform({_CONFORM}, lambda z: lower(z)) ORDER BY form_no)) AS r, count(*) AS words FROM f WHERE type = 0 GROUP BY doc_id, line_no),
+before AS (SELECT doc_id, line_no, lag(r) OVER (PARTITION BY doc_id ORDER BY line_no) AS r, lag(words) OVER (PARTITION BY doc_id ORDER BY line_no) AS words FROM gold),
+w AS (SELECT doc_id, line_no, p, r, words FROM hyp JOIN before USING (doc_id, line_no) WHERE r IS NOT NULL),
+{_DISTANCE.replace("SELECT doc_id, line_no, p, lag(p) OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM w", "SELECT doc_id, line_no, p, r FROM w")}
+SELECT doc_id, line_no, CAST((n + m - distance) // 2 AS BIGINT) AS matches, CAST(n - (n + m - distance) // 2 AS BIGINT) AS payload, CAST(m - (n + m - distance) // 2 AS BIGINT) AS reference, w.words, CAST(distance AS BIGINT) AS errors FROM t JOIN w USING (doc_id, line_no)""")
+def wer_extras(spark, d):
+    """What ``wer`` counts, but for its pairing of extras: words that match and words on one side only, and that
+    substitutions (twice), deletions and insertions are as many as these."""
+    e = QUERIES["wer"](spark, d)
+    return e.select("doc_id", "line_no", F.col("match").alias("matches"), "payload", "reference", "words", (2 * F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("errors"))
+
+
 @query()
 def wer(spark, d):
     """Word errors of each turn against the one before, as ``alignment.compared_turns`` makes them comparable: matches,
@@ -550,8 +596,7 @@ def format_bytes(spark, d):
 
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE 'und' END AS lang FROM documents")
 def lang_codes(spark, d):
-    codes = F.create_map(*[F.lit(x) for kv in {"en": "eng", "fr": "fra", "de": "deu", "es": "spa"}.items() for x in kv])
-    return tables.table(spark, d, "documents").select("doc_id", F.coalesce(codes[F.col("lang")], F.lit("und")).alias("lang"))
+    return tables.table(spark, d, "documents").select("doc_id", T.long_language(F.col("lang")).alias("lang"))
 
 
 @query("""WITH $TIMED SELECT doc_id, item_no, CAST(round_even(start_ms / 1000.0::DOUBLE * 10, 0) AS BIGINT) AS deci FROM t WHERE tier <> 'view' AND trim(tier) <> ''""")
@@ -559,10 +604,10 @@ def asr_word_filter(spark, d):
     return tables.timed(spark, d).where("tier <> 'view' AND trim(tier) <> ''").select("doc_id", "item_no", F.bround(F.col("start_ms") / 1000 * 10, 0).cast("bigint").alias("deci"))
 
 
-@query("""SELECT conv_id AS doc_id, turn AS line_no, sha256(regexp_replace(text || ' part|go verb|be-Ger-S', 'verb\\|(\\w+)-Ger-S', 'aux|\\1-Part-Pres-S')) AS digest FROM conversations""")
+@query("""SELECT conv_id AS doc_id, turn AS line_no, sha256(text || ' pron|it~aux|is verb|go-Part-Pres-S verb|be-Ger-S') AS digest FROM conversations""")
 def mor_postfix(spark, d):
-    x = F.regexp_replace(F.concat("text", F.lit(" part|go verb|be-Ger-S")), r"verb\|(\w+)-Ger-S", "aux|$1-Part-Pres-S")
-    return tables.utterances(spark, d).select("doc_id", "line_no", F.sha2(x, 256).alias("digest"))
+    x = F.concat("text", F.lit(" pron|it~part|s verb|go-Ger-S verb|be-Ger-S"))
+    return tables.utterances(spark, d).select("doc_id", "line_no", F.sha2(T.mended_mor(x), 256).alias("digest"))
 
 
 # --- morphology, transfer, comparison -------------------------------------------------------------------------------

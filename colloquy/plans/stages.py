@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Tasks in the order of execution, and what kind each is.
-TASKS = ["asr", "utterance_segmentation", "speaker", "utr", "fa", "word_segmentation", "disfluency", "retrace", "morphosyntax", "coref", "translate", "feature_extract", "wer", "compare"]
-GENERATORS, ANALYZERS = {"asr"}, {"feature_extract", "wer", "compare"}
+TASKS = ["asr", "utterance_segmentation", "speaker", "utr", "fa", "word_segmentation", "disfluency", "retrace", "morphosyntax", "coref", "translate", "feature_extract", "wer", "compare", "compare_report"]
+GENERATORS, ANALYZERS = {"asr"}, {"feature_extract", "wer", "compare_report"}
 #: Tasks that bring others along.
 IMPLIED = {"asr": ["disfluency", "retrace"], "fa": ["utr"]}
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from colloquy.plans import catalog, more  # noqa: F401  the second adds its queries to the first
+from colloquy.plans import catalog, more, speech  # noqa: F401  the others add their queries to the first
 
 D = "/root/testdata/sf0.001"
 

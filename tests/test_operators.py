@@ -127,7 +127,7 @@ def test_plan(spark):
     stage = lambda t: Stage(t, lambda df: (seen.append(t), df)[1])
     Plan([stage("wer"), stage("retrace"), stage("asr"), stage("disfluency")])(spark.range(1))
     assert seen == ["asr", "disfluency", "retrace", "wer"] and expand(["asr", "fa"]) == ["asr", "utr", "fa", "disfluency", "retrace"]
-    for bad in (["asr", "asr"], ["wer", "compare"]):
+    for bad in (["asr", "asr"], ["wer", "compare_report"]):
         with pytest.raises(ValueError):
             Plan([stage(t) for t in bad])
     with pytest.raises(ValueError):
@@ -179,7 +179,7 @@ def test_distance_of_whole_turns(spark, tmp_path):
     turns = [[rng.choice("abcdef") for _ in range(n)] for n in (60, 41, 130, 1, 75)] + [["x"] * 45, ["x"] * 40 + ["y"] * 5]
     rows = [(1, n, "t", " ".join(t)) for n, t in enumerate(turns)]
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
-    got = {r.line_no: r.distance for r in catalog.QUERIES["edit_distance_whole"](spark, f"file://{tmp_path}").collect()}
+    got = {r.line_no: r.distance for r in catalog.QUERIES["edit_distance"](spark, f"file://{tmp_path}").collect()}
     assert got == {n: alignment._row(b, a, lambda x, y: x == y)[-1] for n, (a, b) in enumerate(zip(turns, turns[1:]), 1)}
     assert got[6] == 10  # only words after the 40th differ
 
