@@ -253,13 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, wor
     return lexicon, vectors, Network(x, got["y"].to_numpy(np.float64), got["fold"].to_numpy(bool))
 
 
-def _scores(shipped, column: str):
+def _scores(shipped, names: list[str], column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, vectors, network = shipped.value
         for whole in batches:
             for part in slices(whole, "text"):
                 score = network.score(pooled(*buffers(part.column(part.schema.get_field_index("text"))), lexicon, vectors))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, column])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*names, column])
 
     return run
 
@@ -270,7 +270,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, column: str = "score", train
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), train_rows=train_rows, words=words)
     docs = docs.drop(column)
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
-    return docs.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), column), schema)
+    # names of our own on the way, as Arrow functions take no name with a dot in it
+    plain = docs.toDF(*["text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)])
+    return plain.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), docs.columns, column), schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
