@@ -50,7 +50,7 @@ SLOTS = 1 << 14
 #: Place in the order of shingles (0 to 255) from which on the frequent ones stand.
 LAST = 192
 #: Documents of a block that one task takes, those of them that all its tasks get, leaves and children of a tree's node.
-BLOCK, PIVOTS = 512, 16
+BLOCK, PIVOTS = 96, 8
 LEAVES, FAN = 8, 8
 #: Rounds in blocks: pairs for each document of the smaller component (None: all), bits of a bitmap per token.
 ROUNDS = ((1, 2), (16, 4), (None, 8))
