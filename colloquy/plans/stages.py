@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Tasks in the order of execution, and what kind each is.
 TASKS = ["asr", "utterance_segmentation", "speaker", "utr", "fa", "word_segmentation", "disfluency", "retrace", "morphosyntax", "coref", "translate", "feature_extract", "wer", "compare", "compare_report"]
@@ -63,12 +65,15 @@ def infer(df: DataFrame, schema: str, load: Callable[[], Callable[[pa.RecordBatc
     """Apply a model: ``load`` runs once per task and returns the function for Arrow batches.
 
     The contract of all model-backed operators (recognition, alignment, diarization, tagging, translation, acoustic
-    features): rows in, rows of ``schema`` out.  No model is part of this package.
+    features): rows in, rows of ``schema`` out, in columns of these names; numbers are cast to its types.  No model is
+    part of this package.
     """
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         model = load()
         for b in batches:
-            yield model(b)
+            out = model(b)
+            yield from pa.table({f.name: out.column(f.name).cast(f.type) for f in target}, schema=target).to_batches()
 
     return df.mapInArrow(run, schema)

@@ -36,12 +36,12 @@ def test_joined_clitics():
 
 def test_realigned():
     assert sentences.realigned(["ca", "n't", "stop", "o", "'clock"], "can't stop o'clock") == [("can't", True), ("stop", False), ("o'clock", False)]
-    assert sentences.realigned(["le", "i", "va"], "lei va", "it") == [("lei", False), ("va", False)] or sentences.realigned(["le", "i", "va"], "le i va", "it") == [("lei", False), ("va", False)]
+    assert sentences.realigned(["le", "i", "va"], "lei va", "it") == sentences.realigned(["le", "i", "va"], "le i va", "it") == [("lei", False), ("va", False)]
     assert sentences.realigned(["d'l'attraper"], "d'l'attraper", "fr") == [("d'", False), ("l'", False), ("attraper", False)]
 
 
 def test_retokenized():
-    assert sentences.retokenized_line("<I wanna> [/] I &-um wanna go gumma@c .", ["I", "want", "to", "go", "."]).startswith("<I wanna> [/] I &-um")
+    assert sentences.retokenized_line("<I> [/] I &-um go gumma@c .", ["I", "go", "."]) == "<I> [/] I &-um go gumma@c ."
     line = sentences.retokenized_line("we can't [*] stop .", ["we", "ca", "n't", "stop", "."])
     assert line == "we ca n't [*] stop ."
 
