@@ -53,14 +53,14 @@ def test_alignment_by_groups(spark):
     load = model(say, "doc_id", "group", "piece_no", "piece", "ts", "end_ts")
     empty = spark.createDataFrame([], cache.ENTRY)
     got, new = engines.aligned(lines, forms, sounds, empty, load, version="1", now="d")
-    want = {(0, 0): (1000, 2000), (0, 1): (2000, 2500), (0, 2): (None, None), (1, 0): (4000, 4000), (2, 0): (30_000, 30_500), (3, 0): (None, None)}
+    want = {(0, 0): (1000, 2000), (0, 1): (2000, 2500), (0, 2): (None, None), (1, 0): (None, None), (2, 0): (30_000, 30_500), (3, 0): (None, None)}
     have = {(r.line_no, r.form_no): (r.start_ms, r.end_ms) for r in got.collect()}
-    assert have.pop((1, 0))[0] in (3000, 4000, None) and want.pop((1, 0)) and have == want
+    assert have == want  # what is heard of line 1 lies before it
     entries = spark.createDataFrame(new.collect(), cache.ENTRY)
     assert entries.count() == 2 and json.loads(entries.where("data LIKE '%[0,%'").first().data)["timings"][0] == [0, 500]
     before = calls.value
     again, _ = engines.aligned(lines, forms, sounds, entries, load, version="1", now="e")
-    assert {(r.line_no, r.form_no): (r.start_ms, r.end_ms) for r in again.collect() if r.line_no != 1} == want and calls.value == before
+    assert {(r.line_no, r.form_no): (r.start_ms, r.end_ms) for r in again.collect()} == want and calls.value == before
 
 
 def test_tagging(spark):
