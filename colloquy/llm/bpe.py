@@ -7,8 +7,9 @@ time as rows of a matrix, so each step is one numpy operation over all of them.
 than :data:`SHORT` bytes (its scans would cost the square of its length) uses a heap of pairs with the same order.
 
 Every text is encoded whole.  Special tokens of the file are recognised in texts as the tokenizers library does by
-default.  Null counts as empty; an empty text has no tokens, and decodes to an empty text.  Repeated rows each give
-their own row; columns of the input other than the id and the text are not read.
+default.  Null counts as empty; an empty text has no tokens, and decodes to an empty text.  Repeated rows, and rows without
+id, each give their own row; an empty table gives an empty table.  Columns of the input other than the id and the text
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from colloquy.llm.words import slices
 
 #: Longest word, in bytes, for the rank array.
 SHORT = 48
-#: Words whose ids a worker keeps.
+#: Short words whose ids a worker keeps; long ones are encoded anew in each piece of text, so what is kept is bounded.
 CACHE_WORDS = 150_000
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -153,13 +154,14 @@ class ByteBPE:
                     heapq.heappush(heap, (k, x, ids[x], ids[y]))
         return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words that aren't kept yet."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Encode words that aren't kept yet, and keep the short ones; long ones are returned."""
         by_length: dict[int, list[tuple[str, bytes]]] = {}
+        long: dict[str, bytes] = {}
         for w in words:
             raw = w.encode()
             if len(raw) > SHORT:
-                self.words[w] = self.heap(raw)
+                long[w] = self.heap(raw)
             else:
                 by_length.setdefault(len(raw), []).append((w, raw))
         for length, group in by_length.items():
@@ -170,6 +172,7 @@ class ByteBPE:
                 flat, step = parts.astype("<u4").tobytes(), 4 * length
                 for k, ((w, _), m) in enumerate(zip(some, size.tolist())):
                     self.words[w] = flat[k * step : k * step + 4 * m]
+        return long
 
     def pieces(self, text: str) -> list[tuple[int | None, list[str]]]:
         """(special id, or None and the words) in order."""
@@ -186,8 +189,9 @@ class ByteBPE:
                 need.update(words)
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        self.learn(need - self.words.keys())
-        get = self.words.__getitem__
+        long = self.learn(need - self.words.keys())
+        kept = self.words
+        get = kept.__getitem__ if not long else lambda w: long[w] if w in long else kept[w]
         return [b"".join(b"".join(map(get, words)) if i is None else np.uint32(i).astype("<u4").tobytes() for i, words in doc) for doc in split]
 
     def decode_bytes(self, ids: bytes) -> bytes:

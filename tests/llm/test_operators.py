@@ -248,7 +248,7 @@ def test_chat(spark):
     one = [r for r in examples.where("conv_id = 1").orderBy("example").collect()]
     assert [r.n_turns for r in one] == [3, 5, 6] and one[2].loss_start is None and one[1].text.startswith(one[0].text)
     assert all(c not in chat_text for c in ("[INST]", "</s>") for chat_text in (r.text for r in one))
-    assert chat.expand(df.limit(0)).count() == 0
+    assert chat.expand(df.limit(0)).count() == 0 and chat.read_back(examples.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("rule", ["first", "share"])
@@ -279,6 +279,27 @@ def test_token_counts(spark, corpus, rule):
         tokencounts.count_tokens(docs_of(spark, rows), bpe.vocabulary(), rule="half")
 
 
+def test_token_sections(spark):
+    kind = "doc_id bigint, text string, spans array<struct<start:int,end:int>>, tokens string, section int"
+    rows = [(1, "ab cd\nef", [(0, 2), (2, 99), (0, 0)], "t", 7), (1, "ab cd\nef", [(0, 2), (2, 99), (0, 0)], "t", 7), (None, "x y", [(0, 3)], "t", 7), (2, "zz", None, "t", 7), (3, None, [(0, 5)], "t", 7), (4, "q", [], "t", 7)]
+    df = spark.createDataFrame(rows, kind)
+    got = sorted((str(r.doc_id), r.section, r.start, r.end, r.tokens) for r in tokencounts.count_tokens(df, bpe.vocabulary(), sections="spans").collect())
+    n = {t: len(np.frombuffer(bpe.load(bpe.vocabulary()).encode([t])[0], "<u4")) for t in ("ab", " cd\nef", "x y")}
+    one = [("1", 0, 0, 2, n["ab"]), ("1", 1, 2, 8, n[" cd\nef"]), ("1", 2, 0, 0, 0.0)]
+    assert got == sorted([*one, *one, ("None", 0, 0, 3, n["x y"]), ("3", 0, 0, 0, 0.0)])
+    assert tokencounts.count_tokens(docs_of(spark, EMPTY), bpe.vocabulary()).count() == 0
+    again = tokencounts.count_tokens(docs_of(spark, [(1, "a\nb"), (1, "a\nb")]), bpe.vocabulary()).collect()
+    assert sorted(r.section for r in again) == [0, 0, 1, 1]
+
+
+def test_long_words_are_not_kept():
+    b = bpe.ByteBPE(bpe.vocabulary())
+    text = "short " + "ACGT" * 5000 + " words"
+    first = b.encode([text, text])
+    assert first[0] == first[1] == b.encode([text])[0] and b.decode(first[0]) == text
+    assert all(len(w.encode()) <= bpe.SHORT for w in b.words)
+
+
 def test_token_attribution():
     count, crossing = tokencounts.attribute(np.array([2, 4, 2]), np.array([0, 3, 0]), np.array([3, 8, 8]), "share")
     assert count.tolist() == [1.25, 1.75, 3.0] and crossing.tolist() == [1, 1, 0]
