@@ -8,8 +8,9 @@ A turn is written as ``<|im_start|>role``, a line feed, the text, ``<|im_end|>``
 texts a backslash is doubled, and each control string is broken by ``\\.`` after its first character; in roles a line
 feed becomes ``\\n``.  Reading back undoes this exactly.
 
-Null texts and roles count as empty.  Turns are ordered by (turn, role, text); equal turns stay, each as a turn.  Rows
-without a conv_id form one conversation.  An example repeats what came before it, so a conversation's output grows with
+Null texts and roles count as empty, long texts are written whole.  Turns are ordered by (turn, role, text), a null turn
+first; equal turns stay, each as a turn.  Rows without a conv_id form one conversation.  An empty table has no examples,
+and none are read back.  Columns other than conv_id, turn, role and text are not read, whatever their names.  An example repeats what came before it, so a conversation's output grows with
 the square of its turns, as the method wants; one conversation is a single row of Spark's, as its last example is.
 """
 

@@ -9,7 +9,9 @@ search on both ends.  A token that crosses a boundary is allocated by an explici
 
 Sections may overlap or leave gaps; what lies in a gap counts nowhere, what lies in two sections counts in both.  Spans
 are code points, the end exclusive; ends beyond the text are cut.  Null counts as an empty text.  A document without
-sections gives no row; by :func:`lines` an empty text has one empty section.  Repeated rows each give their own rows.
+sections gives no row; by :func:`lines` an empty text has one empty section.  Repeated rows, and rows without doc_id, each
+give their own rows; an empty table gives an empty table.  Long texts are encoded whole.  Columns other than doc_id, text
+and the sections are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,8 +5,13 @@ joined with the rules on a short hash prefix (the first 4 bytes of SHA-256), and
 digest agrees.  Of the rules that fit, the longest wins; of equally long ones (a rule listed twice with both verdicts)
 ``block`` wins.  Where no rule fits, the method's own verdict is ``allow``.
 
-A null URL or one without ``://`` has empty host and path, and no rule fits it.  Repeated rows each give their own row.
-All of it is DataFrame operations.  A URL gives labels x (distinct lengths of rule paths) expressions, no more.
+A null URL or one without ``://`` has empty host and path, and no rule fits it.  Repeated rows, and rows without id, each
+give their own row; an empty table of pages gives an empty table, without rules every URL gets the method's verdict.
+Columns other than id and URL are not read, whatever their names.  URLs are taken whole, however long; one gives labels x
+(distinct lengths of rule paths) expressions, no more.  A null rule is none; a rule with a null verdict counts as allow.
+
+All of it is DataFrame operations.  Rules whose measured size allows it are broadcast.  Others are joined by their hash
+prefix: expressions that very many URLs have (``com/``) then meet in one key, which Spark's skewed-join handling splits.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_column: str = "page_id
     """``page_id, host, path, rule, verdict`` for each row of ``pages``.
 
     rules: ``rule`` (host, then a path from the first ``/`` on) and ``verdict`` (allow or block).  They are broadcast
-    only if counted to be few; the distinct lengths of their paths (a few thousand at most, as URLs go) come to the driver.
+    only if measured to be small; the distinct lengths of their paths (a few thousand at most, as URLs go) come to the driver.
     """
     slash = F.instr("rule", "/")
     rules = rules.where("rule IS NOT NULL").select(
