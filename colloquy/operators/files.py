@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from colloquy.schema import FP, REGULAR
+
 #: Bytes of a lexicon that may be broadcast after measuring them.
 LEXICON_BYTES = 32 << 20
 
@@ -28,6 +30,12 @@ def replaced_text(text: Column, entries: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, e: F.regexp_replace(c, f"(?iu)\\Q{e[0]}\\E", e[1].replace("\\", r"\\\\").replace("$", r"\$")), entries, text)
 
 
+def disfluencies(forms: DataFrame, pauses: DataFrame, replacements: DataFrame) -> DataFrame:
+    """Forms in which listed filled pauses are filled pauses, then listed words stand for what they replace (both lists:
+    original, main, lemma); lists for other languages than English are the caller's."""
+    return replaced(replaced(forms, pauses, FP), replacements, REGULAR)
+
+
 def paired(files: DataFrame, mark: str, other: str) -> DataFrame:
     """``name, partner, error`` of each file: its partner has ``.other.`` where the name has ``.mark.``.  A file without
     the mark, or whose partner is missing, has an error instead."""

@@ -81,6 +81,19 @@ def repaired_times(items: DataFrame) -> DataFrame:
     return items.withColumn("new_start", start).withColumn("ok", F.col("end_ms") > F.col("new_start"))
 
 
+def cleared_times(lines: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, forms) with repaired times: lines (doc_id, item_no, start_ms, end_ms) as :func:`repaired_times` moves them, a
+    line of which nothing is left without times, and its words (doc_id, line_no, form_no, start_ms, end_ms) too; words
+    that end before they begin lose theirs."""
+    timed = lines.where("start_ms IS NOT NULL AND end_ms IS NOT NULL")
+    moved = repaired_times(timed).select("doc_id", "item_no", F.when(F.col("ok"), F.col("new_start")).alias("s"), F.when(F.col("ok"), F.col("end_ms")).alias("e"), "ok")
+    new = lines.join(moved.drop("ok"), ["doc_id", "item_no"], "left").drop("start_ms", "end_ms").withColumnsRenamed({"s": "start_ms", "e": "end_ms"})
+    flags = moved.select("doc_id", F.col("item_no").alias("line_no"), "ok")
+    good = F.coalesce("ok", F.lit(True)) & (F.col("end_ms") > F.col("start_ms"))
+    words = forms.join(flags, ["doc_id", "line_no"], "left").withColumns({"s": F.when(good, F.col("start_ms")), "e": F.when(good, F.col("end_ms"))})
+    return new, words.drop("start_ms", "end_ms", "ok").withColumnsRenamed({"s": "start_ms", "e": "end_ms"})
+
+
 def word_ends(items: DataFrame, tail_ms: int = 500) -> DataFrame:
     """End = the next start, or ``tail_ms`` after the start where there is none; cut at the item's own end; null if empty."""
     order = Window.partitionBy("doc_id").orderBy("start_ms", "item_no")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import numbers, text as T
-from colloquy.operators import asr, cache, comparison, metrics, sequence, transfer
+from colloquy.operators import asr, cache, comparison, files, metrics, sequence, transfer
 from colloquy.plans.catalog import _RETRACE, _forms, _joined, _words, query
-from colloquy.sources import chat, documents, lexicons, tables
+from colloquy.sources import chat, documents, lexicons, tables, textgrid
 
 # --- documents -------------------------------------------------------------------------------------------------------
 
@@ -136,6 +136,36 @@ def windowed_times(spark, d):
     return asr.from_windows(w).select("doc_id", "item_no", "start_ms", "end_ms", "window", "inside")
 
 
+@query("""WITH $TIMED, c AS (SELECT *, 'item ' || item_no AS text FROM t), o AS (SELECT *, CASE WHEN lag(tier) OVER w <> tier THEN 1 ELSE 0 END AS ch FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY start_ms, end_ms, tier, text)),
+i AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY start_ms, end_ms, tier, text ROWS UNBOUNDED PRECEDING) AS turn FROM o)
+SELECT doc_id, CAST(turn AS BIGINT) AS turn, min(tier) AS tier, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CAST(count(*) AS INTEGER) AS n FROM i GROUP BY doc_id, turn""")
+def textgrid_turns(spark, d):
+    """Words of all tiers of TextGrid files as speakers' turns."""
+    t = tables.timed(spark, d).select("doc_id", "tier", "start_ms", "end_ms", F.concat(F.lit("item "), F.col("item_no").cast("string")).alias("text"))
+    return textgrid.turns(textgrid.intervals(textgrid.documents(t))).drop("words")
+
+
+@query("""WITH $TIMED, p AS (SELECT *, coalesce(lag(end_ms) OVER (PARTITION BY doc_id ORDER BY start_ms, item_no), 0) AS before FROM t)
+SELECT doc_id, item_no, CASE WHEN end_ms > greatest(start_ms, before) THEN greatest(start_ms, before) END AS line_start, CASE WHEN end_ms > greatest(start_ms, before) AND item_no % 5 <> 0 THEN start_ms END AS word_start FROM p""")
+def cleared_times(spark, d):
+    """Items as lines of one word each: what overlaps is moved or loses its times, with the words; every fifth word ends
+    before it begins."""
+    t = tables.timed(spark, d).select("doc_id", "item_no", "start_ms", "end_ms")
+    words = t.select("doc_id", F.col("item_no").alias("line_no"), F.lit(0).alias("form_no"), "start_ms", F.when(F.col("item_no") % 5 == 0, F.col("start_ms") - 1).otherwise(F.col("end_ms")).alias("end_ms"))
+    lines, words = sequence.cleared_times(t, words)
+    both = lines.select("doc_id", "item_no", F.col("start_ms").alias("line_start")).join(words.select("doc_id", F.col("line_no").alias("item_no"), F.col("start_ms").alias("word_start")), ["doc_id", "item_no"])
+    return both
+
+
+@query("""WITH $FORMS SELECT doc_id, line_no, form_no, CASE WHEN lower(text) = 'cuz' THEN 'because' WHEN lower(text) = 'the' THEN 'thee' WHEN lower(text) IN ('um', 'ur', 'uh', 'is') THEN lower(text) ELSE text END AS text, CASE WHEN lower(text) IN ('um', 'ur', 'uh', 'is') THEN 3 WHEN lower(text) = 'the' THEN 0 ELSE type END AS type FROM f""")
+def disfluencies(spark, d):
+    """Filled pauses marked, then replacements; ``is`` counts as a pause here and ``the`` as said for ``thee``."""
+    schema = "original string, main string, lemma string"
+    pauses = spark.createDataFrame([("um", "&-um", "um"), ("ur", "&-ur", "ur"), ("uh", "&-uh", "uh"), ("is", "&-is", "is")], schema)
+    words = spark.createDataFrame([("cuz", "(be)cause", "because"), ("the", "the", "thee")], schema)
+    return files.disfluencies(_forms(spark, d), pauses, words).select("doc_id", "line_no", "form_no", "text", "type")
+
+
 # --- transfers -------------------------------------------------------------------------------------------------------
 
 

@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from colloquy.schema import ENDING_PUNCT, MOR_PUNCT
 
 _ITEM = r'item \[\d+\]:'
 _INTERVAL = r'xmin = ([\d.]+)\s+xmax = ([\d.]+)\s+text = "((?:[^"]|"")*)"'
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
+#: What an interval of a file is: an utterance, or a word of a speaker's turn.
+STYLES = ("utterance", "word")
+
+
+def scan(spark: SparkSession, path: str, style: str = "utterance") -> DataFrame:
+    """All ``.TextGrid`` files below ``path``: :func:`intervals`, or :func:`turns` where intervals are words."""
+    if style not in STYLES:
+        raise ValueError(f"style must be one of {STYLES}")
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.TextGrid").text(path, wholetext=True)
-    return intervals(files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")))
+    found = intervals(files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")))
+    return found if style == "utterance" else turns(found)
+
+
+def turns(words: DataFrame) -> DataFrame:
+    """``doc_id, turn, tier, start_ms, end_ms, n, words`` of timed words (doc_id, tier, start_ms, end_ms, text; of all tiers):
+    in order of their starts the words of one tier up to where another one begins are a turn.  Ties go by end, tier and
+    text."""
+    order = Window.partitionBy("doc_id").orderBy("start_ms", "end_ms", "tier", "text")
+    change = F.coalesce((F.col("tier") != F.lag("tier").over(order)).cast("int"), F.lit(0))
+    rows = words.withColumn("change", change).withColumn("turn", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text")))
+    out = rows.groupBy("doc_id", "turn", "tier").agg(x.alias("words"))
+    return out.select("doc_id", "turn", "tier", F.col("words")[0]["start_ms"].alias("start_ms"), F.array_max(F.transform("words", lambda w: w["end_ms"])).alias("end_ms"), F.size("words").alias("n"), "words")
+
+
+def filled(items: DataFrame) -> DataFrame:
+    """Items (doc_id, tier, item_no, start_ms, end_ms, text) as a file can hold them: without punctuation, and with the time
+    from the end of the last timed item of their tier to the start of the next one where they have none; items that
+    nothing gives a time go."""
+    words = items.where(~F.trim("text").isin(ENDING_PUNCT + MOR_PUNCT))
+    w = Window.partitionBy("doc_id", "tier").orderBy("item_no")
+    before = F.coalesce(F.last("end_ms", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    after = F.first("start_ms", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    out = words.withColumns({"s": F.coalesce("start_ms", before), "e": F.coalesce("end_ms", after)}).where("e > s")
+    return out.withColumns({"start_ms": F.col("s"), "end_ms": F.col("e")}).drop("s", "e")
 
 
 def intervals(files: DataFrame) -> DataFrame:

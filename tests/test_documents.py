@@ -339,3 +339,18 @@ def test_sound(spark, tmp_path):
     spans = spark.createDataFrame([(path, 0, 0, 500), (path, 1, 500, 1000), (path, 2, 5000, 6000), (path, 3, 0, 500)], "path string, group bigint, start_ms bigint, end_ms bigint")
     digests = {r.group: (r.frames, r.digest) for r in audio.span_digests(files, spans).collect()}
     assert digests[0] == digests[3] != digests[1] and digests[0][0] == 8000 and digests[2][0] == 0
+
+
+def test_textgrid_styles(spark, tmp_path):
+    from colloquy.sources import textgrid
+
+    rows = [("d", "A", 0, 0, 100, "hi"), ("d", "A", 1, None, None, "you"), ("d", "A", 2, 300, 400, "there"), ("d", "A", 3, None, None, "."), ("d", "B", 0, 150, 250, "yes"), ("d", "B", 1, None, None, "lost")]
+    items = textgrid.filled(spark.createDataFrame(rows, "doc_id string, tier string, item_no bigint, start_ms bigint, end_ms bigint, text string"))
+    got = [tuple(r) for r in items.select("tier", "text", "start_ms", "end_ms").orderBy("tier", "item_no").collect()]
+    assert got == [("A", "hi", 0, 100), ("A", "you", 100, 300), ("A", "there", 300, 400), ("B", "yes", 150, 250)]
+    (tmp_path / "x.TextGrid").write_text(textgrid.documents(items).first().text, encoding="utf-8")
+    turns = textgrid.scan(spark, f"file://{tmp_path}", "word").orderBy("turn").collect()
+    assert [(r.tier, r.start_ms, r.end_ms, [w.text for w in r.words]) for r in turns] == [("A", 0, 300, ["hi", "you"]), ("B", 150, 250, ["yes"]), ("A", 300, 400, ["there"])]
+    assert textgrid.scan(spark, f"file://{tmp_path}").count() == 4
+    with pytest.raises(ValueError):
+        textgrid.scan(spark, "x", "other")
