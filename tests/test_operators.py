@@ -105,6 +105,33 @@ def test_comparison():
     assert comparison.compare_tokens([], gold)[0][4] == "extra_gold"
 
 
+def test_comparison_windows():
+    # words of a neighbour raise no score: the window ends where its utterance does
+    assert comparison.best_segment("x a b c d e".split(), [0, 1, 1, 1, 1, 1], "a b c x q r".split(), 0) == (1, 6)
+    # a replaced first word is taken in, an earlier copy of the whole is not
+    main = "she sat down".split()
+    begin, end = comparison.best_segment(main, [0] * 3, "he sat down".split(), 0)
+    assert comparison.snapped(main, [0] * 3, "he sat down".split(), 0, begin, end) == 0 and comparison.snapped(main, [0] * 3, "he sat down".split(), 0, 1, 3) == 0
+    twice = "the cat sat the cat sat".split()
+    assert comparison.best_segment(twice, [0] * 6, "the cat sat".split(), 0) == (3, 6)
+    assert comparison.snapped(twice, [0] * 6, "the cat sat".split(), 0, 3, 6) == 3
+    assert comparison.best_segment(["(be)cause"], [0], ["because"], 0) == (0, 0)  # no overlap as bags
+
+
+def test_comparison_of_transcripts(spark):
+    schema = "doc_id bigint, line_no bigint, form_no bigint, tier string, text string, pos string, start_ms bigint, end_ms bigint"
+    rows = lambda tier, *lines: [(1, n, k, tier[n], w, "punct" if w in ".?" else "n", 100 * n + k, 100 * n + k + 1) for n, x in enumerate(lines) for k, w in enumerate(x.split())]
+    main = spark.createDataFrame(rows("AB", "um he's gonna go .", "the dog barked ."), schema)
+    gold = spark.createDataFrame(rows("GG", "he is going to go ?", "a dog barked loudly ."), schema)
+    tokens = comparison.compare_transcripts(main.drop("tier", "start_ms", "end_ms"), gold.drop("tier", "start_ms", "end_ms"))
+    got = [(r.line_no, r.place, r.text, r.status) for r in tokens.orderBy("line_no", "place", "text").collect()]
+    assert got[:6] == [(0, 0.0, "he", "match"), (0, 1.0, "is", "match"), (0, 2.0, "going", "match"), (0, 3.0, "to", "match"), (0, 4.0, "go", "match"), (0, 5.0, "?", "match")]
+    assert [(t, s) for n, _, t, s in got if n == 1] == [("a", "extra_gold"), ("the", "extra_main"), ("dog", "match"), ("barked", "match"), ("loudly", "extra_gold"), (".", "match")]
+    words = lambda df: df.where("text NOT IN ('.', '?', 'um')").select("doc_id", "line_no", "form_no", "text", F.upper("pos").alias("pos"))
+    said = comparison.spoken_lines(comparison.compare(words(main), words(gold)), main, gold).orderBy("line_no").collect()
+    assert [(r.line_no, r.tier, [f.text for f in r.forms], r.start_ms, r.end_ms) for r in said][-1] == (1, "B", ["the", "dog", "barked", "."], 100, 103)
+
+
 def test_transfer(spark):
     forms = spark.createDataFrame([(1, 0, k, w) for k, w in enumerate("hello my dear friend".split())], "doc_id bigint, line_no bigint, form_no int, text string")
     heard = spark.createDataFrame([(1, k, w, k * 0.5, k * 0.5 + 0.4) for k, w in enumerate("Hello dear friends friend".split())], "doc_id bigint, word_no bigint, word string, ts double, end_ts double")
