@@ -112,6 +112,8 @@ def align(payload: list, reference: list, same: Callable = _same) -> list[Item]:
     Ties: diagonal, then an extra of the reference, then of the payload.  Large problems are halved at the middle of the
     reference and at the first payload split of least cost, so memory grows with a side's length alone.
     """
+    if payload == reference:  # every item is the same as itself: there is no other best alignment
+        return [("match", k, k) for k in range(len(payload))]
     problem = _Problem(payload, reference, same)
     out: list[Item] = []
     todo = [(0, len(payload), 0, len(reference))]

@@ -48,7 +48,9 @@ def tagged(lines: DataFrame) -> DataFrame:
     The entry's text replaces the line's, whose own bullet stays."""
     read = lines.withColumn("d", F.from_json("data", f"struct<{_TAGS}>"))
     fits = F.size("d.morphology") == F.size("forms")
-    forms = F.transform("forms", lambda x, k: x.withField("morphology", F.coalesce(F.get("d.morphology", k), x["morphology"])).withField("dependency", F.coalesce(F.get("d.dependency", k), x["dependency"])))
+    # joined by position, so that the entry is read once for a line and not once for each form
+    tags = F.arrays_zip(F.col("d.morphology").alias("morphology"), F.coalesce(F.col("d.dependency"), F.array().cast("array<array<struct<id:int,dep_id:int,dep_type:string>>>")).alias("dependency"))
+    forms = F.zip_with("forms", tags, lambda x, t: x.withField("morphology", F.coalesce(t["morphology"], x["morphology"])).withField("dependency", F.coalesce(t["dependency"], x["dependency"])))
     bullet = F.regexp_extract(F.coalesce("text", F.lit("")), f"({_BULLET})", 1)
     text = F.trim(F.concat_ws(" ", F.trim(F.regexp_replace("d.retokenized_text", _BULLET, "")), bullet))
     return read.withColumns({"forms": F.when(fits, forms).otherwise(F.col("forms")), "text": F.when(fits & F.col("d.retokenized_text").isNotNull(), text).otherwise(F.col("text"))}).drop("d")

@@ -249,3 +249,26 @@ def test_document_spans(spark, tmp_path):
     events = spark.sql("SELECT 4L AS event_id, 9L AS user_id, 'x' AS event_type, TIMESTAMP'2024-01-02 00:00:00' AS ts, 1.0D AS value")
     events.write.parquet(f"file://{tmp_path}/events.parquet")
     assert [tuple(r) for r in catalog.QUERIES["utterance_alignment"](spark, f"file://{tmp_path}").collect()] == [(9, None, None)]
+
+
+def test_window_search_plainly():
+    from collections import Counter
+
+    def plain(main, owner, gold, start):
+        want, spans = Counter(gold), {}
+        for size in range(max(1, len(gold) - comparison.SLACK), min(len(main) - start, len(gold) + comparison.SLACK) + 1):
+            for b in range(start, len(main) - size + 1):
+                most = Counter(owner[b : b + size]).most_common(1)[0][0]
+                inside = [k for k in range(b, b + size) if owner[k] == most]
+                x, y = inside[0], inside[-1] + 1
+                spans[x, y] = sum((want & Counter(main[x:y])).values())
+        top = max(spans.values(), default=0)
+        rank = {(b, e): (alignment.matches(main[b:e], gold), e, b - e) for (b, e), n in spans.items() if n == top}
+        return max(rank, key=rank.__getitem__) if top else (start, start)
+
+    rng = random.Random(7)
+    for _ in range(300):
+        owner = [i for i in range(rng.randint(1, 5)) for _ in range(rng.randint(1, 9))]
+        main, gold = [rng.choice("abcdef") for _ in owner], [rng.choice("abcdefg") for _ in range(rng.randint(1, 8))]
+        start = rng.randint(0, len(main))
+        assert comparison.best_segment(main, owner, gold, start) == plain(main, owner, gold, start)
