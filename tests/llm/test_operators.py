@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.llm import bpe, chat, decontam, exact, jaccard, lm, quality, shared, substring, tokencounts, urls
+from colloquy.llm.graph import components
 
 DOC = "doc_id bigint, text string, score string, items string"
 
@@ -518,6 +519,27 @@ def test_jaccard_ids(spark):
     assert jaccard.join(docs_of(spark, EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [None, 1, 2])
+def test_components(spark, rounds):
+    rng = random.Random(11)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(1000, 1000 + k) for k in range(1, 40)] + [(rng.randrange(300, 420), rng.randrange(300, 420)) for _ in range(90)] + [(7, 7), (5, 6), (6, 5)]
+    top: dict = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), rounds).collect()}
+    assert all(find(k) == find(v) and v < k for k, v in got.items())
+    if rounds is None:
+        assert got == {k: find(k) for k in top if find(k) != k}
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), rounds).count() == 0
+
+
 def test_shared_folder(spark):
     where = shared.shared_dir(spark)
     assert spark.conf.get("spark.checkpoint.dir").rstrip("/") == where
