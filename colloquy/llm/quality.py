@@ -46,6 +46,8 @@ DIMENSIONS = 32
 #: Non-zero places of an index vector; neighbours on either side.
 PLACES, REACH = 2, 2
 HIDDEN = 24
+#: Bytes of text handled at a time.
+PIECE = 1 << 18
 #: Word vectors are rounded to multiples of 1/SCALE.
 SCALE = 1 << 12
 
@@ -108,7 +110,7 @@ class Lexicon:
 def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts of a piece each word stands."""
     for whole in batches:
-        for part in slices(whole, "text"):
+        for part in slices(whole, "text", PIECE):
             keys, _, firsts = words_of(*buffers(part.column(0)))
             text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
             order = np.lexsort((text, keys))
@@ -132,7 +134,7 @@ def _context(shipped):
         lexicon = shipped.value
         sums = np.zeros(len(lexicon) * DIMENSIONS)
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", PIECE):
                 keys, shape, firsts = words_of(*buffers(part.column(0)))
                 word = lexicon.of(keys, shape)
                 text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
@@ -167,7 +169,7 @@ def pooled(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon, vectors: np.
     size = np.diff(firsts)
     out = np.zeros((len(size), 2 * DIMENSIONS))
     some = np.flatnonzero(size)
-    step = 1 << 17
+    step = 1 << 15
     sums = np.zeros((len(size), 2 * DIMENSIONS))  # whole numbers below 2**53: exact in any order
     text = np.repeat(np.arange(len(size)), size)
     for low in range(0, len(word), step):
@@ -229,7 +231,7 @@ class Network:
 def _vectors(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", PIECE):
                 x = pooled(*buffers(part.column(1)), *shipped.value)
                 yield record(doc_id=part.column(0), x=pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()))
 
@@ -257,7 +259,7 @@ def _scores(shipped, names: list[str], column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, vectors, network = shipped.value
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", PIECE):
                 score = network.score(pooled(*buffers(part.column(part.schema.get_field_index("text"))), lexicon, vectors))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*names, column])
 
