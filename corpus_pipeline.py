@@ -81,8 +81,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     found = written(jaccard.groups(docs.select("doc_id", "text"), row=row).where("root IS NOT NULL").select("doc_id", "row", "root"), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
     first = found.groupBy("root").agg(F.min(place).alias("first"), F.max("row").alias("last"), F.min("row").alias("least")).where("least < last").select(F.col("root"), F.col("first.row").alias("stays"))
+    first = written(first, "first")
     gone = written(found.join(hinted(first), "root").where("row <> stays").select("row").distinct(), "near")
-    forget(found)
+    forget(found, first)
     return _without(docs.withColumn(key, row[0]), gone, (key, "row")).drop(key)
 
 
