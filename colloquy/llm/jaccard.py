@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from colloquy.llm.graph import components
 from colloquy.llm.packing import batch as record, binaries, bucket_of, planes, runs, unplanes
 from colloquy.llm.shared import bounded, deal, forget, hinted, keyed_semi, rows_of, written
-from colloquy.llm.words import U, buffers, mix, rolling, slices, word_hashes
+from colloquy.llm.words import U, buffers, rolling, slices, word_hashes
 
 SHINGLE = 5
 #: A link needs PERCENT * union <= 100 * intersection.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.llm.packing import batch as record, binaries, bucket_of, planes, runs, unplanes
-from colloquy.llm.shared import bounded, deal, fits, forget, keyed_semi, written
+from colloquy.llm.shared import bounded, deal, fits, keyed_semi, written
 from colloquy.llm.words import buffers, mix, rolling, slices, word_hashes
 
 WIDTH = 13
