@@ -156,12 +156,13 @@ def main_line(tier: Column, text: Column, start: Column, end: Column) -> Column:
     return F.concat(F.lit("*"), tier, F.lit(":\t"), text, F.when(start.isNotNull() & end.isNotNull(), F.concat(F.lit(" \x15"), start.cast("string"), F.lit("_"), end.cast("string"), F.lit("\x15"))).otherwise(F.lit("")))
 
 
-def documents(lines: DataFrame, preamble: DataFrame | None = None) -> DataFrame:
-    """``doc_id, text``: whole CHAT files of utterances (doc_id, line_no, tier, text, start_ms, end_ms)."""
+def documents(lines: DataFrame, lang: str = "eng", corpus: str = "corpus") -> DataFrame:
+    """``doc_id, text``: plain CHAT files of utterances (doc_id, line_no, tier, text, start_ms, end_ms) alone; see
+    :mod:`colloquy.sources.documents` for headers, dependent tiers and one file a document."""
     line = main_line(F.col("tier"), F.col("text"), F.col("start_ms"), F.col("end_ms"))
     body = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("x")))).alias("x"), F.array_sort(F.collect_set("tier")).alias("tiers"))
-    ids = F.transform("tiers", lambda t: F.concat(F.lit("@ID:\teng|corpus|"), t, F.lit("|||||"), t, F.lit("|||")))
-    head = F.concat(F.array(F.lit("@UTF8"), F.lit("@Begin"), F.lit("@Languages:\teng"), F.concat(F.lit("@Participants:\t"), F.array_join(F.transform("tiers", lambda t: F.concat_ws(" ", t, t)), ", "))), ids)
+    ids = F.transform("tiers", lambda t: F.concat(F.lit(f"@ID:\t{lang}|{corpus}|"), t, F.lit("|||||"), t, F.lit("|||")))
+    head = F.concat(F.array(F.lit("@UTF8"), F.lit("@Begin"), F.lit(f"@Languages:\t{lang}"), F.concat(F.lit("@Participants:\t"), F.array_join(F.transform("tiers", lambda t: F.concat_ws(" ", t, t)), ", "))), ids)
     return body.select("doc_id", F.array_join(F.concat(head, F.transform("x", lambda v: v["x"]), F.array(F.lit("@End"))), "\n").alias("text"))
 
 

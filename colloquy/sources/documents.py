@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colloquy.functions.text import bullet, language_override, written_line
-from colloquy.schema import ENDING_PUNCT, FP, MOR_PUNCT, PUNCT, REGULAR, RETRACE
+from colloquy.schema import ENDING_PUNCT, FP, PUNCT, REGULAR, RETRACE
 from colloquy.sources import chat
 
 _MORPHOLOGY = "array<struct<lemma:string,pos:string,feats:string>>"

@@ -3,7 +3,6 @@
 import json
 
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from colloquy.operators import cache
 from colloquy.plans import engines
