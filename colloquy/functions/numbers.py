@@ -1,10 +1,9 @@
-"""Numbers as words: Chinese numerals by rule."""
+"""Numbers as words: Chinese and English numerals by rule, others by a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -14,9 +13,7 @@ from pyspark.sql.types import StringType
 DIGITS = {(False, True): "零一二三四五六七八九", (False, False): "零一二三四五六七八九", (True, True): "零壹贰叁肆伍陆柒捌玖", (True, False): "零壹貳參肆伍陸柒捌玖"}
 UNITS = {(False, True): ["", "十", "百", "千"], (False, False): ["", "十", "百", "千"], (True, True): ["", "拾", "佰", "仟"], (True, False): ["", "拾", "佰", "仟"]}
 GROUPS = {True: ["", "万", "亿", "兆"], False: ["", "萬", "億", "兆"]}
-
-
-#: Names of the powers of 10,000 beyond the fixed ones: whole runs of groups are spelled part by part.
+#: Digits that the names of groups reach.
 _RUN = 16
 
 
@@ -63,7 +60,7 @@ def chinese(n: int | str, financial: bool = False, simplified: bool = True, zero
     return out
 
 
-def _mapped(text: Column, spell) -> Column:
+def _mapped(text: Column, spell: Callable[[str], str]) -> Column:
     @F.pandas_udf(StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
