@@ -37,7 +37,7 @@ from colloquy.llm.words import buffers, mix, rolling, slices, word_hashes
 
 WIDTH = 13
 #: Words of a chunk, whose windows are packed together; occurrences in a chunk that make a window frequent.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 FREQUENT = 256
 #: Frequent windows that one more pass handles.
 FREQUENT_BLOCK = 500_000
